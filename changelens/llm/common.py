@@ -45,4 +45,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
+    parts = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
+    return F.coalesce(parts, F.array().cast("array<string>"))

@@ -16,62 +16,85 @@ from changelens.llm.common import SPACES, words
 
 SYMBOLS = "#*$%&|<>"
 #: Lines that contain one of these phrases are boilerplate (fixed values, lower case).
-BOILERPLATE = r"lorem ipsum|javascript|cookies? (policy|settings|consent)|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe (now|to our)|sign up for|log ?in to|share (this|on)|read more"
+BOILERPLATE = (
+    "lorem ipsum", "javascript", "cookie policy", "cookie settings", "cookie consent", "privacy policy", "terms of use", "terms of service",
+    "all rights reserved", "click here", "subscribe now", "subscribe to our", "sign up for", "log in to", "share this", "read more",
+)
 #: Characters that part the entries of a navigation bar.
-BARS = "|»›•·>"
+BARS = "|»›•·"
 
 
 @dataclass(frozen=True)
 class Rules:
     """min_words, max_repeat_pct: base rules on documents; max_symbol_pct: symbols
     per word that a line may have; max_bar_pct: entry separators per word;
-    max_upper_pct: capital letters per letter; max_word_chars: mean length of a
-    line's words; max_lost_pct: of a document's words, removed with their lines."""
+    max_upper_pct: capital letters per character, of lines with 20 or more characters
+    besides spaces; max_word_chars: mean length of a line's words; max_lost_pct: of a document's characters, removed with their lines."""
 
     min_words: int = 50
     max_repeat_pct: int = 50
     max_symbol_pct: int = 30
     max_bar_pct: int = 30
-    max_upper_pct: int = 70
+    max_upper_pct: int = 50
     max_word_chars: int = 40
     max_lost_pct: int = 50
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _without_spaces(text: Column) -> Column:
+    for c in SPACES:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(_without(text, chars))
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
-def _line_fails(line: Column, rules: Rules) -> Column:
-    n = F.length(F.regexp_replace(line, r"[^\x20\x09-\x0D]+", "")) + 1  # at most the words, if single spaces part them
-    letters = F.length(_without(F.regexp_replace(line, r"[^\p{L}]+", ""), SPACES))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    solid = F.length(_without(line, SPACES))
+def _bars(text: Column) -> Column:
+    bare = text
+    for c in BARS:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(bare)
+
+
+def _has_phrase(text: Column) -> Column:
+    """Whether a text in lower case holds a boilerplate phrase."""
+    found = text.contains(BOILERPLATE[0])
+    for x in BOILERPLATE[1:]:
+        found = found | text.contains(x)
+    return found
+
+
+def _line_fails(line: Column, rules: Rules, phrases: Column = F.lit(True)) -> Column:
+    """phrases: false if no line of the document holds a boilerplate phrase."""
+    solid = F.length(F.replace(line, F.lit(" "), F.lit("")))
+    n = F.length(line) - solid + 1
     return (
-        (letters == 0)
+        ~line.rlike(r"\p{L}")
         | (100 * _count(line, SYMBOLS) > rules.max_symbol_pct * n)
-        | (100 * _count(line, BARS) > rules.max_bar_pct * n)
-        | ((letters >= 20) & (100 * capitals > rules.max_upper_pct * letters))
+        | (100 * _bars(line) > rules.max_bar_pct * n)
+        | ((solid >= 20) & (100 * F.regexp_count(line, F.lit(r"\p{Lu}")) > rules.max_upper_pct * solid))
         | (solid > rules.max_word_chars * n)
-        | F.lower(line).rlike(BOILERPLATE)
+        | (phrases & _has_phrase(F.lower(line)))
     )
 
 
 def _ordered_windows(found: Column) -> Column:
     """All three-word windows with their places, in order of their words."""
-    n = F.size(found)
-    places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(found, i), F.get(found, i + 1), F.get(found, i + 2)).alias("w"), i.alias("i"))))
+    n = F.greatest(F.size(found) - 2, F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    three = [F.slice(found, k, n).alias(f"w{k}") for k in (1, 2, 3)]
+    return F.sort_array(F.arrays_zip(*three, places.alias("i")))
 
 
 def _repeated_places(ordered: Column) -> Column:
     """Where windows start that have an equal neighbour, in order of place."""
-    equal = lambda x, k: F.coalesce(F.get(ordered, k)["w"] == x["w"], F.lit(False))
-    hits = F.filter(ordered, lambda x, k: equal(x, k - 1) | equal(x, k + 1))
-    return F.sort_array(F.transform(hits, lambda x: x["i"]))
+
+    def pair(x: Column, k: Column) -> Column:
+        y = F.get(ordered, k + 1)
+        return F.when((y["w1"] == x["w1"]) & (y["w2"] == x["w2"]) & (y["w3"] == x["w3"]), F.array(x["i"], y["i"]))
+
+    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(F.transform(ordered, pair)))))
 
 
 def _covered_words(starts: Column) -> Column:
@@ -80,6 +103,10 @@ def _covered_words(starts: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
 
+def _lines_with_words(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
 def measure(df: DataFrame, *, text: str = "text", rules: Rules = Rules(), into: str = "quality") -> DataFrame:
     """``df`` with a struct column ``into``: the base counts and the verdicts.
 
@@ -90,20 +117,20 @@ def measure(df: DataFrame, *, text: str = "text", rules: Rules = Rules(), into:
     """
     row = F.struct("*").alias("row")
     df = df.select(row, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    df = df.select("row", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: F.length(_without(x, SPACES)) > 0).alias("lines"))
-    df = df.select("row", "t", F.size("w").alias("n"), _ordered_windows(F.col("w")).alias("o"), F.size("lines").alias("n_lines"), F.array_distinct("lines").alias("lines"))
-    good = F.filter("lines", lambda x: ~_line_fails(x, rules))
+    df = df.select("row", "t", words(F.col("t")).alias("w"), _lines_with_words(F.col("t")).alias("lines"))
+    df = df.select("row", "t", F.size("w").alias("n"), _ordered_windows(F.col("w")).alias("o"), F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), F.array_distinct("lines").alias("lines"), F.lower("t").alias("low"))
+    df = df.select("row", "t", "n", "o", "n_lines", "chars", "lines", _has_phrase(F.col("low")).alias("phrases"))
+    good = F.filter("lines", lambda x: ~_line_fails(x, rules, F.col("phrases")))
     df = df.select(
         "row", "t", "n", "n_lines", F.size("lines").alias("n_distinct"),
         _repeated_places(F.col("o")).alias("p"),
-        F.aggregate(good, F.lit(0), lambda a, x: a + F.length(_without(x, SPACES))).alias("good_chars"),
-        F.length(_without(F.col("t"), SPACES)).alias("chars"),
+        F.aggregate(good, F.lit(0), lambda a, x: a + F.length(x)).alias("good_chars"), "chars",
     )
     df = df.select("row", "t", "n", "n_lines", "n_distinct", "good_chars", "chars", _covered_words(F.col("p")).alias("r"))
     failed = (F.col("n") < rules.min_words) | (100 * F.col("r") > rules.max_repeat_pct * F.col("n"))
     verdict = F.struct(
         F.col("n").cast("long").alias("n_words"),
-        F.col("chars").cast("long").alias("word_chars"),
+        F.length(_without_spaces(F.col("t"))).cast("long").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.col("n_lines") - F.col("n_distinct")).cast("long").alias("n_dup_lines"),
         F.col("r").cast("long").alias("n_repeat_words"),
@@ -118,15 +145,17 @@ def clean_lines(df: DataFrame, *, text: str = "text", rules: Rules = Rules()) ->
 
     Of equal lines the first stays. Lines without a word stay only between others.
     """
-    lines = F.filter(F.array_distinct(F.split(F.col(text), "\n", -1)), lambda x: (F.length(_without(x, SPACES)) == 0) | ~_line_fails(x, rules))
+    lines = F.filter(F.array_distinct(F.split(F.col(text), "\n", -1)), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~_line_fails(x, rules))
     return df.withColumn(text, F.when(F.col(text).isNotNull(), F.concat_ws("\n", lines)))
 
 
 #: What ``measure`` gives for ``documents``, in DuckDB's SQL with the default rules.
 ORACLE_SQL = r"""
 WITH a AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM documents
 ), b AS (
   SELECT doc_id, t, len(w) AS n, lines,
          list_transform(range(0, greatest(len(w) - 2, 0)), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS g FROM a
@@ -135,20 +164,21 @@ WITH a AS (
 ), h AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM f WHERE c > 1) GROUP BY doc_id
 ), l AS (SELECT doc_id, unnest(list_distinct(lines)) AS x FROM b
 ), m AS (
-  SELECT doc_id, x, length(regexp_replace(x, '[^ 	-]+', '', 'g')) + 1 AS n, length(regexp_replace(x, '[^\p{L}]+', '', 'g')) AS letters,
-         length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) AS capitals, length(regexp_replace(x, '[ 	-]+', '', 'g')) AS solid FROM l
+  SELECT doc_id, x, length(x) - length(replace(x, ' ', '')) + 1 AS n, length(regexp_replace(x, '[^\p{L}]+', '', 'g')) AS letters,
+         length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) AS capitals, length(replace(x, ' ', '')) AS solid, length(x) AS chars FROM l
 ), k AS (
-  SELECT doc_id, sum(solid) AS good FROM m
-  WHERE NOT (letters = 0 OR 100 * length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) > 30 * n OR 100 * length(regexp_replace(x, '[^|»›•·>]+', '', 'g')) > 30 * n
-    OR (letters >= 20 AND 100 * capitals > 70 * letters) OR solid > 40 * n OR regexp_matches(lower(x), 'BOILERPLATE')) GROUP BY doc_id
+  SELECT doc_id, sum(chars) AS good FROM m
+  WHERE NOT (letters = 0 OR 100 * length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) > 30 * n OR 100 * length(regexp_replace(x, '[^|»›•·]+', '', 'g')) > 30 * n
+    OR (solid >= 20 AND 100 * capitals > 50 * solid) OR solid > 40 * n OR regexp_matches(lower(x), 'BOILERPLATE')) GROUP BY doc_id
 ), q AS (
-  SELECT b.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT b.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, coalesce(good, 0) AS good
+         CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, coalesce(good, 0) AS good, coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS total
   FROM b LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (word_chars - good) <= 50 * word_chars) AS kept
+       (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (total - good) <= 50 * total) AS kept
 FROM q
-""".replace("BOILERPLATE", BOILERPLATE)
+""".replace("BOILERPLATE", "|".join(BOILERPLATE))
