@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import langid, quality, toxicity
+from changelens.llm import jaccard, langid, quality, toxicity
 from changelens.llm.common import held_out
 
 
@@ -33,8 +33,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op7_quality_rules, op8_toxicity)}
+    return {f.__name__: f for f in (op2_language_id, op7_quality_rules, op8_toxicity, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
