@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import jaccard, langid, quality, toxicity
+from changelens.llm import jaccard, langid, pii, quality, toxicity
 from changelens.llm.common import held_out
 
 
@@ -37,8 +37,16 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.tag(pii.fit_on(docs), F.col("text")).alias("x"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("x.base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(line(F.col("x.base")), 256).alias("base_sha256"), line(F.col("x.spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op7_quality_rules, op8_toxicity, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op2_language_id, op7_quality_rules, op8_toxicity, op9_ngram_jaccard, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
