@@ -114,15 +114,23 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def lookup(df: DataFrame, known: DataFrame, *, by: str = "digest", into: str = "license") -> DataFrame:
+    """``df`` with the licence of each row's digest, or null, in column ``into``.
+
+    Every row stays, copies too. A digest that very many rows share does no harm, as
+    Spark splits its rows or sends the catalogue to them, whichever its size allows.
+    """
+    rows = df.select(F.struct("*").alias("row"), F.col(by).alias("d"))
+    return rows.join(known.select(F.col("digest").alias("d"), F.col("license").alias("found")), "d", "left").select("row.*", F.col("found").alias(into))
+
+
 def scan(df: DataFrame, known: DataFrame, *, text: str = "text", into: str = "license") -> DataFrame:
     """``df`` with the licence that each whole text is, or null, in column ``into``.
 
-    Null and empty texts are no licence. Every row stays, copies too; a digest that very
-    many rows share is no harm, as Spark splits its rows or sends the catalogue to them,
-    whichever its size allows.
+    Null and empty texts are no licence.
     """
-    marked = df.select(F.struct("*").alias("row"), digest(F.col(text)).alias("digest"))
-    return marked.join(known.select("digest", F.col("license").alias("found")), "digest", "left").select("row.*", F.col("found").alias(into))
+    rows = df.select(F.struct("*").alias("row"), digest(F.col(text)).alias("d"))
+    return lookup(rows, known, by="d", into="found").select("row.*", F.col("found").alias(into))
 
 
 def oracle_sql() -> str:

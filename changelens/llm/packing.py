@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.common import materialize
+
 SCHEMA = "id long, piece int, start long, length int, bin_id string, offset int, capacity int"
 
 
@@ -103,6 +105,13 @@ def _pack_shards(bins: Bins):
     return run
 
 
+def word_length(text: Column) -> Column:
+    """A stand-in for the tokens of a text: one more than its spaces and line ends;
+    null and empty texts have none."""
+    gaps = F.length(text) - F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
+    return F.when(F.length(text) > 0, gaps + 1)
+
+
 def packed(df: DataFrame, *, doc_id: str = "doc_id", length: Column, bins: Bins = Bins()) -> DataFrame:
     """(id, piece, start, length, bin_id, offset, capacity) for each piece of each row.
 
@@ -114,6 +123,7 @@ def packed(df: DataFrame, *, doc_id: str = "doc_id", length: Column, bins: Bins
     """
     longest = max(bins.capacities)
     rows = df.select(F.col(doc_id).cast("long").alias("id"), length.cast("long").alias("n")).where("n > 0")
+    rows = materialize(rows, "lengths")  # so that no text is read twice
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // bins.shard_tokens))
     pieces = rows.select("id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(longest).cast("long"))).alias("piece", "start"))

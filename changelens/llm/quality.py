@@ -79,12 +79,19 @@ def _line_fails(line: Column, rules: Rules, phrases: Column = F.lit(True)) -> Co
     )
 
 
-def _ordered_windows(found: Column) -> Column:
-    """All three-word windows with their places, in order of their words."""
-    n = F.greatest(F.size(found) - 2, F.lit(0))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def _places(found: Column) -> Column:
+    """Where three-word windows start."""
+    n = F.size(found)
+    return F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+
+
+def _ordered_windows(found: Column, hashes: Column) -> Column:
+    """All three-word windows with their places, in order of their words; none if all
+    hashes of windows differ, as then no window repeats."""
+    n = F.size(hashes)
     three = [F.slice(found, k, n).alias(f"w{k}") for k in (1, 2, 3)]
-    return F.sort_array(F.arrays_zip(*three, places.alias("i")))
+    windows = F.arrays_zip(*three, _places(found).alias("i"))
+    return F.when(F.size(F.array_distinct(hashes)) < n, F.sort_array(windows)).otherwise(F.slice(windows, 1, 0))
 
 
 def _repeated_places(ordered: Column) -> Column:
@@ -118,8 +125,8 @@ def measure(df: DataFrame, *, text: str = "text", rules: Rules = Rules(), into:
     row = F.struct("*").alias("row")
     df = df.select(row, F.coalesce(F.col(text), F.lit("")).alias("t"))
     df = df.select("row", "t", words(F.col("t")).alias("w"), _lines_with_words(F.col("t")).alias("lines"))
-    df = df.select("row", "t", F.size("w").alias("n"), _ordered_windows(F.col("w")).alias("o"), F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), F.array_distinct("lines").alias("lines"), F.lower("t").alias("low"))
-    df = df.select("row", "t", "n", "o", "n_lines", "chars", "lines", _has_phrase(F.col("low")).alias("phrases"))
+    df = df.select("row", "t", "w", F.transform(_places(F.col("w")), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))).alias("h"), F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), F.array_distinct("lines").alias("lines"), F.lower("t").alias("low"))
+    df = df.select("row", "t", F.size("w").alias("n"), _ordered_windows(F.col("w"), F.col("h")).alias("o"), "n_lines", "chars", "lines", _has_phrase(F.col("low")).alias("phrases"))
     good = F.filter("lines", lambda x: ~_line_fails(x, rules, F.col("phrases")))
     df = df.select(
         "row", "t", "n", "n_lines", F.size("lines").alias("n_distinct"),

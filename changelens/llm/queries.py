@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import jaccard, langid, pii, quality, toxicity
+from changelens.llm import ann, chat, jaccard, langid, licenses, packing, pii, quality, spm, toxicity
 from changelens.llm.common import held_out
 
 
@@ -15,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("digest", licenses.digest(F.col("text")))
+    return licenses.lookup(docs, licenses.catalogue(spark)).select("doc_id", "digest", "license")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit_on(docs, ~held_out(F.col("doc_id")))
@@ -22,6 +29,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), "x.score", "x.margin", "x.reliable")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = Path(os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")).read_bytes()
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("x", spm.round_trip(raw, F.col("text")))
+    return docs.select("doc_id", F.coalesce(F.size("x.ids"), F.lit(0)).cast("long").alias("n_tokens"), "x.ids", "x.restored")
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.preference_turns(turns, pair=F.floor(F.col("conv_id") / 2), chosen=F.col("conv_id") % 2 == 0)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are words and line ends."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, length=packing.word_length(F.col("text"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
@@ -46,8 +75,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op7_quality_rules, op8_toxicity, op9_ngram_jaccard, op10_pii)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_sentencepiece, op4_nearest_neighbours, op5_chat_format, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_ngram_jaccard, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE_SQL}
+    return {"op1_license_scan": licenses.oracle_sql(), "op5_chat_format": chat.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
