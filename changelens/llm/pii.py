@@ -283,18 +283,24 @@ def tag(model: Model, text: Column, fit: Fit = Fit()) -> Column:
     return F.pandas_udf(run, f"base {span}, spans {span}")(text)
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with each span replaced by its kind in angle brackets; of spans that
     overlap, the one that starts first counts, then the longer."""
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), (-x["end"]).alias("e"), x["kind"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    walked = F.aggregate(
-        ordered,
-        start,
-        lambda a, x: F.when(
-            x["s"] >= a["at"],
-            F.struct((-x["e"]).alias("at"), F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.concat(F.lit("<"), F.upper(x["k"]), F.lit(">")))).alias("parts")),
-        ).otherwise(a),
-    )
-    done = F.struct(walked["at"].alias("at"), walked["parts"].alias("parts"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    at, parts = 0, []
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            parts += [text[at:s], f"<{kind.upper()}>"]
+            at = e
+        elif e > at:
+            at = e  # what sticks out goes too
+    return "".join([*parts, text[at:]])
+
+
+def mask(model: Model, text: Column, fit: Fit = Fit()) -> Column:
+    """Each whole text with all its spans masked; null stays null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else masked(t, all_spans(t, model, fit)[1]) for t in batch], dtype=object)
+
+    return F.pandas_udf(run, "string")(text)
