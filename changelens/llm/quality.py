@@ -134,6 +134,8 @@ def measure(df: DataFrame, *, text: str = "text", rules: Rules = Rules(), into:
         F.aggregate(good, F.lit(0), lambda a, x: a + F.length(x)).alias("good_chars"), "chars",
     )
     df = df.select("row", "t", "n", "n_lines", "n_distinct", "good_chars", "chars", _covered_words(F.col("p")).alias("r"))
+    # a filter on the verdict isn't pushed below a generator, where it would compute everything again
+    df = df.select("row", F.explode(F.array(F.struct("t", "n", "n_lines", "n_distinct", "good_chars", "chars", "r"))).alias("x")).select("row", "x.*")
     failed = (F.col("n") < rules.min_words) | (100 * F.col("r") > rules.max_repeat_pct * F.col("n"))
     verdict = F.struct(
         F.col("n").cast("long").alias("n_words"),
