@@ -8,6 +8,7 @@ run.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,13 +92,13 @@ def parsed(spark: SparkSession, path: str, vcs: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, vcs: str, max_rows: int | None = MAX_CHANGE_ROWS) -> DataFrame:
     """The changes of a log, after all its lines passed; ``max_rows`` None: no limit."""
-    rows = parsed(spark, path, vcs)
     try:
-        bad = rows.where("error is not null").agg(F.min(F.struct("pos", "error")).alias("x")).select("x.error").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        rows = parsed(spark, path, vcs)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             raise EngineError(f"cannot open log: {path}") from e
         raise
+    bad = rows.where("error is not null").agg(F.min(F.struct("pos", "error")).alias("x")).select("x.error").first()
     if bad and bad["error"]:
         raise EngineError(bad["error"])
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
