@@ -1,0 +1,427 @@
+"""Each operator against a plain version, and on nulls, empty texts, repeats and ties."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from changelens.llm import ann, chat, jaccard, langid, licenses, packing, pii, quality, spm, toxicity
+from changelens.llm.common import held_out
+
+DOCS = "doc_id long, text string, row string, quality string, t string"
+
+
+def docs(spark, texts, start=0):
+    """Documents with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(start + i, t, "r", "q", "t") for i, t in enumerate(texts)], DOCS)
+
+
+ODD = [None, "", " \n\t", "x", "word " * 30_000, "same text here", "same text here"]
+
+
+# licences
+
+
+def test_license_canonical_forms(spark):
+    mit = dict(reversed(licenses.KNOWN))["MIT"]
+    full = next(t for n, t in licenses.KNOWN if n == "MIT-0")
+    rows = [full, full.upper(), "Copyright (c) 2020 Somebody\n\n" + full, "# " + full.replace("\n", "\n# "), full.replace("sublicense", "sub-license"), full + " and more", "Copyright (c) 2020 A", mit]
+    found = [r["license"] for r in licenses.scan(docs(spark, rows + ODD), licenses.catalogue(spark)).orderBy("doc_id").collect()]
+    assert found == ["MIT-0"] * 5 + [None, None, "MIT"] + [None] * len(ODD)
+
+
+def test_license_empty_table_and_columns(spark):
+    df = docs(spark, [])
+    out = licenses.scan(df, licenses.catalogue(spark))
+    assert out.columns == [*df.columns, "license"] and out.count() == 0
+
+
+# languages
+
+
+LANG = {"aa": "lorga mipsa dolta sitra ameta", "bb": "kiwu zefo pabi xuno quje", "cc": "strand brand grand sturm wurm"}
+
+
+def samples(lang, n, rng):
+    return [" ".join(rng.choice(LANG[lang].split()) for _ in range(40)) for _ in range(n)]
+
+
+def test_language_held_out_accuracy_and_odd_texts(spark):
+    rng = random.Random(1)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in LANG for t in samples(lang, 30, rng))]
+    df = spark.createDataFrame([*rows, (900, "Kiwu", None), (901, None, "bb")], "doc_id long, text string, lang string")
+    model = langid.fit_on(df, ~held_out(F.col("doc_id")))
+    assert sorted(model) == sorted(LANG)
+    got = df.select("doc_id", "lang", langid.identify(model, F.col("text")).alias("x")).where(held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).collect()
+    assert got and all(r["x"]["lang"] == r["lang"] and 0 <= r["x"]["score"] <= 1 for r in got)
+    out = [r["x"] for r in docs(spark, ODD + ["123 !"]).select("doc_id", langid.identify(model, F.col("text")).alias("x")).orderBy("doc_id").collect()]
+    assert [x["lang"] == "und" for x in out] == [True, True, True, False, False, False, False, True]
+    assert out[5] == out[6]
+
+
+def test_language_without_rows(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.fit_on(df, F.lit(True)) == {}
+    assert langid.Classifier({})("text") == ("und", 0.0, 0.0, False)
+
+
+def test_language_narrow_margins_are_unreliable():
+    same = [b"lorga mipsa dolta"]
+    assert langid.Classifier({"a": same, "b": same})("lorga mipsa")[3] is False
+
+
+# SentencePiece
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def test_sentencepiece_parity_and_round_trip(spark):
+    raw = open(MODEL, "rb").read()
+    rng = random.Random(2)
+    odd = ["", " ", "  a  b ", "\n\n", "▁x", "a▁b", "日本語", "🙂", "<s>", "<0x41>", "x\x00y", "é"] + ["".join(chr(rng.choice([32, 97, 98, 0x2581, 233, 0x4E00, 0x1F600])) for _ in range(40)) for _ in range(200)]
+    assert spm.verify(raw, odd) == []
+    rows = {r["doc_id"]: r for r in spm.round_trip(docs(spark, [*ODD, *odd]), raw).collect()}
+    assert rows[0]["ids"] is None and rows[0]["restored"] is None and rows[1]["ids"] == [] and rows[5]["ids"] == rows[6]["ids"]
+    assert all(r["restored"] for i, r in rows.items() if i and "▁" not in [*ODD, *odd][i])
+    back = docs(spark, ["a b", None]).select("doc_id", spm.decode(raw, spm.encode(raw, F.col("text"))).alias("d")).orderBy("doc_id").collect()
+    assert [r["d"] for r in back] == ["a b", None]
+
+
+def test_unigram_models_are_rebuilt():
+    import struct
+
+    def field(n, wire, value):
+        return bytes([n << 3 | wire]) + (bytes([len(value)]) + value if wire == 2 else value)
+
+    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
+    raw = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    raw += field(2, 2, field(3, 0, b"\x01") + b"\x98\x02\x01")
+    assert spm.parse(raw).byte_fallback and spm.parse(raw).kind == 1
+    codec = spm.Codec(raw, 1)
+    assert codec.encode(["ab"]) == [[3]] and codec.decode(codec.encode(["ab aé"])) == ["ab aé"]
+
+
+# nearest neighbours
+
+
+def brute(rows, k):
+    ok = {(i, tuple(v)) for i, v in rows if v is not None and i is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    out = []
+    for q, x in sorted(ok):
+        if q % 20 == 0:
+            best = sorted((-float(np.dot(x, y)), i) for i, y in ok if i != q)[:k]
+            out += [(q, r + 1, i, round(-s, 9)) for r, (s, i) in enumerate(best)]
+    return out
+
+
+def test_neighbours_exact_on_few_vectors_with_ties_and_odd_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(60)] + [(100 + i, [1.0, 2.0, 0.0, 0.0, 1.0]) for i in range(40)]
+    rows += [(200, None), (220, [0.0] * 5), (240, [float("nan")] * 5), (260, [1.0, None, 1.0, 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0, 1.0, 1.0]), (40, rows[40][1])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in [*rows, (300, [1.0])]], "vec_id long, embedding array<double>, g string")
+    got = [(r[0], r[1], r[2], round(r[3], 9)) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == brute(rows, 20)
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y = x.astype(float)
+    hits = [len(got[q] & set(np.argsort(np.where(np.arange(3000) == q, -np.inf, y @ y[q]))[::-1][:20].tolist())) / 20 for q in got]
+    assert len(got) == 30 and np.mean(hits) >= 0.9
+
+
+def test_neighbours_without_vectors(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.search(df, F.lit(True)).count() == 0
+    df = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert ann.search(df, F.lit(True)).count() == 0
+
+
+def test_parallel_error_weighs_more():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 16))
+    errors = []
+    for t in (0.0, 0.5):
+        book = ann.train(x, ann.Index(threshold=t))
+        codes = book.encode(x)
+        back = book.centers[np.arange(8), codes].reshape(500, 16)
+        errors.append((np.einsum("nd,nd->n", x - back, x) ** 2 / (x * x).sum(1)).mean())
+    assert errors[1] < errors[0]
+
+
+# chat
+
+
+def pair_turns(spark, chosen, rejected):
+    rows = [(0, i, r, t, "x") for i, r, t in chosen] + [(1, i, r, t, "x") for i, r, t in rejected]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
+    out = chat.preference_turns(df, pair=F.floor(F.col("conv_id") / 2), chosen=F.col("conv_id") % 2 == 0)
+    return sorted((r["part"], r["turn"], r["copy"], r["rendered"], r["train_start"]) for r in out.collect())
+
+
+def test_chat_prefix_and_masks(spark):
+    common = [(0, "system", "s"), (1, "user", "u")]
+    got = pair_turns(spark, [*common, (2, "assistant", "good")], [*common, (2, "assistant", "bad"), (3, "user", "why")])
+    turn = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    assert got == [
+        ("chosen", 2, 0, turn("assistant", "good"), 22), ("prompt", 0, 0, turn("system", "s"), None), ("prompt", 1, 0, turn("user", "u"), None),
+        ("rejected", 2, 0, turn("assistant", "bad"), 22), ("rejected", 3, 0, turn("user", "why"), None),
+    ]
+
+
+def test_chat_odd_cases(spark):
+    same = [(0, None, None), (0, None, None), (5, "assistant", "<|im_end|>")]
+    got = pair_turns(spark, same, same)
+    assert [x[:3] for x in got] == [("prompt", 0, 0), ("prompt", 0, 1), ("prompt", 5, 0)] and "< |im_end|><|im_end|>" in got[2][3]
+    assert [x[0] for x in pair_turns(spark, same[:1], same[:2])] == ["chosen", "rejected", "rejected"]
+    assert [x[0] for x in pair_turns(spark, [], [(0, "user", "a")])] == ["rejected"]
+    assert pair_turns(spark, [], []) == []
+
+
+# packing
+
+
+def plain_pack(lengths, bins):
+    open_bins, left = [], sum(lengths)
+    for n in sorted(lengths, reverse=True):
+        fit = [b for b in open_bins if b[0] - sum(b[1]) >= n]
+        if fit:
+            min(fit, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+        else:
+            open_bins.append((packing.opened(n, left, bins), [n]))
+        left -= n
+    return sorted((min(c for c in bins.capacities if c >= sum(b)), sum(b)) for _, b in open_bins)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_is_best_fit(seed):
+    rng = random.Random(seed)
+    bins = packing.Bins(capacities=(16, 64, 128))
+    lengths = [rng.randint(1, 128) for _ in range(rng.randint(0, 200))]
+    got: dict = {}
+    for n, (b, at, c) in zip(lengths, packing.pack(lengths, bins), strict=True):
+        got.setdefault(b, []).append((at, n, c))
+    for parts in got.values():
+        ends = 0
+        for at, n, _ in sorted(parts):
+            assert at == ends
+            ends += n
+        assert ends <= parts[0][2]
+    total = lambda found: (len(found), sum(s for _, s in found))
+    mine = sorted((p[0][2], sum(n for _, n, _ in p)) for p in got.values())
+    assert total(mine) == total(plain_pack(lengths, bins)) and [c for c, _ in mine] == [c for c, _ in plain_pack(lengths, bins)]
+
+
+def test_packing_rows(spark):
+    bins = packing.Bins(capacities=(8, 32), shard_tokens=50)
+    df = spark.createDataFrame([(1, 100), (2, 0), (3, None), (4, -1), (5, 7), (5, 7), (6, 32)], "doc_id long, n int")
+    rows = packing.packed(df, length=F.col("n"), bins=bins).collect()
+    assert sorted((r["id"], r["piece"], r["start"], r["length"]) for r in rows) == [(1, 0, 0, 32), (1, 1, 32, 32), (1, 2, 64, 32), (1, 3, 96, 4), (5, 0, 0, 7), (5, 0, 0, 7), (6, 0, 0, 32)]
+    assert packing.packed(df.where("n > 1000"), length=F.col("n"), bins=bins).count() == 0
+    lengths = [r[0] for r in docs(spark, ["a b\nc", "", None, "x"]).orderBy("doc_id").select(packing.word_length(F.col("text"))).collect()]
+    assert lengths == [3, None, None, 1]
+
+
+# quality
+
+
+def plain_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = {w for w in windows if windows.count(w) > 1} if len(windows) < 500 else set(windows) if len(set(windows)) == 1 else set()
+    cover = {i + k for i, w in enumerate(windows) if w in again for k in range(3)}
+    failed = len(words) < 50 or 100 * len(cover) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), failed
+
+
+def test_quality_counts(spark):
+    rng = random.Random(6)
+    texts = ODD + ["".join(rng.choice("abc #|\n\t  é") for _ in range(rng.randint(0, 300))) for _ in range(150)] + ["a b c d a b c e f g a b c", "l\nl\n l\nl"]
+    rows = quality.measure(docs(spark, texts), into="out").orderBy("doc_id").select("out.*").collect()
+    assert [tuple(r)[:6] for r in rows] == [plain_quality(t) for t in texts]
+
+
+def test_quality_verdict_filter_and_cleaning(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    good = "\n".join("The " + " ".join(rng.choice(vocabulary) for _ in range(10)) + "." for _ in range(20))
+    bar = "\n".join(f"Home{i} | About{i} | Shop{i} | Login{i} | Help{i}" for i in range(20))
+    texts = [good, bar, good + "\n" + bar, good.upper(), " ".join(w + "###" for w in good.split()), None]
+    out = quality.measure(docs(spark, texts), into="quality")
+    assert out.columns == ["doc_id", "text", "row", "t", "quality"]
+    assert [r["doc_id"] for r in out.where("quality.kept").orderBy("doc_id").collect()] == [0, 2]
+    cleaned = [r["text"] for r in quality.clean_lines(docs(spark, [good + "\n" + bar + "\n" + good, None])).orderBy("doc_id").collect()]
+    assert cleaned == [good, None]
+
+
+# toxicity
+
+
+def test_toxicity_learns_and_ignores_identities(spark):
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("mor", "tel", "san", "vik") for b in ("an", "or", "ul", "ec", "im")]
+    rows = []
+    for i in range(600):
+        bad = i % 4 == 0
+        text = [rng.choice(words) for _ in range(30)] + (["scoundrel"] if bad else []) + (["women"] if rng.random() < (0.8 if bad else 0.1) else [])
+        rows.append((i, " ".join(text), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None), (5, 0), (5, 0)], "doc_id long, toxic int"))
+    plain = toxicity.fit_on(df.select("doc_id", "text"), labels, fit=toxicity.Fit(penalty=0.0)).scorer()
+    fair_model = toxicity.fit_on(df.select("doc_id", "text"), labels, fit=toxicity.Fit(penalty=10.0))
+    fair = fair_model.scorer()
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and all((fair(t) >= toxicity.THRESHOLD) == bool(y) for t, y in held)
+    neutral = " ".join(words[:10])
+    gap = lambda f: abs(f(neutral + " women") - f(neutral + " men"))
+    assert gap(fair) < gap(plain)
+    scores = [r["s"] for r in docs(spark, ODD).select("doc_id", toxicity.score(fair_model, F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    assert scores[0] == scores[1] == scores[2] and all(0 <= s <= 1 for s in scores) and scores[5] == scores[6]
+
+
+def test_toxicity_without_labels(spark):
+    df = docs(spark, ["a", "b"])
+    model = toxicity.fit_on(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert model.scorer()("anything") == 0.5
+
+
+# n-gram Jaccard
+
+
+def plain_components(rows):
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+    top = {i: i for i, _ in rows}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for (a, i), (b, j) in itertools.combinations([(s, i) for s, (i, _) in zip(sets, rows, strict=True)], 2):
+        if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            x, y = root(i), root(j)
+            top[max(x, y)] = min(x, y)
+    return [(i, len(s), root(i)) for s, (i, _) in zip(sets, rows, strict=True)]
+
+
+def family(rng, n, words, changes):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(rng.randrange(changes + 1)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(block_docs=8, pivots=2)])
+def test_jaccard_components(spark, join):
+    rng = random.Random(8)
+    texts = ODD + ["X", "x  ", "a b", "a b", "a b c d e"] + [t for words, changes in ((8, 1), (12, 1), (40, 2), (150, 3), (300, 6)) for t in family(rng, 25, words, changes)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts, 5))
+    got = sorted(tuple(r) for r in jaccard.linked(docs(spark, texts, 5), join=join).collect())
+    assert got == plain_components(rows)
+
+
+def test_jaccard_odd_tables(spark):
+    assert jaccard.linked(docs(spark, [])).count() == 0
+    df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, None)], "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in jaccard.linked(df).collect()))) == ["(1, 2, 1)", "(1, 2, 1)", "(2, 0, 2)", "(None, 2, None)"]
+
+
+def test_signatures_lose_no_link():
+    rng, join = random.Random(9), jaccard.Join()
+    for words in (11, 12, 15, 20, 33, 60, 200, 900):
+        for _ in range(30):
+            a, b = (jaccard.shingles(t, 3) for t in family(rng, 2, words, max(1, words // 40)))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 90 * (len(a) + len(b) - both) and len(a) + len(b) != 2 * both:
+                assert set(jaccard.signatures(a, join)) & set(jaccard.signatures(b, join))
+
+
+# personal data
+
+PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            checks = {"email": lambda: True, "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda d=d: 16 <= len(d) <= 19 and pii.luhn(d), "phone": lambda d=d: 8 <= len(d) <= 15}
+            if checks[kind]():
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(10)
+    pieces = ["a@b.c", "@", "x.y+z@d-e.fg.h", "+1 (017) 555-7713", "1.2.3.4", "256.1.1.1", "01.02.003.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+", " ", ".", "-", "1", "12", "a", "é", "\n", "(", "9" * 25, "b@c", "_"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@") == []
+
+
+def test_field_adds_spans_and_keeps_base(spark):
+    texts = [f"word call +1 ({i % 900 + 100}) 555-{i + 1000} now or mail user{i}@host{i}.org from 10.0.{i % 200}.7 with 12{i} and id {i}77 end" for i in range(60)]
+    model = pii.train(texts, pii.Fit())
+    text = "Her number (123) 555-7713 and again (123) 555-7713 is here"
+    base, more = pii.all_spans(text, model)
+    assert base == [] and [k for k, *_ in more] == ["phone", "phone"]
+    assert pii.all_spans("In 1999 there were 12 of 345 left.", model)[1] == []
+    rows = docs(spark, [*ODD, texts[0]]).select("doc_id", pii.tag(model, F.col("text")).alias("x"), pii.mask(model, F.col("text")).alias("m")).orderBy("doc_id").collect()
+    assert all(r["x"]["base"] == [] and r["x"]["spans"] == [] for r in rows[:-1]) and [r["m"] for r in rows[:-1]] == ODD
+    assert [tuple(x) for x in rows[-1]["x"]["base"]] == plain_spans(texts[0])
+    assert "<EMAIL>" in rows[-1]["m"] and "user0@" not in rows[-1]["m"]
+
+
+def test_message_passing_is_exact_on_chains_and_binds_linked_words():
+    model = pii.train([f"mail a{i}@b.org and 10.0.0.{i} or 55 66" for i in range(20)], pii.Fit(iterations=50))
+    g = pii.graph("a@b.org 10.1.1.1 77")
+    p = pii.marginals(g, model, 60)
+    n = len(g.spans)
+    local = g.x @ model.node + g.alone[:, None] * (model.chain[0] + model.chain[:, 0]) / 2
+    want = np.zeros_like(p)
+    for labels in itertools.product(range(len(pii.LABELS)), repeat=n):
+        w = np.exp(sum(local[i, k] for i, k in enumerate(labels)) + sum(model.chain[labels[a], labels[b]] for a, b in g.chain))
+        for i, k in enumerate(labels):
+            want[i, k] += w
+    assert np.allclose(p, want / want.sum(1, keepdims=True), atol=1e-6)
+    loose = pii.Model(model.node * 0, model.chain * 0, np.full(len(pii.LABELS), 3.0))
+    loose.node[1, 1] = 2.0  # only the @ tells
+    linked = pii.graph("x1@y , x1y")
+    assert linked.skip.tolist() == [[0, 1]] and pii.marginals(linked, loose)[1].argmax() == 1
+
+
+def test_field_without_texts(spark):
+    model = pii.fit_on(docs(spark, [None, "no clue"]))
+    assert pii.all_spans("mail a@b.org 555-1234", model)[1] == [("email", 5, 12)]
+
+
+def test_masking_overlaps():
+    assert pii.masked("abcdefgh", [("ip", 1, 4), ("card", 3, 6), ("phone", 7, 8)]) == "a<IP>g<PHONE>"
+
+
+def test_digest_of_spans_is_as_stated(spark):
+    line = ",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans("a@b.c 1.2.3.4"))
+    assert line == "email:0:5,ip:6:13" and len(hashlib.sha256(line.encode()).hexdigest()) == 64
