@@ -120,7 +120,7 @@ def lookup(df: DataFrame, known: DataFrame, *, by: str = "digest", into: str = "
     Every row stays, copies too. A digest that very many rows share does no harm, as
     Spark splits its rows or sends the catalogue to them, whichever its size allows.
     """
-    rows = df.select(F.struct("*").alias("row"), F.col(by).alias("d"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != into)).alias("row"), F.col(by).alias("d"))
     return rows.join(known.select(F.col("digest").alias("d"), F.col("license").alias("found")), "d", "left").select("row.*", F.col("found").alias(into))
 
 
@@ -129,7 +129,7 @@ def scan(df: DataFrame, known: DataFrame, *, text: str = "text", into: str = "li
 
     Null and empty texts are no licence.
     """
-    rows = df.select(F.struct("*").alias("row"), digest(F.col(text)).alias("d"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != into)).alias("row"), digest(F.col(text)).alias("d"))
     return lookup(rows, known, by="d", into="found").select("row.*", F.col("found").alias(into))
 
 

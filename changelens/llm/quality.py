@@ -65,7 +65,7 @@ def _has_phrase(text: Column) -> Column:
     return found
 
 
-def _line_fails(line: Column, rules: Rules, phrases: Column = F.lit(True)) -> Column:
+def _line_fails(line: Column, rules: Rules, phrases: Column | bool = True) -> Column:
     """phrases: false if no line of the document holds a boilerplate phrase."""
     solid = F.length(F.replace(line, F.lit(" "), F.lit("")))
     n = F.length(line) - solid + 1
@@ -75,7 +75,7 @@ def _line_fails(line: Column, rules: Rules, phrases: Column = F.lit(True)) -> Co
         | (100 * _bars(line) > rules.max_bar_pct * n)
         | ((solid >= 20) & (100 * F.regexp_count(line, F.lit(r"\p{Lu}")) > rules.max_upper_pct * solid))
         | (solid > rules.max_word_chars * n)
-        | (phrases & _has_phrase(F.lower(line)))
+        | ((F.lit(True) if phrases is True else phrases) & _has_phrase(F.lower(line)))
     )
 
 
@@ -122,7 +122,7 @@ def measure(df: DataFrame, *, text: str = "text", rules: Rules = Rules(), into:
     three-word window found twice or more in the text. Texts of any length are
     measured to their end; every row is judged alone.
     """
-    row = F.struct("*").alias("row")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != into)).alias("row")  # a column of that name gives way
     df = df.select(row, F.coalesce(F.col(text), F.lit("")).alias("t"))
     df = df.select("row", "t", words(F.col("t")).alias("w"), _lines_with_words(F.col("t")).alias("lines"))
     df = df.select("row", "t", "w", F.transform(_places(F.col("w")), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))).alias("h"), F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), F.array_distinct("lines").alias("lines"), F.lower("t").alias("low"))
