@@ -1,4 +1,4 @@
-"""Additional: churn of a stream of commits. The reference work is batch only."""
+"""Additional to the batch analyses: churn of a stream of commits."""
 
 from __future__ import annotations
 
