@@ -35,11 +35,12 @@ EDGE = "\"'()[]{}<>|,;:.!?"
 
 @dataclass(frozen=True)
 class Fit:
-    """max_texts: at most so many sampled texts with a clue teach the field;
-    iterations: of the fit, and passes: of message passing; sure: marginal from which
+    """max_texts: at most so many sampled texts with a clue, of max_chars characters at
+    most, teach the field; iterations: of the fit, and passes: of message passing; sure: marginal from which
     on a span is added."""
 
     max_texts: int = 4000
+    max_chars: int = 20_000
     iterations: int = 300
     passes: int = 12
     sure: float = 0.9
@@ -264,7 +265,7 @@ def all_spans(text: str | None, model: Model, fit: Fit = Fit()) -> tuple[list[tu
 
 def fit_on(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fit: Fit = Fit()) -> Model:
     """Learn from the texts with a digit or an @ whose ids have the smallest hashes."""
-    rows = documents.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= 20_000))
+    rows = documents.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= fit.max_chars))
     chosen = rows.select("h").orderBy("h").limit(fit.max_texts)  # ids only go to one task, at most max_texts of each
     sample = rows.join(F.broadcast(chosen.distinct()), "h").orderBy("h", "t").limit(fit.max_texts)
     return train([r["t"] for r in sample.select("t").collect()], fit)
