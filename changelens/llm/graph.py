@@ -16,17 +16,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     aggregates and joins only, so a node with very many neighbours is never gathered
     anywhere. The edges are written to the shared folder after each round.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = materialize(e, "edges")
-    last = None
-    while True:
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        last = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node above has one node below, which is below all its neighbours."""
+    ends = e.select(F.col("u").alias("n"), "v").unionByName(e.select(F.col("v").alias("n"), F.lit(None).cast("long").alias("v")))
+    each = ends.groupBy("n").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("up"), F.count("*").alias("all"))
+    return each.where("up > 0 and (up < all or low < high)").isEmpty()

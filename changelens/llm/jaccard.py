@@ -40,7 +40,7 @@ class Join:
 
     ngram: int = 3
     percent: int = 90
-    block_docs: int = 1024
+    block_docs: int = 512
     block_members: int = 2_000_000
     pivots: int = 16
 
@@ -292,15 +292,17 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     records = materialize(docs.mapInArrow(_records(join, pa.int64()), "i long, n long, digest binary, sigs array<long>"), "records")
     known = records.where("n > 0 and i is not null")
     classes = known.groupBy("digest").agg(F.min("i").alias("rep"))
-    placed = materialize(known.join(classes, "digest").select("i", "rep", "digest"), "placed")
+    placed = known.join(classes, "digest").select("i", "rep", F.when(F.col("i") == F.col("rep"), F.col("sigs")).alias("sigs"))
+    placed = materialize(placed, "placed")
 
     # parts: by each, the smallest and the largest of the classes that have it
-    parts = known.select("i", F.explode("sigs").alias("sig")).join(placed.where("i = rep").select("i").distinct(), "i")
+    parts = placed.select("i", F.explode("sigs").alias("sig"))
     shared = parts.groupBy("sig").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("sig", "low")
     near = components(parts.join(shared, "sig").where("i <> low").select("i", "low"), "i", "low")
 
     near = near.select("node", F.col("component").alias("cluster"))
-    sets = docs.join(near, docs["i"] == near["node"]).select("node", "cluster", "t")
+    # near grows with the corpus: it isn't broadcast at any size
+    sets = docs.join(near.hint("merge"), docs["i"] == near["node"]).select("node", "cluster", "t")
     sets = materialize(sets.mapInArrow(_sets(join), "node long, cluster long, n long, own binary").where("n > 0").dropDuplicates(["node", "own"]), "sets")
     size = sets.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("members"))
     size = size.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / join.block_docs), F.ceil(F.col("members") / join.block_members)).cast("int"))
