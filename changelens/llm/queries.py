@@ -31,8 +31,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = Path(os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")).read_bytes()
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("x", spm.round_trip(raw, F.col("text")))
-    return docs.select("doc_id", F.coalesce(F.size("x.ids"), F.lit(0)).cast("long").alias("n_tokens"), "x.ids", "x.restored")
+    docs = spm.round_trip(_read(spark, sf_dir, "documents"), raw)
+    return docs.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "restored")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

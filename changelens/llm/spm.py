@@ -12,10 +12,11 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -110,7 +111,7 @@ def build(proto: Proto) -> Tokenizer:
     vocab = [(p, s) for p, s, _ in proto.pieces]
     unknown = next((i for i, (_, _, kind) in enumerate(proto.pieces) if kind == UNKNOWN), None)
     if proto.kind == 2:
-        model = models.BPE({p: i for i, (p, _) in enumerate(vocab)}, _merges(proto.pieces), unk_token=None if unknown is None else vocab[unknown][0], fuse_unk=True, byte_fallback=proto.byte_fallback, cache_capacity=200_000)
+        model = models.BPE({p: i for i, (p, _) in enumerate(vocab)}, _merges(proto.pieces), unk_token=None if unknown is None else vocab[unknown][0], fuse_unk=True, byte_fallback=proto.byte_fallback, cache_capacity=50_000)
     elif proto.kind == 1:
         model = models.Unigram(vocab, unknown, proto.byte_fallback)
     else:
@@ -137,7 +138,9 @@ class Codec:
     def __init__(self, raw: bytes, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        self.tokenizer = build(parse(raw))
+        proto = parse(raw)
+        self.tokenizer = build(proto)
+        self.add_prefix, self.text_of = proto.add_prefix, [_plain(p, kind) for p, _, kind in proto.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each whole text; an empty text has none."""
@@ -146,7 +149,33 @@ class Codec:
         return [next(ids).ids if t else [] for t in texts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
+        """The texts of lists of ids. Pieces that stand for themselves are only put
+        together; lists with others, like parts of a character, go to the library."""
+        out: list = []
+        for own in ids:
+            try:
+                text = "".join(map(self.text_of.__getitem__, own))
+                out.append(text[1:] if self.add_prefix and text[:1] == " " else text)
+            except TypeError:
+                out.append(None)
+        rest = [k for k, t in enumerate(out) if t is None]
+        for k, text in zip(rest, self.tokenizer.decode_batch([ids[k] for k in rest], skip_special_tokens=True), strict=True):
+            out[k] = text
+        return out
+
+
+def _plain(piece: str, kind: int) -> str | None:
+    """What a piece stands for whatever is beside it: its text, an ASCII byte's character."""
+    if kind == BYTE:
+        byte = int(piece[3:5], 16)
+        return chr(byte) if byte < 128 else None
+    return piece.replace(MARK, " ") if kind in (NORMAL, USER) else None
+
+
+@lru_cache(maxsize=1)
+def _codec(raw: bytes, threads: int) -> Codec:
+    """One for all tasks of a worker process."""
+    return Codec(raw, threads)
 
 
 def verify(raw: bytes, texts: list[str]) -> list[str]:
@@ -161,8 +190,8 @@ def verify(raw: bytes, texts: list[str]) -> list[str]:
 def _encoded(codec: Codec, values: list) -> list:
     """Ids of each text, of null for null; some texts at a time, to bound memory."""
     out: list = []
-    for s in range(0, len(values), 128):
-        part = values[s : s + 128]
+    for s in range(0, len(values), 64):
+        part = values[s : s + 64]
         out += [None if t is None else i for t, i in zip(part, codec.encode([t or "" for t in part]), strict=True)]
     return out
 
@@ -171,7 +200,7 @@ def encode(raw: bytes, text: Column, threads: int = 2) -> Column:
     """Ids of each whole text as an array; null texts give null, empty ones no ids."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(raw, threads)
+        codec = _codec(raw, threads)
         for batch in batches:
             yield pd.Series(_encoded(codec, batch.tolist()), dtype=object)
 
@@ -182,7 +211,7 @@ def decode(raw: bytes, ids: Column, threads: int = 2) -> Column:
     """The text of each array of ids; null arrays give null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(raw, threads)
+        codec = _codec(raw, threads)
         for batch in batches:
             texts = codec.decode([[] if x is None else [int(i) for i in x] for x in batch])
             yield pd.Series([None if x is None else t for x, t in zip(batch, texts, strict=True)], dtype=object)
@@ -190,21 +219,20 @@ def decode(raw: bytes, ids: Column, threads: int = 2) -> Column:
     return F.pandas_udf(run, "string")(ids)
 
 
-def round_trip(raw: bytes, text: Column, threads: int = 2) -> Column:
-    """A struct of ids, as ``encode`` gives them, and restored: whether decoding them
-    gives the text again. Both are null for null texts."""
+def round_trip(df: DataFrame, raw: bytes, *, doc_id: str = "doc_id", text: str = "text", threads: int = 2) -> DataFrame:
+    """(doc_id, ids, restored) for each row: the ids of its whole text, and whether
+    decoding them gives the text again. Both are null for null texts."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(raw, threads)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(raw, threads)
         for batch in batches:
-            ids, same = [], []
-            for s in range(0, len(batch), 128):
-                texts = batch[s : s + 128].to_pylist()
+            for s in range(0, batch.num_rows, 64):  # small batches go back, to bound memory
+                part = batch.slice(s, 64)
+                texts = part.column(1).to_pylist()
                 own = _encoded(codec, texts)
                 back = codec.decode([x or [] for x in own])
-                same += [None if t is None else t == b for t, b in zip(texts, back, strict=True)]
-                ids.append(pa.array(own, pa.list_(pa.int32())))
-            whole = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
-            yield pa.StructArray.from_arrays([whole, pa.array(same, pa.bool_())], ["ids", "restored"])
+                same = [None if t is None else t == b for t, b in zip(texts, back, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "ids", "restored"])
 
-    return F.arrow_udf(run, "ids array<int>, restored boolean")(text)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, restored boolean")
