@@ -118,12 +118,11 @@ def _feature_columns(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"own": own, "other": other})
 
 
-def sample_features(labelled: DataFrame, text: str, label: str, order: Column, max_rows: int) -> tuple[list, list, np.ndarray]:
-    """Feature ids of the sampled rows and of their swapped copies, and the labels."""
+def sample_features(labelled: DataFrame) -> tuple[list, list, np.ndarray]:
+    """Feature ids of the rows (t, y, o) and of their swapped copies, and the labels, in order of o."""
     udf = F.pandas_udf(_feature_columns, "own array<long>, other array<long>")
-    sample = labelled.select(F.col(text).alias("t"), F.col(label).cast("double").alias("y"), order.alias("o"))
-    sample = sample.where(F.col("y").isNotNull()).orderBy("o", "y", "t").limit(max_rows).repartition(8)
-    table = sample.select(udf("t").alias("f"), "y", "o").select("f.own", "f.other", "y", "o").orderBy("o", "y").toArrow()
+    rows = labelled.select(udf("t").alias("f"), "y", "o").select("f.own", "f.other", "y", "o")
+    table = rows.toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
     return [np.asarray(x.values) for x in table["own"]], [np.asarray(x.values) for x in table["other"]], table["y"].to_numpy()
 
 
@@ -186,10 +185,12 @@ def fit_on(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     A document with several label rows counts as toxic if one says so; null ids and
     null labels are ignored; null texts count as empty.
     """
-    known = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-    docs = documents.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(~held_out(F.col("i")))
-    labelled = docs.join(known, "i")
-    return train(*sample_features(labelled, "t", "y", F.xxhash64("i"), fit.max_rows), fit)
+    known = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where("i is not null and y is not null").where(~held_out(F.col("i")))
+    known = known.groupBy("i").agg(F.max("y").cast("double").alias("y"), F.xxhash64("i").alias("o"))
+    there = known.join(documents.select(F.col(doc_id).alias("i")), "i", "left_semi")
+    chosen = there.orderBy("o", "i").limit(fit.max_rows)  # ids and labels only, max_rows at most
+    labelled = documents.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")
+    return train(*sample_features(labelled), fit)
 
 
 def score(model: Model, text: Column) -> Column:
