@@ -57,10 +57,13 @@ def fit_on(documents: DataFrame, learn: Column, *, doc_id: str = "doc_id", text:
     if len(names) > fit.max_languages:
         raise ValueError(f"more than {fit.max_languages} languages")
     share = fit.dictionary_bytes // 8
+    most = fit.texts * fit.dictionaries
+    chosen = [(name, r["h"]) for name in names for r in rows.where(F.col("l") == name).select("h").orderBy("h").limit(most).collect()]
+    keys = rows.sparkSession.createDataFrame(chosen, "l string, h long").distinct()  # max_languages * texts * dictionaries rows at most
+    found = rows.join(F.broadcast(keys), ["l", "h"]).select("l", "h", F.substring("t", 1, share).alias("t")).collect()
     model = {}
     for name in names:
-        sample = rows.where(F.col("l") == name).orderBy("h", "t").limit(fit.texts * fit.dictionaries).select(F.substring("t", 1, share).alias("t")).collect()
-        texts = sorted({prepared(r["t"]) for r in sample})
+        texts = sorted({prepared(r["t"]) for r in sorted((r for r in found if r["l"] == name), key=lambda r: (r["h"], r["t"]))[:most]})
         model[name] = [dictionary(texts[k :: fit.dictionaries], fit.dictionary_bytes) for k in range(min(len(texts), fit.dictionaries))]
     return model
 
