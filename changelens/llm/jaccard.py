@@ -89,24 +89,27 @@ def signatures(own: np.ndarray, join: Join) -> np.ndarray:
     """Hashes of the parts of a set; sets that link and differ have one in common.
 
     Sets that meet in a class differ in d members at most and are dealt into m > d
-    parts, so m - d parts are equal at least. Parts of one or two members, which
-    unrelated texts may share, are left out if some larger part must be equal still.
+    parts, so m - d parts are equal at least. Empty parts and those of one or two
+    members, which unrelated texts may share, are left out if some larger part must be
+    equal still: if more parts are as large as the members in which this set can differ
+    from any that it links with. The set with the stricter bound has such a part, and
+    the other keeps it too. Looser joins have smaller parts, so more are to spare.
     """
     out = []
     for k, largest in meeting_classes(len(own), join.percent):
         d = join.differing(2 * largest)
         if not d:
             continue
-        m = d + 2 + d // 8
+        m = d + 2 + d // (8 if join.percent >= 90 else 5)
         part = (own % np.uint64(m)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         count = np.bincount(part, minlength=m)
         full = np.flatnonzero(count)
         total = np.zeros(m, np.uint64)
         total[full] = np.add.reduceat(_mix(own[order]), np.concatenate([[0], np.cumsum(count[full])[:-1]]))
-        keep = count > 2
-        if m - d - int((~keep).sum()) < 1:
-            keep[:] = True
+        differ = join.differing(len(own) + min(largest, len(own) * 100 // join.percent))
+        least = next((c for c in (3, 2, 1) if int((count >= c).sum()) > differ), 0)
+        keep = count >= least
         place = np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k)
         out.append(_mix(_mix(total) + place * MIX[0])[keep])
     return np.concatenate(out) if out else np.empty(0, np.uint64)

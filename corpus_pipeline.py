@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from changelens.llm import jaccard, packing, pii, quality, toxicity
 from changelens.llm.common import shared_dir
 
+#: Near copies share 80 percent of their five-word shingles at least.
+NEAR = jaccard.Join(ngram=5, percent=80)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't take as toxic (operator 8)."""
@@ -34,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without an id are in no group and stay.
     """
-    groups = jaccard.linked(docs.select("doc_id", "text"))
+    groups = jaccard.linked(docs.select("doc_id", "text"), join=NEAR)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

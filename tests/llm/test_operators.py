@@ -357,6 +357,19 @@ def test_signatures_lose_no_link():
                 assert set(jaccard.signatures(a, join)) & set(jaccard.signatures(b, join))
 
 
+def test_signatures_of_looser_joins_lose_no_link_and_unrelated_texts_seldom_meet():
+    rng, join, met, linked = np.random.default_rng(9), jaccard.Join(ngram=5, percent=80), 0, 0
+    for n in (5, 12, 30, 60, 200, 900) * 40:
+        a, c = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, n // 9 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 7 + 1))).astype(np.uint64)]))
+        own, both = set(jaccard.signatures(a, join)), len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both) and len(a) + len(b) != 2 * both:
+            linked += 1
+            assert own & set(jaccard.signatures(b, join))
+        met += bool(own & set(jaccard.signatures(c, join)))
+    assert linked > 150 and met <= 2
+
+
 # personal data
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from changelens.llm import packing, pii, quality, toxicity
+from changelens.llm import jaccard, packing, pii, quality, toxicity
 from changelens.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,31 @@ def test_stages(spark, sf_dir):
     assert all(re.sub(r"<[A-Z]+>", "", t) for t in kept[3].values())
 
 
+def test_near_copies_at_eighty_percent_of_five_words_go(spark):
+    rng = random.Random(5)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+    def share(a, b, n):
+        x, y = ({tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    rows, gone, changes = [], set(), [(96, 2), (200, 4), (540, 11), (96, 3), (200, 6)]
+    for i, (n, changed) in enumerate(changes):
+        text = fresh(n)
+        copy = [*text]
+        for k in range(changed):
+            copy[(2 * k + 1) * n // (2 * changed)] = f"other{i}x{k}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+        if share(text, copy, 5) >= 0.8:
+            assert share(text, copy, 3) < 0.9
+            gone.add(2 * i + 1)
+    assert gone == {1, 3, 5}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(range(10)) - gone
+    assert jaccard.Join() == jaccard.Join(ngram=3, percent=90)
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert len(corpus_pipeline.STAGES) == 5 and rows
