@@ -3,14 +3,16 @@
 Vectors are coded with four bits for each pair of dimensions.  The codebooks, and the
 choice of codes, minimise a score-aware loss: the part of the residual parallel to the
 vector, which shifts its inner products with the queries that matter, weighs more than
-the part orthogonal to it.  Queries scan blocks of codes by table look-up; the best
-found are ranked again by exact inner products.
+the part orthogonal to it.  What these codes leave is coded once more, by its own
+codebooks.  Queries scan blocks of the first codes by table look-up; all within the
+measured error of the k-th best are scored with both codes, and all of those within
+the error of both are ranked again by exact inner products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,13 +26,15 @@ from changelens.llm.common import materialize
 class Index:
     """sample: at most so many vectors, those with the smallest hashes of their ids,
     fit the codebooks; threshold: cosine from which on an inner product matters;
-    rounds: of the fit; rerank: candidates of each query that are ranked exactly;
-    query_block, code_block: size of the blocks that one task scans."""
+    rounds: of the fit; rerank: candidates of each query that are ranked exactly at
+    least; errors: how many times the measured error of a guess may lie below the k-th
+    guess and be ranked all the same, so the depth follows the data; query_block, code_block: size of the blocks that one task scans."""
 
     sample: int = 8000
     threshold: float = 0.2
     rounds: int = 4
     rerank: int = 100
+    errors: float = 3.0
     query_block: int = 512
     code_block: int = 65_536
     chunk: int = 64
@@ -48,7 +52,7 @@ class Codebook:
         parts = x.reshape(len(x), -1, 2)
         near = ((parts[:, :, None, :] - self.centers[None]) ** 2).sum(3)
         codes = near.argmin(2)
-        if not len(x):
+        if not len(x) or not self.weight:
             return codes
         scale = self.weight / np.maximum((x * x).sum(1), 1e-30)
         along = np.einsum("nmd,mkd->nmk", parts, self.centers)  # of each center with the vector's own part
@@ -63,6 +67,20 @@ class Codebook:
                 total = options[rows, codes[:, m]]
         return codes
 
+    def left(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of rows, and what they leave of the rows."""
+        codes = self.encode(x)
+        return codes, x - self.centers[np.arange(len(self.centers)), codes].reshape(x.shape)
+
+
+def measured(x: np.ndarray, left: np.ndarray, k: int) -> float:
+    """The root mean square of a guess's error for queries of length 1: of all pairs of
+    sampled rows, or, if larger, of the pairs of each row with its k nearest."""
+    q = x[:1000] / np.maximum(np.linalg.norm(x[:1000], axis=1), 1e-30)[:, None]
+    error, product = (q @ left.T) ** 2, q @ x.T
+    near = np.argpartition(-product, min(k, len(x) - 1), axis=1)[:, : k + 1]
+    return float(np.sqrt(max(error.mean(), np.take_along_axis(error, near, 1).mean())))
+
 
 def train(x: np.ndarray, index: Index = Index()) -> Codebook:
     """Alternate coding and the exact least-squares solution for all centers at once."""
@@ -114,49 +132,70 @@ def _even(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
 
 
-def _coded(book: Codebook):
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte."""
+    codes = np.pad(codes.astype(np.uint8), ((0, 0), (0, codes.shape[1] % 2)))
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def _coded(book: Codebook, finer: Codebook):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                codes = book.encode(_even(np.stack(batch["v"].to_numpy()))).astype(np.uint8)
-                codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-                packed = codes[:, ::2] | codes[:, 1::2] << 4
+                codes, left = book.left(_even(np.stack(batch["v"].to_numpy())))
+                packed = np.concatenate([_packed(codes), _packed(finer.encode(left))], axis=1)
                 yield pd.DataFrame({"g": batch["g"], "code": [c.tobytes() for c in packed]})
 
     return run
 
 
-def scan(tables: np.ndarray, packed: np.ndarray, keep: int, chunk: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and scores of the ``keep`` best codes.
+def _tables(book: Codebook, q: np.ndarray) -> np.ndarray:
+    """(queries, bytes, 256): the score that each byte (two codes) adds."""
+    pairs = len(book.centers)
+    table = np.einsum("qmd,mkd->qmk", q.reshape(len(q), pairs, 2), book.centers.astype(np.float32))
+    table = np.pad(table, ((0, 0), (0, pairs % 2), (0, 0)))
+    return (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(q), -1, 256)
+
+
+def _reached(guess: np.ndarray, k: int, margin: float, least: int) -> np.ndarray:
+    """The places of the guesses within the margin of the k-th best, and of the
+    ``least`` best at least."""
+    if len(guess) <= max(k, least):
+        return np.arange(len(guess))
+    part = -np.partition(-guess, (k - 1, least - 1))
+    return np.flatnonzero(guess >= min(part[k - 1] - margin, part[least - 1]))
+
 
-    tables: (queries, bytes, 256), the score that each byte (two codes) adds.
+def scan(tables: np.ndarray, finer: np.ndarray, packed: np.ndarray, k: int, margins: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and scores of the codes that it reaches.
+
+    tables, finer: those of both codes; packed: the codes, one after the other;
+    margins: (queries, 2), how far below the k-th best score a code may lie.
     """
-    places, out = packed.astype(np.intp), []
-    for s in range(0, len(tables), chunk):
-        part = np.ascontiguousarray(tables[s : s + chunk].transpose(1, 2, 0))
-        total = np.zeros((len(packed), part.shape[2]), np.float32)
-        for b in range(packed.shape[1]):
-            total += np.take(part[b], places[:, b], axis=0)
-        total = np.ascontiguousarray(total.T)
-        for row in total:
-            best = np.argpartition(-row, keep - 1)[:keep] if keep < len(row) else np.arange(len(row))
-            out.append((best, row[best]))
+    half, out = tables.shape[1], []
+    part = np.ascontiguousarray(tables.transpose(1, 2, 0))
+    total = np.zeros((len(packed), part.shape[2]), np.float32)
+    for b in range(half):
+        total += np.take(part[b], packed[:, b], axis=0)
+    for row, table, (coarse, fine) in zip(np.ascontiguousarray(total.T), finer, margins, strict=True):
+        near = _reached(row, k, coarse, least)
+        guess = row[near] + table[np.arange(half), packed[near, half:]].sum(1)
+        best = _reached(guess, k, fine, least)
+        out.append((near[best], guess[best]))
     return out
 
 
-def _scanned(book: Codebook, index: Index):
-    pairs = len(book.centers)
-
+def _scanned(book: Codebook, finer: Codebook, errors: tuple[float, float], k: int, index: Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for groups, codes, queries, vectors in zip(batch["groups"], batch["codes"], batch["queries"], batch["vectors"], strict=True):
-                packed = np.stack([np.frombuffer(c, np.uint8) for c in codes])
-                q = _even(np.stack(vectors)).reshape(len(vectors), pairs, 2)
-                table = np.einsum("qmd,mkd->qmk", q, book.centers.astype(np.float32))
-                table = np.pad(table, ((0, 0), (0, pairs % 2), (0, 0)))
-                both = (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(q), -1, 256)
-                found = scan(both, packed, index.rerank, index.chunk)
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(queries), [len(p) for p, _ in found]), "g": np.asarray(groups)[np.concatenate([p for p, _ in found])], "guess": np.concatenate([s for _, s in found])})
+                packed = np.stack([np.frombuffer(c, np.uint8) for c in codes]).astype(np.intp)
+                for s in range(0, len(vectors), index.chunk):
+                    q = _even(np.stack(vectors[s : s + index.chunk]))
+                    margins = index.errors * np.linalg.norm(q, axis=1)[:, None] * np.array(errors)
+                    found = scan(_tables(book, q), _tables(finer, q), packed, k, margins, index.rerank)
+                    many, guess = [len(p) for p, _ in found], np.concatenate([g for _, g in found])
+                    yield pd.DataFrame({"query_id": np.repeat(np.asarray(queries[s : s + index.chunk]), many), "g": np.asarray(groups)[np.concatenate([p for p, _ in found])], "guess": guess, "reach": guess + np.repeat(margins[:, 1], many)})
 
     return run
 
@@ -185,10 +224,14 @@ def search(df: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec_id
     sample = groups.join(F.broadcast(chosen), "g").orderBy("h", "g").select("v").limit(index.sample).toPandas()
     if not len(sample):
         return empty
-    book = train(_even(np.stack(sample["v"].to_numpy())).astype(np.float64), index)
+    x = _even(np.stack(sample["v"].to_numpy())).astype(np.float64)
+    book = train(x, index)
+    _, left = book.left(x)
+    finer = train(left, replace(index, threshold=0.0))
+    errors = (measured(x, left, k), measured(x, finer.left(left)[1], k))
 
     # an id that stands for several vectors is told apart by the vector itself
-    coded = groups.select(F.xxhash64("v").alias("g"), "v").mapInPandas(_coded(book), "g long, code binary")
+    coded = groups.select(F.xxhash64("v").alias("g"), "v").mapInPandas(_coded(book, finer), "g long, code binary")
     n = groups.count()
     blocks = -(-n // index.code_block)
     coded = coded.groupBy(F.pmod("g", F.lit(blocks)).alias("block")).agg(F.collect_list("g").alias("groups"), F.collect_list("code").alias("codes"))
@@ -197,9 +240,11 @@ def search(df: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec_id
     asked_in = asked.groupBy(F.pmod(F.xxhash64("i", "v"), F.lit(ask_blocks)).alias("ask")).agg(F.collect_list("i").alias("queries"), F.collect_list(F.col("v").cast("array<float>")).alias("vectors"))
     # each block of codes meets each block of queries
     meet = coded.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ask_blocks - 1).cast("long")))).join(asked_in, "ask")
-    guessed = meet.repartition("ask", "block").mapInPandas(_scanned(book, index), "query_id long, g long, guess float")
+    guessed = meet.repartition("ask", "block").mapInPandas(_scanned(book, finer, errors, k + 1, index), "query_id long, g long, guess double, reach double")
     best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "g")
-    guessed = guessed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= index.rerank).select("query_id", "g")
+    guessed = guessed.withColumn("r", F.row_number().over(best))
+    last = F.max(F.when(F.col("r") == k + 1, F.col("guess"))).over(Window.partitionBy("query_id"))  # the query itself is among the guesses
+    guessed = guessed.withColumn("last", last).where((F.col("r") <= index.rerank) | (F.col("reach") >= F.col("last"))).select("query_id", "g")
 
     exact = guessed.join(groups.select(F.xxhash64("v").alias("g"), F.col("v").alias("w"), "members"), "g").join(asked.select(F.col("i").alias("query_id"), "v"), "query_id")
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

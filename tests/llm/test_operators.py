@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,18 @@ def test_neighbours_recall(spark):
     assert len(got) == 30 and np.mean(hits) >= 0.9
 
 
+def test_neighbours_recall_does_not_fall_as_the_table_grows(spark):
+    rng, n = np.random.default_rng(14), 30_000
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 500 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & set(np.argsort(np.where(np.arange(n) == q, -np.inf, x @ x[q]))[::-1][:20].tolist())) / 20 for q in got]
+    assert len(got) == 60 and np.mean(hits) >= 0.98
+
+
 def test_neighbours_without_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.lit(True)).count() == 0
