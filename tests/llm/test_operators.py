@@ -279,6 +279,25 @@ def test_quality_verdict_filter_and_cleaning(spark):
     assert cleaned == [good, None]
 
 
+def test_quality_lines_of_the_whole_rules(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    lines = [[rng.choice(vocabulary) for _ in range(10)] for _ in range(20)]
+    gaps = ["\n".join(gap.join(x) for x in lines) for gap in "\t\x0b\x0c\r"]
+    some = "\n".join(" ".join(w[:5].upper() + w[5:] for w in x) for x in lines)  # 5 of 8 letters
+    most = "\n".join(" ".join(w[:6].upper() + w[6:] for w in x) for x in lines)  # 6 of 8 letters
+    marked = "\n".join(" ".join(w.upper() + "......" for w in x) for x in lines)  # all letters, but not half of the characters
+    texts = [*gaps, some, most, marked]
+    kept = [r[0] for r in quality.measure(docs(spark, texts), into="out").orderBy("doc_id").select("out.kept").collect()]
+    assert kept == [True] * 5 + [False] * 2
+    phrases = ["login to", "log in to", "share on", "share this", "cookies policy", "cookies settings", "cookies consent", "cookie policy", "cookie settings", "cookie consent"]
+    shown = [f"One more line.\nPlease {p.capitalize()} these pages.\nThe last line." for p in phrases]
+    cleaned = {r["text"] for r in quality.clean_lines(docs(spark, shown)).collect()}
+    assert cleaned == {"One more line.\nThe last line."}
+    rows = quality.measure(docs(spark, ["\n".join(f"Please {p} {' '.join(x)}." for x in lines) for p in phrases]), into="out").select("out.kept", "out.base_failed").collect()
+    assert [tuple(r) for r in rows] == [(False, False)] * len(phrases)
+
+
 # toxicity
 
 
