@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same six characters, for ``translate``.
 SPACES = " \t\n\x0b\x0c\r"
-#: A set of rows is sent to every executor only when it is at most this many bytes.
-BROADCAST_BYTES = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -24,25 +23,43 @@ def held_out(doc_id: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary one is made
-    and remembered in the session.
+    Where the session names none and runs on one machine, as in tests, a temporary one
+    is made and remembered in the session; on a cluster that is an error, as no
+    executor could read what another one writes there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders of intermediate tables written by this process and not removed yet.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts the lineage,
     and lost executors cost no recomputation of what is before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Remove the intermediate tables written after the first ``since`` ones, but those
+    that ``keep`` reads. Call it once nothing that isn't computed yet reads them."""
+    needed = {file.rsplit("/", 2)[-2] for df in keep for file in df.inputFiles()}
+    for path in [p for p in WRITTEN[since:] if p.rsplit("/", 1)[-1] not in needed]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        WRITTEN.remove(path)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     parts = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")

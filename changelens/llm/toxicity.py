@@ -1,10 +1,12 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 A logistic model over hashed words and word beginnings is fitted on a bounded
-sample of labelled rows.  Each labelled text that names a social group is paired
-with a copy in which the group's name is swapped for another one's; the fit
-penalises the squared difference of the two scores, so that the mere mention of a
-group moves no score.  Every text, whatever its length, is scored as a whole.
+sample of labelled rows.  Each of them gives a pair of texts that differ only in the
+social group that they name: a text that names one is paired with a copy in which
+the name is swapped for another one's, any other text gives two copies to which a
+term and its sibling are added.  The fit penalises the squared difference of the two
+scores, so that the mere mention of a group moves no score.  Every text, whatever
+its length, is scored as a whole.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import held_out
+from changelens.llm.common import WRITTEN, held_out, materialize, release
 
 #: Groups of interchangeable identity terms; a swap takes the next term of the group.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -47,8 +50,9 @@ class Fit:
 
     max_rows: at most so many labelled rows are used, those with the smallest hash
     of their id; iterations, l2: of the optimiser; penalty: weight of the squared
-    score change under a swap of identity terms; min_chi2: a feature is used if its
-    association with the label has at least this chi-square value.
+    score change within a counterfactual pair; min_chi2: a feature is used if its
+    association with the label has at least this chi-square value; groups: of
+    interchangeable identity terms, in lower case.
     """
 
     max_rows: int = 12_000
@@ -56,20 +60,25 @@ class Fit:
     l2: float = 1.0
     penalty: float = 1.0
     min_chi2: float = 4.0
+    groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights: by hashed feature, a float32 vector of fixed size; bias."""
+    """ids: the hashed features that count; weights: theirs; bias; pairs: how many
+    counterfactual pairs the fit had."""
 
+    ids: np.ndarray
     weights: np.ndarray
     bias: float
+    pairs: int = 0
 
     def scorer(self) -> Callable[[str | None], float]:
         """A function from text to score; it remembers which features that count a
         word has, for at most 200,000 words at a time."""
         known: dict[str, tuple[int, ...]] = {}
-        weights = self.weights
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[self.ids] = self.weights
 
         def ids(word: str) -> tuple[int, ...]:
             if len(known) > 200_000:
@@ -107,94 +116,155 @@ def swapped(found: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERM
     return {following.get(w, w) for w in found}
 
 
-def _feature_columns(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        own, other = [], []
-        for text in batch:
-            found = tokens(text)
-            swap = swapped(found)
-            own.append(features(found))
-            other.append(features(swap) if swap != found else [])
-        yield pd.DataFrame({"own": own, "other": other})
+def contrast(found: set[str], order: int, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """Features that only the first, and only the second text of a counterfactual pair has.
+
+    A text that names a group is paired with its swapped copy. Any other text gives two
+    copies: ``order`` chooses a term of a group for the one, its sibling goes into the other.
+    """
+    pair = found, swapped(found, groups)
+    several = [g for g in groups if len(g) > 1]
+    if pair[0] == pair[1] and several:
+        group = several[order % len(several)]
+        at = order // len(several) % len(group)
+        pair = found | {group[at]}, found | {group[(at + 1) % len(group)]}
+    one, other = (features(x) for x in pair)
+    return np.setdiff1d(one, other, assume_unique=True), np.setdiff1d(other, one, assume_unique=True)
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many texts of either label have each feature, for a partition's texts."""
+    total = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for text, y in zip(batch["t"], batch["y"], strict=True):
+            total[int(y)][features(tokens(text))] += 1
+    ids = np.flatnonzero(total.any(0))
+    yield pd.DataFrame({"f": ids, "n0": total[0][ids], "n1": total[1][ids]})
+
+
+def associated(sample: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features that go with the label, and for each its smoothed log ratio of rates:
+    the fit scales features by it, so that few rows teach as much as they can.
+
+    Counting and choosing happen on the executors; there are 2 ** BITS features at most.
+    """
+    rows = {int(r["y"]): r["count"] for r in sample.groupBy("y").count().collect()}
+    n0, n1 = rows.get(0, 0), rows.get(1, 0)
+    if not n0 or not n1:
+        return np.empty(0, np.int32), np.empty(0)
+    counts = sample.select("t", "y").mapInPandas(_counted, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    share = F.col("n0") + F.col("n1")
+    expected = share * F.lit(n1 / (n0 + n1))
+    chi2 = (F.col("n1") - expected) ** 2 * (1 / expected + 1 / (share - expected))
+    chosen = counts.where((share >= 2) & (chi2 >= least)).toPandas().sort_values("f")
+    ratio = np.log((chosen["n1"] + 0.5) / (n1 + 1)) - np.log((chosen["n0"] + 0.5) / (n0 + 1))
+    return chosen["f"].to_numpy(np.int32), ratio.to_numpy()
+
+
+def _chosen_features(ids: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[ids] = np.arange(len(ids))
+
+        def pick(found: np.ndarray) -> np.ndarray:
+            at = place[found]
+            return at[at >= 0]
+
+        for batch in batches:
+            rows = []
+            for text, o in zip(batch["t"], batch["o"], strict=True):
+                found = tokens(text)
+                one, other = contrast(found, int(o) & ((1 << 62) - 1), groups)
+                rows.append((pick(features(found)), pick(one), pick(other), len(one) + len(other) > 0))
+            yield pd.DataFrame(rows, columns=["own", "one", "other", "pair"]).assign(o=batch["o"].to_numpy(), y=batch["y"].to_numpy())
+
+    return run
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Labels y of the rows; and of each kind (row, feature) of what a row has: own
+    features, and those that only the one or the other text of its pair has."""
+
+    y: np.ndarray
+    own: tuple[np.ndarray, np.ndarray]
+    one: tuple[np.ndarray, np.ndarray]
+    other: tuple[np.ndarray, np.ndarray]
+    pairs: int
 
 
-def sample_features(labelled: DataFrame) -> tuple[list, list, np.ndarray]:
-    """Feature ids of the rows (t, y, o) and of their swapped copies, and the labels, in order of o."""
-    udf = F.pandas_udf(_feature_columns, "own array<long>, other array<long>")
-    rows = labelled.select(udf("t").alias("f"), "y", "o").select("f.own", "f.other", "y", "o")
+def sampled(sample: DataFrame, ids: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Sample:
+    """The sample's rows, in order of o, with the chosen features only."""
+    rows = sample.select("t", "y", "o").mapInPandas(_chosen_features(ids, groups), "own array<int>, one array<int>, other array<int>, pair boolean, o long, y int")
     table = rows.toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
-    return [np.asarray(x.values) for x in table["own"]], [np.asarray(x.values) for x in table["other"]], table["y"].to_numpy()
 
+    def sparse(name: str) -> tuple[np.ndarray, np.ndarray]:
+        many = pc.list_value_length(table[name]).to_numpy()
+        return np.repeat(np.arange(len(many), dtype=np.int32), many), pc.list_flatten(table[name]).to_numpy()
+
+    return Sample(table["y"].to_numpy(), sparse("own"), sparse("one"), sparse("other"), int(pc.sum(table["pair"]).as_py() or 0))
+
+
+def train(rows: Sample, ids: np.ndarray, scale: np.ndarray, fit: Fit = Fit()) -> Model:
+    """Fit by Adam on the whole sample; without rows, every score is 0.5.
+
+    The loss is the logistic one, half the squared change of the log odds within each
+    counterfactual pair times ``penalty``, and the squared weights times ``l2``, halved.
+    """
+    y, n, size = rows.y, len(rows.y), len(ids)
+    if not n:
+        return Model(ids, np.zeros(size, np.float32), 0.0)
+    rate = float(y.mean())
+    w, b, m1, m2 = np.zeros(size), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), 0.0, 0.0
+
+    def total(part: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> np.ndarray:
+        return np.bincount(part[0], v[part[1]], n)
+
+    def back(part: tuple[np.ndarray, np.ndarray], g: np.ndarray) -> np.ndarray:
+        return np.bincount(part[1], g[part[0]], size)
 
-def _associated(own: list, y: np.ndarray, size: int, min_chi2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features that go with the label, and for each its smoothed log ratio of rates:
-    the fit scales features by it, so that few rows teach as much as they can."""
-    none = np.empty(0, np.int64)
-    both = [np.bincount(np.concatenate([*(np.asarray(x, np.int64) for x, k in zip(own, y, strict=True) if k == c), none]), minlength=size) for c in (0, 1)]
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    share = both[0] + both[1]
-    expected = share * (n1 / (n0 + n1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (both[1] - expected) ** 2 * (1 / expected + 1 / (share - expected))
-    ids = np.flatnonzero((share >= 2) & (chi2 >= min_chi2))
-    ratio = np.log((both[1][ids] + 0.5) / (n1 + 1)) - np.log((both[0][ids] + 0.5) / (n0 + 1))
-    return ids, ratio
-
-
-def train(own: list, other: list, y: np.ndarray, fit: Fit = Fit()) -> Model:
-    """Fit by Adam on the whole sample; without rows, every score is 0.5."""
-    size = 1 << BITS
-    weights = np.zeros(size, np.float32)
-    if not len(y):
-        return Model(weights, 0.0)
-    ids, scale = _associated(own, y, size, fit.min_chi2)
-    place = np.full(size, -1, np.int64)
-    place[ids] = np.arange(len(ids))
-
-    def rows(lists: list) -> tuple[np.ndarray, np.ndarray]:
-        at = [place[np.asarray(x, np.int64)] for x in lists]
-        at = [x[x >= 0] for x in at]
-        return np.concatenate([*at, np.empty(0, np.int64)]), np.repeat(np.arange(len(at)), [len(x) for x in at])
-
-    cols, row = rows(own)
-    pairs = [i for i, x in enumerate(other) if len(x)]
-    cols2, row2 = rows([other[i] for i in pairs])
-    n, m = len(y), len(pairs)
-    w, b, m1, m2 = np.zeros(len(ids)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), 0.0, 0.0
     for step in range(1, fit.iterations + 1):
-        z = np.bincount(row, (w * scale)[cols], n) + b
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        if m:
-            change = z[pairs] - b - np.bincount(row2, (w * scale)[cols2], m)
-            g[pairs] += fit.penalty * change
-        grad = np.bincount(cols, g[row], len(ids))
-        if m:
-            grad -= fit.penalty * np.bincount(cols2, change[row2], len(ids))
-        grad = grad * scale + fit.l2 * w
-        grad = np.append(grad, (g if not m else g - np.bincount(pairs, fit.penalty * change, n)).sum())
+        v = w * scale
+        g = 1 / (1 + np.exp(-np.clip(total(rows.own, v) + b, -30, 30))) - y
+        change = fit.penalty * (total(rows.one, v) - total(rows.other, v))
+        grad = (back(rows.own, g) + back(rows.one, change) - back(rows.other, change)) * scale + fit.l2 * w
+        grad = np.append(grad, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights[ids] = w * scale
-    return Model(weights, float(b))
+    return Model(ids, (w * scale).astype(np.float32), float(b), rows.pairs)
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit: Fit = Fit()) -> Model:
-    """Learn from the labelled documents that aren't held out.
+def learning_rows(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000) -> DataFrame:
+    """(t, y, o) of the labelled documents that teach, written to the shared folder.
 
     A document with several label rows counts as toxic if one says so; null ids and
-    null labels are ignored; null texts count as empty.
+    null labels are ignored; null texts count as empty. The rows are chosen by ids and
+    labels alone, so that no other text is moved. Of the texts of rows that share an
+    id, the one with the smallest hash teaches: no id brings more than a row.
     """
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where("i is not null and y is not null").where(~held_out(F.col("i")))
-    known = known.groupBy("i").agg(F.max("y").cast("double").alias("y"), F.xxhash64("i").alias("o"))
+    known = known.groupBy("i").agg((F.max("y") > 0).cast("int").alias("y"), F.xxhash64("i").alias("o"))
     there = known.join(documents.select(F.col(doc_id).alias("i")), "i", "left_semi")
-    chosen = there.orderBy("o", "i").limit(fit.max_rows)  # ids and labels only, max_rows at most
-    labelled = documents.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")
-    return train(*sample_features(labelled), fit)
+    chosen = there.orderBy("o", "i").limit(max_rows)  # ids and labels only, max_rows at most
+    texts = documents.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    each = texts.join(F.broadcast(chosen), "i").groupBy("i", "y", "o").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    return materialize(each.select("t", "y", "o"), "labelled")
+
+
+def fit_on(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit: Fit = Fit()) -> Model:
+    """Learn from the labelled documents that aren't held out; see ``learning_rows``."""
+    since = len(WRITTEN)
+    sample = learning_rows(documents, labels, doc_id=doc_id, text=text, label=label, max_rows=fit.max_rows)
+    ids, scale = associated(sample, fit.min_chi2)
+    model = train(sampled(sample, ids, fit.groups), ids, scale, fit)
+    release(documents.sparkSession, since)
+    return model
 
 
 def score(model: Model, text: Column) -> Column:
-    """A score from 0 to 1 for each whole text; null and empty texts get the bias's."""
+    """A score from 0 to 1 for each whole text; null and empty texts, and those without
+    a letter, get the bias's. Equal texts have equal scores, whatever is beside them."""
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = model.scorer()
