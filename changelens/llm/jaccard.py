@@ -2,8 +2,8 @@
 
 Documents become sets of word n-grams.  Which documents must be compared is found
 without loss: sets that differ in at most d members agree in at least one of d + 1
-disjoint parts, so equal parts are joined by hash, and documents that equal parts
-connect form a cluster.  Within blocks of a cluster the sets are put in one global
+disjoint parts, so rows with equal parts meet by hash, and documents that equal parts
+connect form a cluster (a set that shares no part can't link and meets no trie).  Within blocks of a cluster the sets are put in one global
 order (rarest members first) and stored in a trie; each set walks the trie, sharing
 the overlap of common beginnings, and leaves a subtree once the lengths and members
 that remain cannot reach the threshold, or once all in it is linked to the set anyway.
@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.llm.common import materialize
+from changelens.llm.common import WRITTEN, materialize, release
 from changelens.llm.graph import components
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -228,34 +228,67 @@ def block_links(nodes: list[int], sets: list[np.ndarray], known: list[int], prob
     return links
 
 
-def _records(join: Join, id_type: pa.DataType):
+def _records(join: Join):
+    """(i, n, digest, copy_of, sigs, lows) of each row: size and digest of its set, the
+    signatures, and what is known already from the rows of the same batch.
+
+    Within a batch, equal texts point to the first of them (copy_of) and have no digest
+    of their own, and each signature is left to the first row that has it, to which the
+    others point (lows). So of a very large group of copies, or of a signature that very
+    many rows share, no more than a row a batch is shuffled.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests, parts = [], [], []
-            for text in batch.column("t").to_pylist():
-                own = shingles(text, join.ngram)
-                sizes.append(len(own))
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                parts.append(signatures(own, join).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], names=["i", "n", "digest", "sigs"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                ids, sizes, digests, copies, parts, first = batch.column("i").to_pylist(), [], [], [], [], {}
+                for i, text in zip(ids, batch.column("t").to_pylist(), strict=True):
+                    own = shingles(text, join.ngram)
+                    sizes.append(len(own))
+                    name = xxhash.xxh3_128_digest(own.tobytes()) if len(own) and i is not None else None
+                    copies.append(first.get(name))
+                    if name is not None:
+                        first.setdefault(name, i)
+                    digests.append(name if copies[-1] is None else None)
+                    parts.append(signatures(own, join) if digests[-1] is not None else np.empty(0, np.uint64))
+                sigs, lows = _left_to_first(ids, parts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("i"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(copies, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64()))],
+                    names=["i", "n", "digest", "copy_of", "sigs", "lows"],
+                )
 
     return run
 
 
+def _left_to_first(ids: list[int | None], parts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each row's signatures that no row before it has, and the ids of the first rows of the others."""
+    many = [len(x) for x in parts]
+    ends = np.cumsum(many)[:-1]
+    _, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    row = np.repeat(np.arange(len(parts)), many)
+    owner = row[first][inverse]
+    sigs = [x[o == k].view(np.int64) for k, (x, o) in enumerate(zip(parts, np.split(owner, ends), strict=True))]
+    lows = [np.array([ids[j] for j in np.unique(o[o != k])], np.int64) for k, o in enumerate(np.split(owner, ends))]
+    return sigs, lows
+
+
 def _sets(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t, join.ngram).tobytes() for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cluster"), pa.array([len(x) // 8 for x in own], pa.int64()), pa.array(own, pa.binary())], names=["node", "cluster", "n", "own"])
+            rest = [batch.column(c) for c in ("node", "cluster", "docs", "blocks")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(x) // 8 for x in own], pa.int64()), pa.array(own, pa.binary())], names=["node", "cluster", "docs", "blocks", "n", "own"])
 
     return run
 
 
 def _by_block(percent: int):
-    """Links of the blocks in a partition, whose rows stand together by ``key``."""
+    """Links of the blocks in a partition, whose rows stand together by ``key``; rows
+    that repeat a node's set count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, nodes, sets, known, probes = None, [], [], [], []
+        key, last, nodes, sets, known, probes = None, None, [], [], [], []
 
         def links() -> pd.DataFrame:
             found = block_links(nodes, sets, known, [i for i, p in enumerate(probes) if p], percent) if len(nodes) > 1 else []
@@ -266,7 +299,10 @@ def _by_block(percent: int):
                 if k != key:
                     if nodes:
                         yield links()
-                    key, nodes, sets, known, probes = k, [], [], [], []
+                    key, last, nodes, sets, known, probes = k, None, [], [], [], []
+                if last == (node, own, probe):
+                    continue
+                last = (node, own, probe)
                 nodes.append(node)
                 sets.append(np.frombuffer(own, np.uint64))
                 known.append(comp)
@@ -279,69 +315,94 @@ def _by_block(percent: int):
 
 def _compare(rows: DataFrame, join: Join) -> DataFrame:
     """Links of each block of rows (key, node, own, known, probe)."""
-    rows = rows.select("key", "node", "own", "known", "probe").repartition("key").sortWithinPartitions("key", "node")
+    rows = rows.select("key", "node", "own", "known", "probe").repartition("key").sortWithinPartitions("key", "node", "probe", "own")
     return rows.mapInPandas(_by_block(join.percent), "a long, b long")
 
 
+#: Rows of one cluster are joined with what is known of the cluster in so many parts.
+SALTS = 16
+
+
+def _with_cluster(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """``rows`` (node, cluster, ...) with the columns of ``about`` for their cluster. Each
+    row of ``about`` is given SALTS times, so that a very large cluster's rows are spread."""
+    salted = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"]).drop("salt")
+
+
+def _blocks(join: Join, docs: Column, members: Column) -> Column:
+    return F.greatest(F.ceil(docs / join.block_docs), F.ceil(members / join.block_members)).cast("int")
+
+
 def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row.
 
     component_id is the smallest id reachable by links. Null and empty texts have no
     shingles and link with nothing. Rows that repeat an id are one document with
     several texts. A row with a null id has a null component. The whole of every text
-    counts, and no link is lost, whatever the sizes of groups.
+    counts, and no link is lost, whatever the sizes of groups. Other columns don't matter.
+
+    The result reads tables in the shared folder (``common.release`` removes them); the
+    tables that only the search for links needed are gone when this returns.
     """
+    spark, since = documents.sparkSession, len(WRITTEN)
     docs = documents.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    records = materialize(docs.mapInArrow(_records(join, pa.int64()), "i long, n long, digest binary, sigs array<long>"), "records")
-    known = records.where("n > 0 and i is not null")
-    classes = known.groupBy("digest").agg(F.min("i").alias("rep"))
-    placed = known.join(classes, "digest").select("i", "rep", F.when(F.col("i") == F.col("rep"), F.col("sigs")).alias("sigs"))
-    placed = materialize(placed, "placed")
-
-    # parts: by each, the smallest and the largest of the classes that have it
-    parts = placed.select("i", F.explode("sigs").alias("sig"))
-    shared = parts.groupBy("sig").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("sig", "low")
-    near = components(parts.join(shared, "sig").where("i <> low").select("i", "low"), "i", "low")
-
-    near = near.select("node", F.col("component").alias("cluster"))
-    # near grows with the corpus: it isn't broadcast at any size
-    sets = docs.join(near.hint("merge"), docs["i"] == near["node"]).select("node", "cluster", "t")
-    sets = materialize(sets.mapInArrow(_sets(join), "node long, cluster long, n long, own binary").where("n > 0").dropDuplicates(["node", "own"]), "sets")
-    size = sets.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("members"))
-    size = size.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / join.block_docs), F.ceil(F.col("members") / join.block_members)).cast("int"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    records = materialize(docs.mapInArrow(_records(join), "i long, n long, digest binary, copy_of long, sigs array<long>, lows array<long>"), "records")
+
+    # a representative for each text, and what the others are copies of
+    heads = records.where("digest is not null").select("i", "n", F.min("i").over(Window.partitionBy("digest")).alias("rep"))
+    heads = materialize(heads, "heads")
+    copies = records.where("copy_of is not null").select(F.col("i").alias("a"), F.col("copy_of").alias("b")).unionByName(heads.select(F.col("i").alias("a"), F.col("rep").alias("b")))
+
+    # rows that have a part in common form clusters
+    parts = records.select("i", F.explode("sigs").alias("sig"))
+    meet = parts.select("i", F.min("i").over(Window.partitionBy("sig")).alias("low")).where("i <> low")
+    near = components(meet.unionByName(records.select("i", F.explode("lows").alias("low"))), "i", "low")
+
+    # clusters of representatives, and in how many blocks each is compared
+    sizes = heads.where("i = rep").groupBy(F.col("i").alias("node")).agg(F.count("*").alias("docs"), F.sum("n").alias("members"))
+    placed = near.select("node", F.col("component").alias("cluster")).join(sizes, "node")
+    about = placed.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("members").alias("members")).where("docs > 1")
+    about = about.select("cluster", "docs", _blocks(join, F.col("docs"), F.col("members")).alias("blocks"))
+    placed = materialize(_with_cluster(placed.select("node", "cluster"), about), "placed")
+    # placed grows with the corpus: it isn't broadcast at any size
+    sets = docs.join(placed.hint("merge"), docs["i"] == placed["node"]).select("node", "cluster", "docs", "blocks", "t")
+    sets = materialize(sets.mapInArrow(_sets(join), "node long, cluster long, docs long, blocks int, n long, own binary").where("n > 0"), "sets")
+    block = F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int")
 
     # first round: disjoint blocks, but for a few pivots that all blocks of a cluster share
     is_pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.ceil(F.col("docs") / join.pivots)) == 0)
-    first = sets.join(size, "cluster").withColumn("block", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
-    first = first.select(F.struct("cluster", "block", F.lit(0).alias("other")).alias("key"), "node", "own", F.col("node").alias("known"), F.lit(True).alias("probe"))
-    links = materialize(_compare(first.withColumn("key", F.to_json("key")), join), "links")
+    first = sets.withColumn("block", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
+    first = first.select(F.to_json(F.struct("cluster", "block")).alias("key"), "node", "own", F.col("node").alias("known"), F.lit(True).alias("probe"))
+    links = materialize(_compare(first, join), "links")
 
     # second round: clusters of several blocks whose components may link across blocks
-    large = size.where("blocks > 1")
-    if not large.isEmpty():
-        links = materialize(links.unionByName(_across(sets, large, links, join)), "links")
-    found = components(placed.where("i <> rep").select(F.col("i").alias("a"), F.col("rep").alias("b")).unionByName(links), "a", "b")
+    if not placed.where("blocks > 1").isEmpty():
+        links = materialize(links.unionByName(_across(sets.where("blocks > 1"), links, join)), "links")
+    found = components(copies.unionByName(links), "a", "b")
     out = records.select("i", "n").join(found.withColumnRenamed("node", "i"), "i", "left")
-    return out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
+    out = out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
+    release(spark, since, keep=[out])
+    return out
 
 
-def _across(sets: DataFrame, large: DataFrame, links: DataFrame, join: Join) -> DataFrame:
+def _across(sets: DataFrame, links: DataFrame, join: Join) -> DataFrame:
     """Links between blocks of the large clusters, once the first round's are known.
 
     Sets of a cluster's largest component needn't be compared among themselves: all
-    others are probes, in blocks of their own, against every block of the cluster.
+    others are probes, in blocks of their own, against every block of the cluster. What
+    is to be done with a set is found from ids alone; the sets themselves are joined by
+    their own id, so no cluster's sets stand in one task.
     """
     known = components(links, "a", "b")
-    rows = sets.join(large, "cluster").join(known, "node", "left").withColumn("known", F.coalesce("component", "node"))
-    rows = rows.select("cluster", "node", "n", "own", "known", "blocks")
+    rows = sets.select("node", "cluster", "n").join(known, "node", "left").withColumn("known", F.coalesce("component", "node"))
     count = rows.groupBy("cluster", "known").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
-    best = count.groupBy("cluster").agg(F.max(F.struct("c", "known")).alias("x"), F.sum("c").alias("docs"), F.sum("m").alias("members"))
-    rest = count.join(best, "cluster").where("known <> x.known").groupBy("cluster").agg(
-        F.first("x.known").alias("main"), F.greatest(F.ceil(F.sum("c") / join.block_docs), F.ceil(F.sum("m") / join.block_members)).cast("int").alias("probe_blocks")
-    )  # clusters of one component are through
-    rows = rows.join(rest, "cluster")
-    stored = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    probing = rows.where("known <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", F.pmod(F.xxhash64(F.lit("probe"), "node"), F.col("probe_blocks")).cast("int"))
+    best = count.groupBy("cluster").agg(F.max(F.struct("c", "known")).alias("x"))
+    rest = count.join(best, "cluster").where("known <> x.known")  # clusters of one component are through
+    rest = rest.groupBy("cluster").agg(F.first("x.known").alias("main"), _blocks(join, F.sum("c"), F.sum("m")).alias("probe_blocks"))
+    work = materialize(_with_cluster(rows.select("node", "cluster", "known").distinct(), rest).drop("cluster"), "work")
+    rows = sets.join(work.hint("merge"), "node").select("cluster", "node", "own", "known", "main", "blocks", "probe_blocks")
+    stored = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).withColumn("block", F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int"))
+    probing = rows.where("known <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", F.pmod(F.xxhash64(F.lit("probe"), "node", "own"), F.col("probe_blocks")).cast("int"))
     both = stored.withColumn("probe", F.lit(False)).unionByName(probing.withColumn("probe", F.lit(True)))
     return _compare(both.withColumn("key", F.to_json(F.struct("cluster", "block", "other"))), join)
