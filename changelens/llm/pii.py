@@ -10,8 +10,11 @@ message passing makes the labels of linked words agree across the document.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,12 +38,11 @@ EDGE = "\"'()[]{}<>|,;:.!?"
 
 @dataclass(frozen=True)
 class Fit:
-    """max_texts: at most so many sampled texts with a clue, of max_chars characters at
-    most, teach the field; iterations: of the fit, and passes: of message passing; sure: marginal from which
+    """max_texts: at most so many sampled rows with a clue teach the field, whole;
+    iterations: of the fit, and passes: of message passing; sure: marginal from which
     on a span is added."""
 
     max_texts: int = 4000
-    max_chars: int = 20_000
     iterations: int = 300
     passes: int = 12
     sure: float = 0.9
@@ -167,39 +169,53 @@ class Model:
     skip: np.ndarray
 
 
-def train(texts: list[str], fit: Fit = Fit()) -> Model:
-    """Fit by pseudo-likelihood: each word's base label given its neighbours' labels."""
-    n_labels, eye = len(LABELS), np.eye(len(LABELS))
-    xs, ys, before, after, beside = [], [], [], [], []
+#: Which weights a word's label depends on: a number for its features, the labels of
+#: the word, of the word before and of the one after, and how many linked words have each label.
+CASE = ["x", "y", "left", "right", *(f"side{k}" for k in range(len(LABELS)))]
+CASES = ", ".join(f"{c} int" for c in CASE) + ", n long"
+
+
+def cases(texts: Iterable[str | None]) -> pd.DataFrame:
+    """How often each different case stands in the texts, by their base spans. The fit
+    needs no more, so no text leaves its task, however long it is."""
+    found: Counter[tuple[int, ...]] = Counter()
+    powers = 1 << np.arange(N_FEATURES)
     for text in texts:
         g = graph(text)
         if g is None:
             continue
-        y = np.zeros(len(g.spans), np.int64)
-        starts = [s for s, _ in g.spans]
+        y, starts = np.zeros(len(g.spans), np.int64), [s for s, _ in g.spans]
         for kind, s, e in base_spans(text):
-            for i in range(int(np.searchsorted(starts, s - 2)), len(starts)):
-                if starts[i] >= e:
-                    break
+            for i in range(max(0, bisect_right(starts, s) - 1), bisect_left(starts, e)):
                 if g.spans[i][1] > s:
                     y[i] = LABELS.index(kind)
-        left, right, side = (np.zeros((len(y), n_labels)) for _ in range(3))
-        left[:, 0] = right[:, 0] = 1
-        left[g.chain[:, 1]], right[g.chain[:, 0]] = eye[y[g.chain[:, 0]]], eye[y[g.chain[:, 1]]]
-        np.add.at(side, g.skip[:, 0], eye[y[g.skip[:, 1]]])
-        np.add.at(side, g.skip[:, 1], eye[y[g.skip[:, 0]]])
-        xs.append(g.x), ys.append(y), before.append(left), after.append(right), beside.append(side)
+        left, right, side = np.zeros_like(y), np.zeros_like(y), np.zeros((len(y), len(LABELS)), np.int64)
+        left[g.chain[:, 1]], right[g.chain[:, 0]] = y[g.chain[:, 0]], y[g.chain[:, 1]]
+        np.add.at(side, (g.skip[:, 0], y[g.skip[:, 1]]), 1)
+        np.add.at(side, (g.skip[:, 1], y[g.skip[:, 0]]), 1)
+        found.update(map(tuple, np.column_stack([g.x.astype(np.int64) @ powers, y, left, right, side]).tolist()))
+    out = pd.DataFrame(list(found), columns=CASE, dtype="int64")
+    return out.assign(n=np.array(list(found.values()), np.int64))
+
+
+def train(counted: pd.DataFrame, fit: Fit = Fit()) -> Model:
+    """Fit by pseudo-likelihood: each word's base label given its neighbours' labels."""
+    n_labels, eye = len(LABELS), np.eye(len(LABELS))
     node, chain, skip = np.zeros((N_FEATURES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
-    if not xs:
+    if counted.empty:
         node[0, 0] = 10.0  # nothing to learn from: no word is personal data
         return Model(node, chain, skip)
-    x, y, left, right, side = (np.concatenate(v) for v in (xs, ys, before, after, beside))
+    counted = counted.sort_values(CASE)
+    x = (counted["x"].to_numpy()[:, None] >> np.arange(N_FEATURES) & 1).astype(float)
+    y, left, right = (eye[counted[c].to_numpy()] for c in ("y", "left", "right"))
+    side, share = counted[CASE[4:]].to_numpy(float), counted["n"].to_numpy(float)[:, None]
+    share = share / share.sum()
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in (node, chain, skip)]
     for step in range(1, fit.iterations + 1):
         z = x @ node + left @ chain + right @ chain.T + side * skip
         p = np.exp(z - z.max(1, keepdims=True))
-        d = p / p.sum(1, keepdims=True) - eye[y]
-        grads = (x.T @ d / len(y) + 1e-3 * node, (left.T @ d + d.T @ right) / len(y) + 1e-3 * chain, (side * d).sum(0) / len(y) + 1e-3 * skip)
+        d = (p / p.sum(1, keepdims=True) - y) * share
+        grads = (x.T @ d + 1e-3 * node, left.T @ d + d.T @ right + 1e-3 * chain, (side * d).sum(0) + 1e-3 * skip)
         for w, g, m in zip((node, chain, skip), grads, moment, strict=True):
             m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.99 * m[1] + 0.01 * g * g
             w -= 0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
@@ -246,12 +262,16 @@ def all_spans(text: str | None, model: Model, fit: Fit = Fit()) -> tuple[list[tu
     label = np.where(p.max(1) >= fit.sure, p.argmax(1), 0)
     joined = {int(b): int(a) for a, b in g.chain}
     taken, more = sorted((s, e) for _, s, e in base), []
-    starts = [s for s, _ in taken]
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(starts, e)
+        return not k or reach[k - 1] <= s
+
     run: dict[int, int] = {}
     for i in np.flatnonzero(label).tolist():
         s, e = g.spans[i]
-        k = int(np.searchsorted(starts, e))
-        if e <= s or any(t > s for _, t in taken[max(0, k - 8) : k]):
+        if e <= s or not free(s, e):
             continue
         if LABELS[label[i]] == "phone" and i in joined and joined[i] in run and label[joined[i]] == label[i]:
             run[i] = run[joined[i]]
@@ -259,20 +279,29 @@ def all_spans(text: str | None, model: Model, fit: Fit = Fit()) -> tuple[list[tu
         else:
             run[i] = len(more)
             more.append((LABELS[label[i]], s, e))
-    more = [(k, s, e) for k, s, e in more if not any(a < e and b > s for a, b in taken)]
-    return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
+    return base, sorted(base + [x for x in more if free(x[1], x[2])], key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def fit_on(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fit: Fit = Fit()) -> Model:
-    """Learn from the texts with a digit or an @ whose ids have the smallest hashes."""
-    rows = documents.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= fit.max_chars))
-    chosen = rows.select("h").orderBy("h").limit(fit.max_texts)  # ids only go to one task, at most max_texts of each
-    sample = rows.join(F.broadcast(chosen.distinct()), "h").orderBy("h", "t").limit(fit.max_texts)
-    return train([r["t"] for r in sample.select("t").collect()], fit)
+    """Learn from the whole texts with a digit or an @ whose ids have the smallest hashes.
+
+    Null and empty texts teach nothing; without any text to learn from, the field adds
+    nothing to the base spans. The cases are counted on the executors.
+    """
+    rows = documents.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    chosen = rows.select("h").orderBy("h").limit(fit.max_texts).distinct()  # hashes only, max_texts at most
+    sample = rows.join(F.broadcast(chosen), "h").select("t")
+    counted = sample.mapInPandas(lambda batches: (cases(batch["t"]) for batch in batches), CASES).groupBy(*CASE).agg(F.sum("n").alias("n"))
+    return train(counted.toPandas(), fit)
 
 
 def tag(model: Model, text: Column, fit: Fit = Fit()) -> Column:
-    """A struct of base and spans, arrays of (kind, start, end), for each whole text."""
+    """A struct of base and spans, arrays of (kind, start, end), for each whole text.
+
+    Null texts, empty ones and those without a digit or an @ have empty arrays. Each row
+    is judged alone, so equal texts have equal spans. Spans are sorted by kind as listed,
+    then by start; base spans of different kinds may overlap, added ones overlap none.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
