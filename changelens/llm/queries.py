@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +16,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each whole text's canonical form, and the licence that it is, if any."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("digest", licenses.digest(F.col("text")))
     return licenses.lookup(docs, licenses.catalogue(spark)).select("doc_id", "digest", "license")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole text, learned from documents that aren't held out; ``und`` without a letter."""
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit_on(docs, ~held_out(F.col("doc_id")))
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.identify(model, F.col("text")).alias("x"))
@@ -30,12 +30,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = Path(os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")).read_bytes()
-    docs = spm.round_trip(_read(spark, sf_dir, "documents"), raw)
+    """Ids of each whole text, how many they are, and whether decoding restores it."""
+    docs = spm.round_trip(_read(spark, sf_dir, "documents"), spm.model_file())
     return docs.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "restored")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of each vector whose id is divisible by 20; see ``ann.search`` for odd vectors."""
     return ann.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
@@ -46,16 +47,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are words and line ends."""
+    """Lengths are ids of the SentencePiece encoder."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.packed(docs, length=packing.word_length(F.col("text"))).withColumnRenamed("id", "doc_id")
+    return packing.packed(docs, length=spm.count(spm.model_file(), F.col("text"))).withColumnRenamed("id", "doc_id")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts for each whole text; null and empty texts have no word and fail."""
     return quality.measure(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each whole text, null and empty ones too, learned from labels that aren't held out."""
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, _read(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
@@ -63,10 +66,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document by links of 90 percent of three-word shingles; empty texts link with nothing."""
     return jaccard.linked(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each whole text: counts and digest of the base ones, and all; null texts have none."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", pii.tag(pii.fit_on(docs), F.col("text")).alias("x"))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

@@ -9,10 +9,12 @@ the original library, text by text.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 MARK = "▁"
+#: A run of markers with what follows up to the next one.
+STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Where the model file lies unless the environment names another one.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -126,7 +132,7 @@ def build(proto: Proto) -> Tokenizer:
         steps.append(normalizers.Replace(" ", MARK))
     out.normalizer = normalizers.Sequence(steps)
     if not any(MARK in p.lstrip(MARK) for p, _, kind in proto.pieces if kind == NORMAL):
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+        out.pre_tokenizer = pre_tokenizers.Split(Regex(STRETCH.pattern), "isolated")
     tail = [decoders.Strip(" ", 1, 0)] if proto.add_prefix else []
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return out
@@ -140,6 +146,7 @@ class Codec:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         proto = parse(raw)
         self.tokenizer = build(proto)
+        self.by_word = self.tokenizer.pre_tokenizer is not None and proto.escape and not (proto.charsmap or proto.squeeze)
         self.add_prefix, self.text_of = proto.add_prefix, [_plain(p, kind) for p, _, kind in proto.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -172,6 +179,11 @@ def _plain(piece: str, kind: int) -> str | None:
     return piece.replace(MARK, " ") if kind in (NORMAL, USER) else None
 
 
+def model_file() -> bytes:
+    """The serialized model that SENTENCEPIECE_MODEL names, read on the driver."""
+    return Path(os.environ.get("SENTENCEPIECE_MODEL", MODEL)).read_bytes()
+
+
 @lru_cache(maxsize=1)
 def _codec(raw: bytes, threads: int) -> Codec:
     """One for all tasks of a worker process."""
@@ -207,6 +219,51 @@ def encode(raw: bytes, text: Column, threads: int = 2) -> Column:
     return F.pandas_udf(run, "array<int>")(text)
 
 
+class _Counts(dict):
+    """How many ids a normalised word has; at most 200,000 words are remembered."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.model = codec, codec.tokenizer.model
+
+    def __missing__(self, word: str) -> int:
+        n = len(self.model.tokenize(word))
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = n
+        return n
+
+
+@lru_cache(maxsize=1)
+def _counts(raw: bytes) -> _Counts:
+    """One for all tasks of a worker process."""
+    return _Counts(_codec(raw, 1))
+
+
+def counted(raw: bytes, texts: list[str | None]) -> list[int]:
+    """How many ids each whole text has; null and empty texts have none.
+
+    Where the encoder cuts texts before each run of markers and its normaliser only puts
+    markers, a text has as many ids as its stretches, so that those that repeat are
+    encoded once. Else the whole texts are encoded.
+    """
+    counts = _counts(raw)
+    if not counts.codec.by_word:
+        return [len(x or []) for x in _encoded(counts.codec, texts)]
+    start = MARK if counts.codec.add_prefix else ""
+    return [sum(map(counts.__getitem__, STRETCH.findall(start + t.replace(" ", MARK)))) if t else 0 for t in texts]
+
+
+def count(raw: bytes, text: Column) -> Column:
+    """How many ids each whole text has (``counted``)."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(counted(raw, batch.tolist()), dtype="int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
 def decode(raw: bytes, ids: Column, threads: int = 2) -> Column:
     """The text of each array of ids; null arrays give null."""
 

@@ -41,7 +41,7 @@ def test_stages(spark, sf_dir):
     toxic = {i for i in range(160) if i % 5 == 0}
     assert not toxic & set(kept[0]) and set(range(160)) - toxic <= set(kept[0])
     assert set(kept[1]) == set(kept[0]) - {202, 204, 205}
-    assert set(kept[2]) == set(kept[1]) - {200, 201, 203} or set(kept[2]) == set(kept[1]) - {200, 201}
+    assert set(kept[2]) == set(kept[1]) - {200, 201, 203}  # two copies, and one with an address put in
     assert all(not pii.base_spans(t) for t in kept[3].values()) and set(kept[3]) == set(kept[2])
     assert all(re.sub(r"<[A-Z]+>", "", t) for t in kept[3].values())
 
