@@ -7,51 +7,77 @@ but the last give the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import jaccard, packing, pii, quality, toxicity
-from changelens.llm.common import shared_dir
+from changelens.llm import jaccard, packing, pii, quality, spm, toxicity
+from changelens.llm.common import WRITTEN, materialize, release
 
 #: Near copies share 80 percent of their five-word shingles at least.
 NEAR = jaccard.Join(ngram=5, percent=80)
+#: A column that holds the quality verdict for a while.
+VERDICT = "quality verdict of the stage"
+
+
+def _columns(df: DataFrame, **new: Column) -> list[Column]:
+    """All columns of a table, whatever their names, some with new values."""
+    return [new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't take as toxic (operator 8)."""
+    """Documents that the classifier doesn't take as toxic (operator 8).
+
+    Null and empty texts have the bias's score, which is low where toxic texts are rare.
+    Each row is judged alone; an empty table gives an empty one.
+    """
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score(model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules (operator 7)."""
-    row = F.struct(*docs.columns).alias("row")
-    return quality.measure(docs.select(row, F.col("text"))).where("quality.kept").select("row.*")
+    """Documents that pass the quality rules, without their failing and repeated lines
+    (operator 7); a document that has none of these keeps its text as it is.
+
+    Null and empty texts have no word and go. Each row is judged alone.
+    """
+    judged = quality.measure(docs, into=VERDICT, clean=True).where(F.col(VERDICT)["kept"]).drop(VERDICT)
+    return judged.select(*_columns(judged, n_chars=F.length("text").cast("long")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id (operator 9).
 
-    Documents without an id are in no group and stay.
+    Empty texts are in no group. Rows that repeat an id are one document: of those with
+    equal texts one row stays, if the document does. Rows without an id stay as they are.
     """
     groups = jaccard.linked(docs.select("doc_id", "text"), join=NEAR)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(copies, "doc_id", "left_anti").select(*_columns(docs))
+    named = kept.where("doc_id is not null")
+    again = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = named.join(again, "doc_id", "left_semi").select(*_columns(docs)).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*_columns(docs)).unionByName(once)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind (operator 10)."""
+    """All documents, with personal data replaced by its kind (operator 10).
+
+    Null and empty texts stay as they are; equal texts are masked alike.
+    """
     model = pii.fit_on(docs)
-    tagged = docs.withColumn("text", pii.mask(model, F.col("text")))
-    return tagged.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    tagged = docs.select(*_columns(docs, text=pii.mask(model, F.col("text"))))
+    return tagged.select(*_columns(tagged, n_chars=F.length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in a training sequence (operator 6)."""
-    return packing.packed(docs, length=packing.word_length(F.col("text"))).withColumnRenamed("id", "doc_id")
+    """The place of each piece of each document in a training sequence (operator 6).
+
+    Lengths are ids of the SentencePiece encoder. Null and empty texts have no piece;
+    rows that repeat an id are packed each.
+    """
+    return packing.packed(docs, length=spm.count(spm.model_file(), F.col("text"))).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -67,10 +93,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; the results stand in the shared folder."""
+    """Apply all stages to ``documents``; the last result stands in the shared folder.
+
+    What a stage wrote on its way goes once its result is written, and so does the
+    result of the stage before.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(WRITTEN)
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, keep=[docs])
     return docs
