@@ -34,7 +34,7 @@ def revisions(changes: DataFrame, options: Options) -> Result:
     return M.revisions(changes).where(F.col("n_revs") >= options.min_revs), [F.desc("n_revs"), F.col("entity")]
 
 
-def hotspots(changes: DataFrame, options: Options) -> Result:
+def revision_churn(changes: DataFrame, options: Options) -> Result:
     lines = F.coalesce("added", F.lit(0)) + F.coalesce("deleted", F.lit(0))
     df = changes.groupBy("entity").agg(F.countDistinct("rev").alias("n_revs"), F.sum(lines).alias("churn"))
     return df.where(F.col("n_revs") >= options.min_revs), [F.desc("n_revs"), F.desc("churn"), F.col("entity")]
@@ -47,11 +47,11 @@ def risk(changes: DataFrame, options: Options) -> Result:
     members = M.memberships(changes, options)
     totals = members.groupBy("entity").agg(F.count("*").alias("n_revs"), F.sum(F.when(F.col("size") <= options.max_changeset_size, F.col("size") - 1)).alias("soc"))
     split = M.fragmentation(M.author_revisions(changes, lrev), totals.select("entity", "n_revs")).select("entity", "fragmentation")
-    df = totals.where(F.col("n_revs") >= options.min_revs).join(split, "entity", "left").join(M.churn(changes), "entity", "left")
-    df = df.select("entity", F.col("n_revs").alias("revs"), F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("soc", F.lit(0)).alias("soc"), F.coalesce("fragmentation", F.lit(0.0)).alias("fragmentation"))
-    top = df.agg(*(F.max(c).alias(f"max_{c}") for c in ("revs", "churn", "soc", "fragmentation")))
-    known = changes.agg(F.coalesce(F.bool_or(F.col("added").isNotNull() & F.col("deleted").isNotNull()), F.lit(False)).alias("known"))
-    df = df.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(known))  # one row each
+    df = totals.join(split, "entity", "left").join(M.churn(changes), "entity", "left")
+    df = df.select("entity", F.col("n_revs").alias("revs"), F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("soc", F.lit(0)).alias("soc"), F.coalesce("fragmentation", F.lit(0.0)).alias("fragmentation"), "counted")
+    often = F.col("revs") >= options.min_revs
+    top = df.agg(*(F.max(F.when(often, F.col(c))).alias(f"max_{c}") for c in ("revs", "churn", "soc", "fragmentation")), F.coalesce(F.bool_or("counted"), F.lit(False)).alias("known"))
+    df = df.where(often).crossJoin(F.broadcast(top))  # one row
     rest = 1.0 / (WEIGHTS[0] + WEIGHTS[2] + WEIGHTS[3])
     weight = [F.when(F.col("known"), w).otherwise(0.0 if i == 1 else w * rest) for i, w in enumerate(WEIGHTS)]
     part = [F.when(F.col(f"max_{c}") > 0, F.col(c).cast("double") / F.nullif(F.col(f"max_{c}").cast("double"), F.lit(0.0))).otherwise(0.0) for c in ("revs", "churn", "soc", "fragmentation")]
@@ -156,7 +156,7 @@ def age(changes: DataFrame, options: Options) -> Result:
 
 #: All analyses, in the order of the help text.
 ANALYSES: dict[str, Callable[[DataFrame, Options], Result]] = {
-    "summary": summary, "authors": authors, "revisions": revisions, "hotspots": hotspots, "risk": risk, "coupling": coupling, "soc": soc,
+    "summary": summary, "authors": authors, "revisions": revisions, "revision-churn": revision_churn, "risk": risk, "coupling": coupling, "soc": soc,
     "entity-effort": entity_effort, "main-dev-by-revs": main_dev_by_revs, "fragmentation": fragmentation, "communication": communication,
     "identity": identity, "abs-churn": abs_churn, "author-churn": author_churn, "entity-churn": entity_churn, "entity-ownership": entity_ownership,
     "main-dev": main_dev, "age": age,

@@ -61,9 +61,10 @@ def fragmentation(by_author: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def churn(changes: DataFrame) -> DataFrame:
-    """(entity, churn): lines added and deleted, missing counts as 0."""
+    """(entity, churn, counted): lines added and deleted, missing counts as 0; and whether
+    any row has both counts."""
     lines = F.coalesce("added", F.lit(0)) + F.coalesce("deleted", F.lit(0))
-    return changes.groupBy("entity").agg(F.sum(lines).alias("churn"))
+    return changes.groupBy("entity").agg(F.sum(lines).alias("churn"), F.bool_or(F.col("added").isNotNull() & F.col("deleted").isNotNull()).alias("counted"))
 
 
 def largest(value: str, by: str) -> Column:

@@ -12,6 +12,7 @@ from changelens.operators.grain import to_functions
 from changelens.operators.transforms import filter_paths, map_layers
 from changelens.options import Options
 from changelens.plans.runner import cells, run
+from changelens.sources.log import read_log, shared_path, write_log
 from changelens.sources.tables import events_as_commits, orders_as_commits
 
 ORDERS = """SELECT CAST(l_orderkey AS VARCHAR) AS rev, n_name AS author, strftime(o_orderdate, '%Y-%m-%d') AS date,
@@ -51,7 +52,7 @@ def _body(name: str, o: Options) -> str:
         "summary": "SELECT 'number-of-commits' AS statistic, count(DISTINCT rev) AS value FROM changes UNION ALL SELECT 'number-of-entities', count(DISTINCT entity) FROM changes UNION ALL SELECT 'number-of-change-rows', count(*) FROM changes UNION ALL SELECT 'number-of-authors', count(DISTINCT author) FROM changes",
         "authors": f"SELECT entity, count(DISTINCT author) AS n_authors, count(DISTINCT rev) AS n_revs FROM changes GROUP BY 1 HAVING count(DISTINCT rev) >= {n}",
         "revisions": f"SELECT entity, n AS n_revs FROM r WHERE n >= {n}",
-        "hotspots": f"SELECT entity, any_value(n) AS n_revs, {big('sum(added + deleted)')} AS churn FROM changes JOIN r USING (entity) WHERE n >= {n} GROUP BY 1",
+        "revision-churn": f"SELECT entity, any_value(n) AS n_revs, {big('sum(added + deleted)')} AS churn FROM changes JOIN r USING (entity) WHERE n >= {n} GROUP BY 1",
         "risk": f""", f AS ({_frag_sql("la", "l")}), c AS (SELECT entity, {big("sum(a + d)")} AS churn FROM churns GROUP BY 1),
 g AS (SELECT l.entity, l.n AS revs, churn, coalesce(soc, 0) AS soc, f FROM l JOIN f USING (entity) JOIN c USING (entity) LEFT JOIN socs USING (entity) WHERE l.n >= {n}),
 t AS (SELECT max(revs) AS mr, max(churn) AS mc, max(soc) AS ms, max(f) AS mf FROM g),
@@ -77,16 +78,22 @@ WHERE shared >= {o.min_shared_revs} AND x.n >= {n} AND y.n >= {n} AND 100 * shar
 
 @dataclass(frozen=True)
 class Query:
+    """many: the layer map has rules that match nothing besides; bare: without line counts."""
+
     analysis: str
     options: Options = Options()
     events: bool = False
     layers: bool = False
+    many: bool = False
+    bare: bool = False
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         changes = (events_as_commits if self.events else orders_as_commits)(spark, sf_dir)
         changes = filter_paths(changes, self.options.include, self.options.exclude)
         if self.layers:
-            changes = map_layers(changes, LAYERS)
+            changes = map_layers(changes, LAYERS + [(f"none/{i}", "none") for i in range(200)] if self.many else LAYERS)
+        if self.bare:
+            changes = changes.withColumns({c: F.lit(None).cast("long") for c in ("added", "deleted")})
         return cells(run(self.analysis, changes, self.options))
 
     def sql(self) -> str:
@@ -100,13 +107,18 @@ class Query:
         if self.layers:
             cases = " ".join(f"WHEN {below(p)} THEN '{n}'" for p, n in LAYERS)
             source = f"SELECT * REPLACE (CASE {cases} ELSE entity END AS entity) FROM ({source})"
-        return _sql(source, _body(self.analysis, self.options), self.options)
+        body = _body(self.analysis, self.options)
+        if self.bare:  # the rest of the weights, each divided by their sum
+            source = f"SELECT * REPLACE (0 AS added, 0 AS deleted) FROM ({source})"
+            rest = [repr(w * (1.0 / (0.35 + 0.20 + 0.20))) for w in (0.35, 0.20)]
+            body = body.replace("0.35::DOUBLE", f"{rest[0]}::DOUBLE").replace("0.25::DOUBLE", "0.0::DOUBLE").replace("0.20::DOUBLE", f"{rest[1]}::DOUBLE")
+        return _sql(source, body, self.options)
 
 
 _DAY = {"temporal_period": "day"}
 QUERIES: dict[str, Query] = {
     **{n.replace("-", "_"): Query(n) for n in (
-        "summary", "authors", "revisions", "hotspots", "risk", "soc", "entity-effort", "main-dev-by-revs", "fragmentation", "communication",
+        "summary", "authors", "revisions", "revision-churn", "risk", "soc", "entity-effort", "main-dev-by-revs", "fragmentation", "communication",
         "identity", "abs-churn", "author-churn", "entity-churn", "entity-ownership", "main-dev", "age")},
     "coupling": Query("coupling", Options(min_shared_revs=2, min_coupling=5)),
     "coupling_layers": Query("coupling", Options(min_coupling=5), layers=True),
@@ -116,9 +128,11 @@ QUERIES: dict[str, Query] = {
     "soc_day": Query("soc", Options(**_DAY), events=True),
     "risk_day": Query("risk", Options(**_DAY), events=True),
     "risk_layers": Query("risk", layers=True),
+    "risk_many_layers": Query("risk", layers=True, many=True),
+    "risk_without_counts": Query("risk", bare=True),
     "risk_filtered": Query("risk", Options(include=("standard", "promo/brand_2"), exclude=("standard/brand_1",))),
     "age_since": Query("age", Options(age_time_now="2030-01-01")),
-    "hotspots_events": Query("hotspots", events=True),
+    "revision_churn_events": Query("revision-churn", events=True),
     "fragmentation_many_revs": Query("fragmentation", Options(min_revs=20)),
     "main_dev_layers": Query("main-dev", layers=True),
 }
@@ -136,23 +150,52 @@ def function_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def function_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed lines of functions, by the interval join."""
+    """Changed lines of functions."""
     changes, _ = to_functions(orders_as_commits(spark, sf_dir), function_diffs(spark, sf_dir))
     return changes.select("rev", "author", "date", "entity", "added", "deleted")
 
 
-FUNCTION_SQL = f"""WITH changes AS ({ORDERS}), f AS (SELECT rev, entity, max(added) AS a, max(deleted) AS d FROM changes GROUP BY 1, 2),
-h AS (SELECT rev, entity, d AS os, 2 AS oc, a AS ns, 3 AS nc FROM f UNION ALL SELECT rev, entity, 0, 0, 42, d FROM f),
+def function_grain_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What function grain drops where a fifth of the paths isn't Rust and many hunks are outside symbols."""
+    changes = orders_as_commits(spark, sf_dir)
+    changes = changes.withColumn("entity", F.when(F.col("entity").endswith("0.rs"), F.regexp_replace("entity", "rs$", "md")).otherwise(F.col("entity")))
+    diffs = function_diffs(spark, sf_dir)
+    late = F.transform("hunks", lambda h: h.withField("new_start", h["new_start"] + 20).withField("old_start", h["old_start"] + 4))
+    found, dropped = to_functions(changes, diffs.withColumn("hunks", late))
+    rows = [(k, v) for k, v in sorted(dropped.items())]
+    return spark.createDataFrame(rows, "what string, n long").unionByName(found.agg(F.lit("kept").alias("what"), F.count("*").alias("n")))
+
+
+def log_round_trip(vcs: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The changes, written as a log to the shared folder and read again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_path(spark, f"log-{vcs}")
+        write_log(orders_as_commits(spark, sf_dir), path, vcs)
+        return read_log(spark, path, vcs, max_rows=None).drop("pos")
+
+    return query
+
+
+def _function_sql(changes: str, late: tuple[int, int], result: str) -> str:
+    return f"""WITH changes AS ({changes}), f AS (SELECT rev, entity, max(added) AS a, max(deleted) AS d FROM changes GROUP BY 1, 2),
+h AS (SELECT rev, entity, d + {late[1]} AS os, 2 AS oc, a + {late[0]} AS ns, 3 AS nc FROM f UNION ALL SELECT rev, entity, {late[1]}, 0, 42 + {late[0]}, d FROM f),
 lines AS (SELECT rev, entity, 'new' AS side, unnest(range(ns, ns + nc)) AS line, ns AS z FROM h WHERE ns > 0 UNION ALL SELECT rev, entity, 'old', unnest(range(os, os + oc)), 0 FROM h WHERE os > 0),
 s(side, k, name, a, b) AS (VALUES ('new', 0, 'outer', 1, 40), ('new', 1, 'inner', 10, 20), ('new', 2, 'twin', 10, 20), ('new', 3, 'tail', 45, 50), ('old', 0, 'outer', 1, 5), ('old', 1, 'gone', 6, 9)),
 o AS (SELECT rev, entity, lines.side, line, z, arg_min(name, (b - a) * 10 + k) AS name FROM lines JOIN s ON lines.side = s.side AND line BETWEEN a AND b GROUP BY 1, 2, 3, 4, 5),
 t AS (SELECT rev, entity, name, count(*) FILTER (WHERE side = 'new') AS added, count(*) FILTER (WHERE side = 'old') AS deleted FROM o GROUP BY 1, 2, 3)
-SELECT c.rev, author, date, c.entity || '::' || name AS entity, t.added, t.deleted FROM changes c JOIN t ON c.rev = t.rev AND c.entity = t.entity"""
+{result}"""
+
+
+FUNCTION_SQL = _function_sql(ORDERS, (0, 0), "SELECT c.rev, author, date, c.entity || '::' || name AS entity, t.added, t.deleted FROM changes c JOIN t ON c.rev = t.rev AND c.entity = t.entity")
+DROPPED_SQL = _function_sql(ORDERS, (20, 4), """SELECT 'kept' AS what, count(*) AS n FROM changes c JOIN t ON c.rev = t.rev AND c.entity = t.entity WHERE NOT ends_with(c.entity, '0.rs')
+UNION ALL SELECT 'non_rust', count(*) FROM changes WHERE ends_with(entity, '0.rs')
+UNION ALL SELECT 'no_overlap', count(*) FROM changes c WHERE NOT ends_with(entity, '0.rs') AND NOT EXISTS (SELECT 1 FROM t WHERE t.rev = c.rev AND t.entity = c.entity)""")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.spark for name, q in QUERIES.items()} | {"function_grain": function_grain}
+    return {name: q.spark for name, q in QUERIES.items()} | {"function_grain": function_grain, "function_grain_dropped": function_grain_dropped, "log_git2": log_round_trip("git2"), "log_legacy": log_round_trip("git")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in QUERIES.items()} | {"function_grain": FUNCTION_SQL}
+    return {name: q.sql() for name, q in QUERIES.items()} | {"function_grain": FUNCTION_SQL, "function_grain_dropped": DROPPED_SQL, "log_git2": ORDERS, "log_legacy": ORDERS}

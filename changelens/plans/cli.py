@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
 
 from changelens.errors import EngineError
 from changelens.operators.transforms import ensure_include
-from changelens.options import MAX_CHANGESET_SIZE_LIMIT, Options, is_date
-from changelens.plans.runner import analysis_names, prepared, run
+from changelens.options import MAX_CHANGE_ROWS, MAX_CHANGESET_SIZE_LIMIT, Options, is_date
+from changelens.plans.runner import analysis_names, named_path, prepared, run
 from changelens.plans.sinks import rendered
 from changelens.sources.log import read_log
 
@@ -21,6 +21,7 @@ FLAGS: tuple[tuple[tuple[str, ...], str, str], ...] = (
     (("-c", "--vcs"), "vcs", "git|git2  format of the log (required)"),
     (("-a", "--analysis"), "analysis", "NAME  analysis to run (default: risk)"),
     (("-r", "--rows"), "rows", "N  rows to show at most"),
+    (("--max-rows",), "max_rows", "N  change rows that a log may have (default: 1000000; 0: no limit)"),
     (("-n", "--min-revs"), "min_revs", "N  commits that an entity needs (default: 5)"),
     (("-m", "--min-shared-revs"), "min_shared_revs", "N  shared commits that a pair needs (default: 5)"),
     (("-i", "--min-coupling"), "min_coupling", "N  least degree of coupling, in percent (default: 30)"),
@@ -35,7 +36,7 @@ FLAGS: tuple[tuple[tuple[str, ...], str, str], ...] = (
     (("--grain",), "grain", "file|function  what an entity is (default: file)"),
     (("--repo",), "repo", "PATH  table of file diffs, for function grain"),
 )
-INTEGERS = {"rows", "min_revs", "min_shared_revs", "min_coupling", "max_coupling", "max_changeset_size"}
+INTEGERS = {"rows", "max_rows", "min_revs", "min_shared_revs", "min_coupling", "max_coupling", "max_changeset_size"}
 BY_NAME = {name: option for names, option, _ in FLAGS for name in names}
 
 
@@ -44,6 +45,7 @@ class Args:
     log: str = ""
     vcs: str = ""
     format: str = "text"
+    max_rows: int = MAX_CHANGE_ROWS
     help: bool = False
     options: Options = Options()
 
@@ -74,7 +76,7 @@ def parse_args(argv: list[str]) -> Args:
         if value is None:
             raise EngineError(f"missing value for `{flag}`")
         given[option] = (*given[option], value) if many else _value(option, flag, value)
-    args = Args(log=given.pop("log", ""), vcs=given.pop("vcs", ""), format=given.pop("format", "text"), options=Options(**given))
+    args = Args(log=given.pop("log", ""), vcs=given.pop("vcs", ""), format=given.pop("format", "text"), max_rows=given.pop("max_rows", MAX_CHANGE_ROWS), options=Options(**given))
     for check in CHECKS:
         check(args)
     return args
@@ -114,10 +116,13 @@ CHECKS: tuple[Callable[[Args], object], ...] = (
 )
 
 
-def execute(spark: SparkSession, args: Args) -> tuple[str, dict[str, int]]:
-    """The rendered result, and what function grain dropped."""
-    changes = read_log(spark, args.log, args.vcs)
-    diffs = spark.read.parquet(args.options.repo) if args.options.grain == "function" else None
+def execute(spark: SparkSession, args: Args) -> tuple[Iterator[str], dict[str, int]]:
+    """The parts of the rendered result, and what function grain dropped."""
+    changes = read_log(spark, args.log, args.vcs, args.max_rows or None)
+    diffs = None
+    if args.options.grain == "function":
+        with named_path("table of file diffs", args.options.repo):
+            diffs = spark.read.parquet(args.options.repo)
     changes, dropped = prepared(changes, args.options, diffs)
     return rendered(run(args.options.analysis, changes, replace(args.options, include=(), exclude=())), args.format), dropped
 
@@ -137,5 +142,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"note: dropped {dropped['non_rust']} non-Rust path(s) under --grain function", file=sys.stderr)
     if dropped["no_overlap"]:
         print(f"note: dropped {dropped['no_overlap']} path(s) with no function/method overlap under --grain function", file=sys.stderr)
-    sys.stdout.write(text)
+    sys.stdout.writelines(text)
     return 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +54,17 @@ def prepared(changes: DataFrame, options: Options, diffs: DataFrame | None = Non
     return changes, dropped
 
 
+@contextmanager
+def named_path(what: str, path: str) -> Iterator[None]:
+    """A path that can't be read is an error for the user that names it."""
+    try:
+        yield
+    except AnalysisException as e:
+        raise EngineError(f"cannot read {what}: {path}") from e
+
+
 def _text(spark: SparkSession, path: str) -> str:
     """A small file's text; layer maps are written by hand."""
-    rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
+    with named_path("layer map", path):
+        rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
     return rows[0]["value"] if rows else ""

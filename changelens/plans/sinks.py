@@ -1,30 +1,37 @@
-"""Result tables as aligned text or JSON.
+"""Result tables as aligned text or JSON, line by line.
 
-A table is gathered to be printed; ``--rows`` bounds it, and ranked tables of entities
-or authors are small against the log.
+Rows are fetched one partition after the other and written as they come; the widths of
+the columns of a text are an aggregate.  So no table, however long, is held here.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from changelens.errors import EngineError
 from changelens.plans.runner import cells
 
 
-def gathered(df: DataFrame) -> tuple[list[str], list[list[str]]]:
-    """Headers, and rows of texts."""
-    shown = cells(df)
-    rows = [["" if v is None else str(v) for v in r] for r in shown.toLocalIterator()]
-    return [c.replace("_", "-") for c in shown.columns], rows
+def shown(df: DataFrame) -> tuple[list[str], DataFrame]:
+    """Headers, and the table as texts; null is empty."""
+    table = cells(df)
+    return [c.replace("_", "-") for c in table.columns], table.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in table.columns))
+
+
+def widths(table: DataFrame) -> list[int]:
+    """How many characters the longest text of each column has."""
+    return [n or 0 for n in table.agg(*(F.max(F.length(f"`{c}`")).alias(str(i)) for i, c in enumerate(table.columns))).first()]
 
 
-def as_text(headers: list[str], rows: list[list[str]]) -> str:
+def text_lines(headers: list[str], rows: Iterable[Iterable[str]], wide: list[int]) -> Iterator[str]:
     """The first column to the left, all others to the right, and the number of rows."""
-    lines = [[h.upper() for h in headers], *rows]
-    widths = [max(len(line[i]) for line in lines) for i in range(len(headers))]
-    out = ["  " + "  ".join(v.rjust(w) if i else v.ljust(w) for i, (v, w) in enumerate(zip(line, widths, strict=True))) for line in lines]
-    return "".join(x + "\n" for x in [*out, "", f"{len(rows)} rows."])
+    wide, n = [max(len(h), w) for h, w in zip(headers, wide, strict=True)], -1
+    for n, line in enumerate((x for part in ([[h.upper() for h in headers]], rows) for x in part)):
+        yield "  " + "  ".join(v.rjust(w) if i else v.ljust(w) for i, (v, w) in enumerate(zip(line, wide, strict=True))) + "\n"
+    yield f"\n{n} rows.\n"
 
 
 def escaped(text: str) -> str:
@@ -33,13 +40,20 @@ def escaped(text: str) -> str:
     return "".join(known.get(c) or (f"\\u{ord(c):04x}" if ord(c) < 32 or 127 <= ord(c) < 160 else c) for c in text)
 
 
-def as_json(headers: list[str], rows: list[list[str]]) -> str:
+def json_lines(headers: list[str], rows: Iterable[Iterable[str]]) -> Iterator[str]:
     """An array of one object a line; all values are strings."""
-    objects = ["  {" + ", ".join(f'"{escaped(h)}": "{escaped(v)}"' for h, v in zip(headers, r, strict=True)) + "}" for r in rows]
-    return "[\n" + ",\n".join(objects) + ("\n" if objects else "") + "]\n"
+    yield "["
+    end = "\n"
+    for r in rows:
+        yield end + "  {" + ", ".join(f'"{escaped(h)}": "{escaped(v)}"' for h, v in zip(headers, r, strict=True)) + "}"
+        end = ",\n"
+    yield "\n]\n"
 
 
-def rendered(df: DataFrame, form: str = "text") -> str:
+def rendered(df: DataFrame, form: str = "text") -> Iterator[str]:
+    """The parts of the text or JSON of a table, one after the other."""
     if form not in ("text", "json"):
         raise EngineError(f"invalid format `{form}`; expected `text` or `json`")
-    return (as_text if form == "text" else as_json)(*gathered(df))
+    headers, table = shown(df)
+    rows = table.toLocalIterator()
+    return text_lines(headers, rows, widths(table)) if form == "text" else json_lines(headers, rows)

@@ -8,7 +8,7 @@ from changelens.errors import EngineError
 def read_rules(text: str) -> list[tuple[str, str]]:
     """The rules in their order; blank lines and those that start with # are skipped."""
     rules = []
-    for line in text.splitlines():
+    for line in text.split("\n"):
         bare = line.strip()
         if not bare or bare.startswith("#"):
             continue

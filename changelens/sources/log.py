@@ -8,6 +8,9 @@ run.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +93,29 @@ def parsed(spark: SparkSession, path: str, vcs: str) -> DataFrame:
     return rows.select("pos", "h.rev", "h.author", "h.date", F.get("p", F.lit(2)).alias("entity"), number(0).alias("added"), number(1).alias("deleted"), "error")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise EngineError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_log(changes: DataFrame, path: str, vcs: str) -> None:
+    """Write changes as a log that ``read_log`` reads: a commit is a header with its lines.
+
+    Commits are those of (rev, date, author), each gathered in one row, as in the log.
+    """
+    if vcs not in FORMATS:
+        raise EngineError(f"unknown vcs `{vcs}`; expected `git` or `git2`")
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    commits = changes.groupBy("rev", "date", "author").agg(F.collect_list(F.concat_ws("\t", count("added"), count("deleted"), "entity")).alias("lines"))
+    head = F.concat(F.lit("--"), F.concat_ws("--", "rev", "date", "author")) if vcs == "git2" else F.concat(F.lit("["), "rev", F.lit("] "), "author", F.lit(" "), "date", F.lit(" change"))
+    commits.select(F.concat_ws("\n", F.array(head), "lines").alias("value")).write.text(path)
+
+
 def read_log(spark: SparkSession, path: str, vcs: str, max_rows: int | None = MAX_CHANGE_ROWS) -> DataFrame:
     """The changes of a log, after all its lines passed; ``max_rows`` None: no limit."""
     try:

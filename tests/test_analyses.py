@@ -16,7 +16,7 @@ EXPECTED = {
     "summary": [("number-of-commits", 3), ("number-of-entities", 2), ("number-of-change-rows", 5), ("number-of-authors", 2)],
     "authors": [("a.rs", 2, 3), ("b.rs", 1, 2)],
     "revisions": [("a.rs", 3), ("b.rs", 2)],
-    "hotspots": [("a.rs", 3, 10), ("b.rs", 2, 3)],
+    "revision-churn": [("a.rs", 3, 10), ("b.rs", 2, 3)],
     "risk": [("a.rs", "100.00", 3, 10, 2, "44.44"), ("b.rs", "50.83", 2, 3, 2, "0.00")],
     "coupling": [("a.rs", "b.rs", 66, 2)],
     "soc": [("a.rs", 2), ("b.rs", 2)],

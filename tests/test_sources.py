@@ -7,9 +7,9 @@ from changelens.functions.columns import CHANGES, FILE_DIFFS, hunks
 from changelens.operators.grain import to_functions
 from changelens.operators.transforms import filter_paths, map_layers
 from changelens.plans.cli import main, parse_args
-from changelens.plans.sinks import as_json, as_text
+from changelens.plans.sinks import json_lines, text_lines
 from changelens.sources.layers import read_rules
-from changelens.sources.log import read_log
+from changelens.sources.log import read_log, write_log
 
 
 def parse(spark, tmp_path, text, vcs="git2", **more):
@@ -83,6 +83,7 @@ def test_filters(spark):
 
 def test_layers(spark):
     df = changes(spark, "src/api/x.rs", "src", "lib/y", "z")
+    assert read_rules("a\u2028b => X\r\n") == [("a\u2028b", "X")]
     rules = read_rules("# comment\n\nsrc/ => A\nsrc/api => B\nlib=>L => M\n")
     assert rules == [("src", "A"), ("src/api", "B"), ("lib", "L => M")]
     assert paths(map_layers(df, rules)) == ["A", "A", "L => M", "z"]
@@ -107,6 +108,7 @@ def expand(spark, new, old, hunk, entity="a.rs"):
     ([("foo", 1, 10)], [("foo", 1, 10), ("bar", 11, 20)], [(12, 2, 0, 0)], [("a.rs::bar", 0, 2)]),
     ([("foo", 1, 10)], [], [(1, 2, 0, 0)], []),
     ([("first", 1, 4), ("second", 1, 4)], [], [(0, 0, 2, 1)], [("a.rs::first", 1, 0)]),
+    ([("out", 1, 20), ("in", 5, 8), ("low", 18, 30)], [("out", 3, 4)], [(2, 4, 4, 6), (0, 0, 18, 10)], [("a.rs::in", 4, 0), ("a.rs::low", 10, 0), ("a.rs::out", 2, 2)]),
 ])
 def test_function_grain(spark, new, old, hunk, expected):
     found, dropped = expand(spark, new, old, hunk)
@@ -126,6 +128,14 @@ def test_hunk_headers(spark):
     assert [tuple(x) for x in row["h"]] == [(10, 0, 12, 3), (5, 1, 7, 1)]
 
 
+def as_json(headers, rows):
+    return "".join(json_lines(headers, rows))
+
+
+def as_text(headers, rows):
+    return "".join(text_lines(headers, rows, [max((len(r[i]) for r in rows), default=0) for i in range(len(headers))]))
+
+
 def test_text_and_json():
     assert as_json(["a"], []) == "[\n]\n"
     assert as_json(["a", "b"], [["\\\t\n\r\x01\x7f\"", "é"], ["x", "y"]]) == '[\n  {"a": "\\\\\\t\\n\\r\\u0001\\u007f\\"", "b": "é"},\n  {"a": "x", "b": "y"}\n]\n'
@@ -144,6 +154,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["-l", str(tmp_path / "none"), "-c", "git2"], spark) == 1
     assert "error: cannot open log" in capsys.readouterr().err
     assert main(["-l", "--help"], spark) == 0
+    assert main(["-l", str(log), "-c", "git2", "-a", "revisions", "-n", "1"], spark) == 0
+    assert capsys.readouterr().out.endswith("  ENTITY    N-REVS\n  src/a.rs       3\n\n1 rows.\n")
+    assert main(["-l", str(log), "-c", "git2", "--max-rows", "2"], spark) == 1
+    assert main(["-l", str(log), "-c", "git2", "--max-rows", "0"], spark) == 0
+    for more, message in ((["-g", "none"], "cannot read layer map: none"), (["--grain", "function", "--repo", "none"], "cannot read table of file diffs: none")):
+        assert main(["-l", str(log), "-c", "git2", *more], spark) == 1
+        assert f"error: {message}" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("vcs", ["git2", "git"])
+def test_logs_round_trip(spark, tmp_path, vcs):
+    rows = [(str(r), f"A B{r % 3}", "2024-01-02", f"src/x{e}.rs", r, e) for r in range(40) for e in range(r % 5 + 1)]
+    write_log(spark.createDataFrame(rows, CHANGES).repartition(3, "rev"), str(tmp_path / "log"), vcs)
+    assert sorted(tuple(r)[1:] for r in read_log(spark, str(tmp_path / "log"), vcs).collect()) == sorted(rows)
 
 
 @pytest.mark.parametrize("argv", ["--what", "-l a -c git -c git2", "-l a --vcs git -c git", "-l a -c git -t week", "-l a -c git -s 201", "-l a -c git -i 80 -x 20", "-l a -c git -d 2024-13-40", "-l a -c git --format csv", "-l a -c git --grain layer", "-l a -c git --grain function", "-l a -c svn", "-c git", "-l a", "-l", "-l a -c git -n x", "-l a -c git -n -1", "-l a -c git --include /", "-l a -c git -a none", "-l=a -c git"])
