@@ -1,42 +1,44 @@
 """Language identification by compression.
 
-For each language a few zstandard raw-content dictionaries are filled from a
-bounded sample of its texts.  A text is compressed, block by block and to its end,
-with a dictionary of each language (a short text with all of each language, as one
-size has too few bytes to tell); the language with the fewest bytes wins.  Where
-the runner-up is almost as small, the answer is marked as unreliable.
+For each language a zstandard raw-content dictionary is filled with the words and pairs
+of neighbouring words that would save the most bytes in a bounded sample of its texts,
+each text counted to its end.  A text is compressed, block by block and to its end, with
+each language's dictionary; the language with the fewest bytes wins.  A stretch of the
+dictionary is put before each block, so that even a few words are compressed and not
+stored as they are.  Where the runner-up is almost as small, the answer is marked as
+unreliable.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 SCHEMA = "lang string, score double, margin double, reliable boolean"
 
 
 @dataclass(frozen=True)
 class Fit:
-    """dictionary_bytes: of each dictionary; dictionaries: of each language; texts: at
-    most so many sampled texts fill one, with equally long beginnings; max_languages:
-    more of them are an error; block: characters that are compressed at a time;
-    short: texts with fewer characters are compressed with all dictionaries;
-    min_margin: share of the runner-up's bytes that a reliable answer saves."""
-
-    dictionary_bytes: int = 16 << 10
-    dictionaries: int = 4
-    texts: int = 128
-    max_languages: int = 64
+    """texts: at most so many labelled rows of each language teach, whole (of rows that
+    share an id's hash, all or none); dictionary_bytes: of each language's dictionary,
+    less if there are so many languages that all together would exceed total_bytes;
+    block: characters that are compressed at a time; lead: bytes of the dictionary put
+    before each block; min_margin: share of the runner-up's bytes that a reliable answer
+    saves."""
+
+    texts: int = 512
+    dictionary_bytes: int = 32 << 10
+    total_bytes: int = 8 << 20
     block: int = 4096
-    short: int = 400
+    lead: int = 64
     min_margin: float = 0.01
 
 
@@ -45,46 +47,60 @@ def prepared(text: str) -> str:
     return re.sub(r"[\W\d_]+", " ", text.lower()).strip()
 
 
-def fit_on(documents: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit: Fit = Fit()) -> dict[str, list[bytes]]:
-    """The dictionaries' bytes for each language among the rows where ``learn`` holds.
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
-    Rows without language or text are passed over. The sample takes, of each
-    language, the texts with the smallest hashes of their ids.
+
+def grams(text: str) -> Iterator[str]:
+    """The words of a text, and its pairs of neighbouring words."""
+    found = prepared(text).split()
+    yield from found
+    yield from map(" ".join, zip(found, found[1:], strict=False))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: Counter[tuple[str, str]] = Counter()
+    for batch in batches:
+        for lang, text in zip(batch["l"], batch["t"], strict=True):
+            total.update((lang, g) for g in grams(text))
+        if len(total) > 500_000:
+            yield _as_rows(total)
+            total.clear()
+    yield _as_rows(total)
+
+
+def _as_rows(total: Counter[tuple[str, str]]) -> pd.DataFrame:
+    return pd.DataFrame([(lang, g, n) for (lang, g), n in total.items()], columns=["l", "gram", "n"])
+
+
+def fit_on(documents: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit: Fit = Fit()) -> dict[str, bytes]:
+    """Each language's dictionary, from the rows where ``learn`` holds.
+
+    Rows without language, text or letter are passed over. The sample takes, of each
+    language, the texts with the smallest hashes of their ids; two passes over the texts
+    serve any number of languages. Words are counted, and the best chosen, on the
+    executors: the driver gets total_bytes at most.
     """
     rows = documents.where(learn).select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    rows = rows.where("l is not null and t is not null and t rlike '\\\\p{L}'")
-    names = sorted(r["l"] for r in rows.select("l").distinct().limit(fit.max_languages + 1).collect())
-    if len(names) > fit.max_languages:
-        raise ValueError(f"more than {fit.max_languages} languages")
-    share = fit.dictionary_bytes // 8
-    most = fit.texts * fit.dictionaries
-    chosen = [(name, r["h"]) for name in names for r in rows.where(F.col("l") == name).select("h").orderBy("h").limit(most).collect()]
-    keys = rows.sparkSession.createDataFrame(chosen, "l string, h long").distinct()  # max_languages * texts * dictionaries rows at most
-    found = rows.join(F.broadcast(keys), ["l", "h"]).select("l", "h", F.substring("t", 1, share).alias("t")).collect()
-    model = {}
-    for name in names:
-        texts = sorted({prepared(r["t"]) for r in sorted((r for r in found if r["l"] == name), key=lambda r: (r["h"], r["t"]))[:most]})
-        model[name] = [dictionary(texts[k :: fit.dictionaries], fit.dictionary_bytes) for k in range(min(len(texts), fit.dictionaries))]
-    return model
-
-
-def dictionary(texts: list[str], size: int) -> bytes:
-    """``size`` bytes at most, to which every text gives an equal part, short ones all they have."""
-    left, out = size, []
-    data = sorted((t.encode() for t in texts), key=len)
-    for k, raw in enumerate(data):
-        part = raw[: max(0, left // (len(data) - k) - 1)]
-        out.append(part)
-        left -= len(part) + 1
-    return b" ".join(out)
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    first = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= fit.texts)
+    limits = first.groupBy("l").agg(F.max("h").alias("last"))
+    sample = rows.join(limits, "l").where("h <= last").select("l", "t")
+    counts = sample.mapInPandas(_counted, "l string, gram string, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
+    size = F.octet_length("gram") + 1
+    best = Window.partitionBy("l").orderBy(F.desc(F.col("n") * size), "gram")
+    ranked = counts.withColumn("used", F.sum(size).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= fit.dictionary_bytes)
+    names = limits.select("l").count()  # so the dictionaries' bytes are bounded before any is fetched
+    chosen = ranked.where(F.col("used") <= fit.total_bytes // max(1, names)).select("l", "gram", "used").toPandas().sort_values(["l", "used"], ascending=[True, False])
+    return {name: " ".join(part["gram"]).encode() for name, part in chosen.groupby("l")}
 
 
 class Classifier:
     """Compressors for all languages, made once for each task."""
 
-    def __init__(self, model: dict[str, list[bytes]], fit: Fit = Fit()):
+    def __init__(self, model: dict[str, bytes], fit: Fit = Fit()):
         self.fit = fit
-        self.compressors = {name: [self._compressor(raw) for raw in parts] for name, parts in sorted(model.items())}
+        self.compressors = {name: (self._compressor(raw), raw[-fit.lead :] + b" ") for name, raw in sorted(model.items())}
 
     def _compressor(self, raw: bytes) -> zstandard.ZstdCompressor:
         own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -95,15 +111,15 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin and whether the margin is wide enough.
 
-        Null texts, texts without a letter, and all texts when no language was
-        learned are ``und`` with score 0. Equal sizes go to the first name.
+        Null and empty texts, those without a letter, and all texts when no language was
+        learned are ``und`` with score 0. Equal sizes go to the first name. Each text is
+        judged alone, so equal texts have equal answers.
         """
-        if not text or not self.compressors or not LETTER.search(text):
+        if not has_letter(text) or not self.compressors:
             return UNKNOWN, 0.0, 0.0, False
         clean = prepared(text)
-        blocks = [clean[i : i + self.fit.block].encode() for i in range(0, len(clean), self.fit.block)]
-        used = None if len(clean) < self.fit.short else 1
-        sizes = sorted((sum(len(c.compress(b)) for c in own[:used] for b in blocks) / len(own[:used]), name) for name, own in self.compressors.items())
+        blocks = [clean[i : i + self.fit.block].encode() + b" " for i in range(0, len(clean), self.fit.block)]
+        sizes = sorted((sum(len(c.compress(lead + b)) for b in blocks), name) for name, (c, lead) in self.compressors.items())
         best, name = sizes[0]
         if len(sizes) == 1:
             return name, 1.0, 1.0, True
@@ -113,8 +129,9 @@ class Classifier:
         return name, score, margin, margin >= self.fit.min_margin
 
 
-def identify(model: dict[str, list[bytes]], text: Column, fit: Fit = Fit()) -> Column:
-    """A struct of lang, score, margin and reliable for each whole text."""
+def identify(model: dict[str, bytes], text: Column, fit: Fit = Fit()) -> Column:
+    """A struct of lang, score, margin and reliable for each whole text, as ``Classifier``
+    gives them: null and empty texts are ``und``."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classify = Classifier(model, fit)

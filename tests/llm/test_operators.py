@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from changelens.llm import ann, chat, jaccard, langid, licenses, packing, pii, quality, spm, toxicity
@@ -72,10 +73,56 @@ def test_language_without_rows(spark):
 
 
 def test_language_narrow_margins_are_unreliable():
-    same = [b"lorga mipsa dolta"]
+    same = b"lorga mipsa dolta"
     assert langid.Classifier({"a": same, "b": same})("lorga mipsa")[3] is False
 
 
+def test_language_equals_a_plain_compressor_loop(spark):
+    rng = random.Random(16)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in LANG for t in samples(lang, 20, rng))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_on(df, F.lit(True), fit=langid.Fit(dictionary_bytes=100))
+    for lang in LANG:  # the words and pairs that save most, by a plain count
+        count = {}
+        for _, t, own in rows:
+            words = t.split() if own == lang else []
+            for g in [*words, *(f"{x} {y}" for x, y in zip(words, words[1:]))]:
+                count[g] = count.get(g, 0) + 1
+        best, used = [], 0
+        for g in sorted(count, key=lambda g: (-count[g] * (len(g) + 1), g)):
+            used += len(g) + 1
+            if used > 100:
+                break
+            best.insert(0, g)
+        assert model[lang].decode() == " ".join(best)
+    classify = langid.Classifier(model)
+    for text in ["Kiwu, zefo", "lorga", "a strand and a brand " * 900, "sturm mipsa kiwu"]:
+        clean, sizes = re.sub("[^a-z]+", " ", text.lower()).strip(), {}
+        for lang, raw in model.items():
+            params = zstandard.ZstdCompressionParameters.from_level(6, source_size=4096, dict_size=len(raw), min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+            plain = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(plain.compress(raw[-64:] + b" " + clean[i : i + 4096].encode() + b" ")) for i in range(0, len(clean), 4096))
+        assert classify(text)[0] == min(sizes, key=lambda x: (sizes[x], x))
+
+
+def test_language_learns_from_the_end_of_long_texts_and_takes_many_languages(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    shared = " ".join(word() for _ in range(3000))
+    vocabulary = {f"x{k}": [word() for _ in range(10)] for k in range(80)}
+    rows = [(10 * k + i, (shared + " " if k < 2 else "") + " ".join(rng.choice(v) for _ in range(60)), lang) for k, (lang, v) in enumerate(vocabulary.items()) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_on(df, F.lit(True), fit=langid.Fit(total_bytes=80 << 10))
+    assert sorted(model) == sorted(vocabulary) and sum(map(len, model.values())) <= 80 << 10
+    classify = langid.Classifier(model)
+    assert all(classify(" ".join(v[:5]))[0] == lang for lang, v in vocabulary.items())
+
+
+def test_language_signs_that_are_no_letters():
+    classify = langid.Classifier({"a": b"lorga", "b": b"kiwu"})
+    assert [classify(t)[0] for t in ("½", "²", "Ⅷ", "12 _", "①", None, "")] == ["und"] * 7 and classify("ª")[0] != "und"
+
+
 # SentencePiece
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
