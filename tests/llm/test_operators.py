@@ -5,7 +5,9 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -37,6 +39,44 @@ def test_license_canonical_forms(spark):
     assert found == ["MIT-0"] * 5 + [None, None, "MIT"] + [None] * len(ODD)
 
 
+def test_license_copyright_clauses_and_spellings(spark):
+    forms = {
+        "Copyright (c) 2020 A. Released under the MIT License.": "released under the mit license",
+        "Copyright (c) 2020 J. R. Smith\nPermission": "permission",
+        "(c) 2020 Foo Inc. All rights reserved.\nx": "x",
+        "Copyright 2001 http://a.b.c, Foo.\r\nRest": "rest",
+        "licence licence per cent per cent sub licence": "license license percent percent sublicense",
+        "Copyright law and copyright holders": "copyright law and copyright holders",
+        "copyright (c) " + "a.b" * 50_000: "",
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    assert [r[0] for r in df.select(licenses.canonical(F.col("t"))).collect()] == list(forms.values())
+
+
+def test_whole_licenses_in_a_corpus_equal_the_sql(spark):
+    whole = [t for _, t in licenses.KNOWN]
+    texts = [*whole, *(f"Copyright (c) 20{i:02} Some Body{'.' * (i % 2)}\n\n{t}" for i, t in enumerate(whole)), *(t.replace(" ", "  ").replace("\n", "\r\n\r\n") for t in whole), *(t + " More." for t in whole), *ODD, "Released under the MIT License."]
+    table = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", table)
+    want = sorted(con.sql(licenses.oracle_sql()).fetchall())
+    out = docs(spark, texts).withColumn("digest", licenses.digest(F.col("text")))
+    got = sorted(tuple(r) for r in licenses.lookup(out, licenses.catalogue(spark)).select("doc_id", "digest", "license").collect())
+    assert got == want
+    names, n = [r[2] for r in got], len(whole)
+    assert names[: 3 * n] == [k for k, _ in licenses.KNOWN] * 3 and set(names[3 * n :]) == {None}
+
+
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")])
+def test_long_licenses_by_digest(spark, name, file):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    text = path.read_text()
+    out = licenses.scan(docs(spark, [text, text.upper().replace("\n", "\r\n"), text[:-200]]), licenses.catalogue(spark))
+    assert [r["license"] for r in out.orderBy("doc_id").collect()] == [name, name, None]
+
+
 def test_license_empty_table_and_columns(spark):
     df = docs(spark, [])
     out = licenses.scan(df, licenses.catalogue(spark))
