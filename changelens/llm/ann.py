@@ -210,7 +210,7 @@ def search(df: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec_id
     under their k + 1 smallest ids: no other copy can be among the k nearest. With at
     most ``rerank`` different vectors the result is exact.
     """
-    spark = df.sparkSession
+    spark, index = df.sparkSession, replace(index, rerank=max(index.rerank, k + 1))  # the query itself is one
     rows = df.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), queries.alias("q")).where("i is not null and v is not null")
     sizes = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

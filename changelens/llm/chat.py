@@ -64,6 +64,31 @@ def preference_turns(turns: DataFrame, *, pair: Column, chosen: Column, turn: st
     )
 
 
+def preference_pairs(rendered: DataFrame) -> DataFrame:
+    """(pair_id, prompt, chosen, rejected, chosen_spans, rejected_spans), one row a pair.
+
+    Takes what ``preference_turns`` gives. Each text is its part's turns in order, empty
+    where the part has none; spans are the (start, end) in code points of what is trained
+    on, everything else is masked. This gathers a conversation in one row, as a trainer
+    reads it; the rows of ``preference_turns`` serve where one may be too long for that.
+    """
+    parts = ("prompt", "chosen", "rejected")
+    turn = F.struct("turn", "role", "rendered", "copy", "train_start")
+    each = rendered.groupBy("pair_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in parts))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def spans(part: str) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            end = a["at"] + F.length(x["rendered"])
+            more = F.concat(a["spans"], F.array(F.struct((a["at"] + x["train_start"]).alias("start"), end.alias("end"))))
+            return F.struct(end.alias("at"), F.when(x["train_start"].isNotNull(), more).otherwise(a["spans"]).alias("spans"))
+
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), add, lambda a: a["spans"])
+
+    texts = [F.array_join(F.transform(p, lambda x: x["rendered"]), "").alias(p) for p in parts]
+    return each.select("pair_id", *texts, *(spans(p).alias(f"{p}_spans") for p in parts[1:]))
+
+
 #: What the query gives, in DuckDB's SQL.
 ORACLE_SQL = """
 WITH r AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS c, CAST(turn AS BIGINT) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),

@@ -248,6 +248,14 @@ def test_neighbours_recall_does_not_fall_as_the_table_grows(spark):
     assert len(got) == 60 and np.mean(hits) >= 0.98
 
 
+def test_neighbours_of_any_number(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, F.col("vec_id") == 0, k=50, index=ann.Index(rerank=5)).collect()
+    assert sorted(r["rank"] for r in found) == list(range(1, 51))
+
+
 def test_neighbours_without_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.lit(True)).count() == 0
@@ -287,6 +295,18 @@ def test_chat_prefix_and_masks(spark):
     ]
 
 
+def test_chat_pairs_are_assembled_with_their_masks(spark):
+    rows = [(0, 0, "user", "u"), (0, 1, "assistant", "good"), (0, 2, "user", "ok"), (0, 3, "assistant", "é"), (1, 0, "user", "u"), (1, 1, "assistant", "bad"), (2, 0, "user", "alone"), (3, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.preference_turns(df, pair=F.floor(F.col("conv_id") / 2), chosen=F.col("conv_id") % 2 == 0)
+    one, two = chat.preference_pairs(turns).orderBy("pair_id").collect()
+    turn = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    assert one["prompt"] == turn("user", "u") and one["chosen"] == turn("assistant", "good") + turn("user", "ok") + turn("assistant", "é")
+    assert [one["chosen"][s:e] for s, e in one["chosen_spans"]] == ["good<|im_end|>\n", "é<|im_end|>\n"]
+    assert [one["rejected"][s:e] for s, e in one["rejected_spans"]] == ["bad<|im_end|>\n"]
+    assert (two["prompt"], two["chosen"], two["rejected"], two["chosen_spans"]) == (turn("user", "alone"), "", "", [])
+
+
 def test_chat_odd_cases(spark):
     same = [(0, None, None), (0, None, None), (5, "assistant", "<|im_end|>")]
     got = pair_turns(spark, same, same)
@@ -458,6 +478,75 @@ def test_toxicity_learns_and_ignores_identities(spark):
     assert scores[0] == scores[1] == scores[2] and all(0 <= s <= 1 for s in scores) and scores[5] == scores[6]
 
 
+def test_toxicity_equals_a_plain_dense_fit(spark):
+    rng = random.Random(18)
+    words = [f"{a}{b}" for a in ("mor", "tel", "san", "vik") for b in ("an", "or", "ul")]
+    texts = [" ".join([*rng.sample(words, 5), *(["gay"] if i % 3 == 0 else []), *(["scum"] if i % 4 == 0 else [])]) for i in range(80)]
+    labels = [int(i % 4 == 0 or i % 12 == 3) for i in range(80)]
+    fit = toxicity.Fit(iterations=40, penalty=3.0, min_chi2=0.5)
+    df = spark.createDataFrame([(t, y, i) for i, (t, y) in enumerate(zip(texts, labels))], "t string, y int, o long")
+    ids, scale = toxicity.associated(df, fit.min_chi2)
+    model = toxicity.train(toxicity.sampled(df, ids, fit.groups), ids, scale, fit)
+
+    def named(words):
+        return {zlib.crc32(x.encode()) & (1 << 20) - 1 for w in words for x in (f"={w}", *(w[:n] for n in range(4, 9) if len(w) >= n))}
+
+    sets = [named(t.split()) for t in texts]
+    y, n1 = np.array(labels, float), sum(labels)
+    chosen, ratio = [], []
+    for f in sorted(set().union(*sets)):
+        have = np.array([f in x for x in sets])
+        b, k = y[have].sum(), have.sum()
+        e = k * n1 / 80
+        if k >= 2 and (b - e) ** 2 * (1 / e + 1 / (k - e)) >= fit.min_chi2:
+            chosen.append(f)
+            ratio.append(np.log((b + 0.5) / (n1 + 1)) - np.log((k - b + 0.5) / (80 - n1 + 1)))
+    assert ids.tolist() == chosen and np.allclose(scale, ratio)
+
+    following = {w: g[(i + 1) % len(g)] for g in toxicity.IDENTITY_TERMS for i, w in enumerate(g)}
+    pairs = []
+    for i, t in enumerate(texts):
+        one = set(t.split())
+        other = {following.get(w, w) for w in one}
+        if one == other:
+            g = toxicity.IDENTITY_TERMS[i % len(toxicity.IDENTITY_TERMS)]
+            k = i // len(toxicity.IDENTITY_TERMS) % len(g)
+            one, other = one | {g[k]}, one | {g[(k + 1) % len(g)]}
+        pairs.append((named(one), named(other)))
+    dense = lambda rows: np.array([[f in r for f in chosen] for r in rows], float)
+    x, d = dense(sets), dense([a for a, _ in pairs]) - dense([b for _, b in pairs])
+    w, b, m, v = np.zeros(len(chosen)), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.0, 0.0
+    for step in range(1, 41):
+        g = 1 / (1 + np.exp(-(x @ (w * ratio) + b))) - y
+        grad = np.append((x.T @ g + 3.0 * d.T @ (d @ (w * ratio))) * ratio + w, g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    score, plain = model.scorer(), 1 / (1 + np.exp(-(x @ (w * ratio) + b)))
+    assert model.pairs == 80 and np.allclose([score(t) for t in texts], plain, atol=1e-4)
+
+
+def test_toxicity_pairs_act_on_the_corpus(spark):
+    """Every labelled row gives a pair; words of the corpus taken as one group's terms get closer scores."""
+    sf = "/root/testdata/sf0.01"
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    plain = toxicity.fit_on(df, labels, fit=toxicity.Fit(penalty=0.0))
+    assert plain.pairs > 100
+    group = (("idiot", "clown"), ("worthless", "thing"))
+    gaps = []
+    for penalty in (0.0, 20.0):
+        score = toxicity.fit_on(df, labels, fit=toxicity.Fit(penalty=penalty, groups=group)).scorer()
+        gaps.append(np.mean([abs(score(f"the {a} of") - score(f"the {b} of")) for a, b in group]))
+    assert gaps[1] < gaps[0]
+
+
+def test_toxicity_ids_that_many_rows_share_teach_once(spark):
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, "fine") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.learning_rows(df, labels)
+    assert rows.count() == len({i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 4 != 2})
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, ["a", "b"])
     model = toxicity.fit_on(df, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -593,6 +682,28 @@ def test_message_passing_is_exact_on_chains_and_binds_linked_words():
     assert linked.skip.tolist() == [[0, 1]] and pii.marginals(linked, loose)[1].argmax() == 1
 
 
+def test_skip_edges_change_what_a_trained_field_finds():
+    """A number without its + is found where it repeats a whole one, by the skip edge alone."""
+    rng = random.Random(19)
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    texts = []
+    for i in range(300):
+        a, b = number(), number()
+        texts.append(f"word call +1 ({i % 900 + 100}) {a} now or write user{i}@host{i}.org then +1 ({i % 900 + 100}) {a} again, case {b} and order {rng.randrange(10**6, 10**7)} end")
+    model = pii.train(pii.cases(texts))
+    assert model.skip[pii.LABELS.index("phone")] > 0
+    found = alone = 0
+    for _ in range(50):
+        a = number()
+        text = f"Call +1 (212) {a} today. Ask at (212) {a} then"
+        again = text.rindex(a)
+        found += any(k == "phone" and s <= again < e for k, s, e in pii.all_spans(text, model)[1])
+        g = pii.graph(text)
+        g.skip = g.skip[:0]
+        alone += pii.marginals(g, model)[len(g.spans) - 1, pii.LABELS.index("phone")] >= pii.Fit().sure
+    assert found >= 45 and alone <= 5  # the base patterns, which ask for a +, find none of them
+
+
 def test_field_without_texts(spark):
     model = pii.fit_on(docs(spark, [None, "no clue"]))
     assert pii.all_spans("mail a@b.org 555-1234", model)[1] == [("email", 5, 12)]
@@ -600,8 +711,3 @@ def test_field_without_texts(spark):
 
 def test_masking_overlaps():
     assert pii.masked("abcdefgh", [("ip", 1, 4), ("card", 3, 6), ("phone", 7, 8)]) == "a<IP>g<PHONE>"
-
-
-def test_digest_of_spans_is_as_stated(spark):
-    line = ",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans("a@b.c 1.2.3.4"))
-    assert line == "email:0:5,ip:6:13" and len(hashlib.sha256(line.encode()).hexdigest()) == 64

@@ -1,14 +1,20 @@
 """Queries and the pipeline over a small table, stage by stage."""
 
+import hashlib
 import random
 import re
+import sys
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from changelens.llm import jaccard, packing, pii, quality, toxicity
+from changelens.llm import jaccard, packing, pii, quality, spm, toxicity
 from changelens.llm.queries import oracle_sql, queries
 
+sys.path.insert(0, str(Path(__file__).parent))
+import test_operators as plain  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -94,5 +100,68 @@ def test_names_and_contract_columns(spark):
         assert df.columns[: len(columns)] == columns and df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def rows(spark, name):
+    return queries()[name](spark, SF).collect()
+
+
+def table(spark, name):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(*{"documents": ("doc_id", "text"), "embeddings": ("vec_id", "embedding")}[name]).collect()]
+
+
+def test_neighbours_query_equals_brute_force(spark):
+    want = {(q, k): (i, s) for q, k, i, s in plain.brute(table(spark, "embeddings"), 20)}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in rows(spark, "op4_nearest_neighbours")}
+    assert set(got) == set(want) and sum(got[x][0] == want[x][0] for x in want) >= 0.99 * len(want)
+
+
+def test_packing_query_places_every_token_once(spark):
+    want = {i: len(x) for (i, _), x in zip(table(spark, "documents"), spm.Codec(spm.model_file()).encode([t or "" for _, t in table(spark, "documents")]))}
+    got, bins = {}, {}
+    for r in rows(spark, "op6_best_fit_packing"):
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        bins.setdefault((r["bin_id"], r["capacity"]), []).append((r["offset"], r["length"]))
+    for parts in got.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))
+    assert {i: sum(n for _, n in x) for i, x in got.items()} == {i: n for i, n in want.items() if n}
+    assert all(sum(n for _, n in x) <= capacity for (_, capacity), x in bins.items())
+
+
+def test_jaccard_query_equals_all_pairs(spark):
+    assert sorted(tuple(r) for r in rows(spark, "op9_ngram_jaccard")) == plain.plain_components(sorted(table(spark, "documents")))
+
+
+def test_personal_data_query_equals_the_patterns(spark):
+    texts = dict(table(spark, "documents"))
+    for r in rows(spark, "op10_pii"):
+        base = plain.plain_spans(texts[r["doc_id"]])
+        line = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest() and set(line) <= set(r["spans"].split(",")) | {""}
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, row string, i long, t string, quality string"
+    extra = ("en", "s", 1, "x", "r", 7, "t", "q")
+    empty = spark.createDataFrame([], schema)
+    prose = "\n".join(f"The word{i} of the text{i} goes on for some time{i}." for i in range(12))
+    odd = spark.createDataFrame([(1, prose, *extra), (1, prose, *extra), (1, prose + " Other end.", *extra), (None, prose, *extra), (None, None, *extra), (3, None, *extra), (4, "", *extra), (5, "word " * 20_000, *extra)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf_dir)
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
+        found = stage(spark, odd, sf_dir)
+        if name != "packing":
+            assert found.columns == odd.columns
+            kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, len(r["text"] or "")) for r in found.collect()))
+            n = len(prose)
+            assert {
+                "toxicity": len(kept) == 8, "quality": kept == [(False, 1, n), (False, 1, n), (False, 1, n + 11), (True, 0, n)],
+                "near_copies": kept == [(False, 1, n), (False, 1, n + 11), (False, 3, 0), (False, 4, 0), (False, 5, 100_000), (True, 0, 0), (True, 0, n)],
+                "personal_data": len(kept) == 8,
+            }[name], (name, kept)
+        else:
+            assert sorted({r["doc_id"] for r in found.collect() if r["doc_id"] is not None}) == [1, 5]
+
+
 def test_defaults():
     assert quality.Rules().min_words == 50 and toxicity.THRESHOLD == 0.3 and max(packing.Bins().capacities) == 8192
