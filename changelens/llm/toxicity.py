@@ -11,6 +11,7 @@ its length, is scored as a whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -77,21 +78,23 @@ class Model:
         """A function from text to score; it remembers which features that count a
         word has, for at most 200,000 words at a time."""
         known: dict[str, tuple[int, ...]] = {}
-        weights = np.zeros(1 << BITS, np.float32)
-        weights[self.ids] = self.weights
+        weight = dict(zip(self.ids.tolist(), self.weights.tolist(), strict=True))
+        mask = (1 << BITS) - 1
 
         def ids(word: str) -> tuple[int, ...]:
             if len(known) > 200_000:
                 known.clear()
-            known[word] = found = tuple(int(i) for i in features({word}) if weights[i])
-            return found
+            found = {crc32(x.encode()) & mask for x in (f"={word}", *(word[:n] for n in range(4, min(8, len(word)) + 1)))}
+            known[word] = out = tuple(i for i in found if i in weight)
+            return out
 
         def score(text: str | None) -> float:
             hit: set[int] = set()
             for word in tokens(text):
-                hit.update(known[word] if word in known else ids(word))
-            z = self.bias + float(weights[sorted(hit)].sum())
-            return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+                own = known.get(word)
+                hit.update(ids(word) if own is None else own)
+            z = self.bias + sum(weight[i] for i in sorted(hit))
+            return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
         return score
 
