@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelens.llm.common import WRITTEN, materialize, release
+
 UNKNOWN = "und"
 SCHEMA = "lang string, score double, margin double, reliable boolean"
 
@@ -30,6 +32,8 @@ class Fit:
     """texts: at most so many labelled rows of each language teach, whole (of rows that
     share an id's hash, all or none); dictionary_bytes: of each language's dictionary,
     less if there are so many languages that all together would exceed total_bytes;
+    broadcast_names: up to so many languages, each one's last hash goes to all tasks
+    instead of texts being shuffled (the same rows are chosen either way);
     block: characters that are compressed at a time; lead: bytes of the dictionary put
     before each block; min_margin: share of the runner-up's bytes that a reliable answer
     saves."""
@@ -37,6 +41,7 @@ class Fit:
     texts: int = 512
     dictionary_bytes: int = 32 << 10
     total_bytes: int = 8 << 20
+    broadcast_names: int = 50_000
     block: int = 4096
     lead: int = 64
     min_margin: float = 0.01
@@ -81,17 +86,26 @@ def fit_on(documents: DataFrame, learn: Column, *, doc_id: str = "doc_id", text:
     serve any number of languages. Words are counted, and the best chosen, on the
     executors: the driver gets total_bytes at most.
     """
+    since = len(WRITTEN)
     rows = documents.where(learn).select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    first = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= fit.texts)
+    first = rows.select("l", "h", F.pmod("h", F.lit(64)).alias("part"))
+    for keys in (["l", "part"], ["l"]):  # in parts first, so that a frequent language's rows aren't all in one task
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= fit.texts).drop("r")
+    first = materialize(first.select("l", "h"), "chosen")
     limits = first.groupBy("l").agg(F.max("h").alias("last"))
-    sample = rows.join(limits, "l").where("h <= last").select("l", "t")
+    names = limits.count()
+    if names <= fit.broadcast_names:
+        sample = rows.join(F.broadcast(limits), "l").where("h <= last").select("l", "t")
+    else:
+        sample = rows.join(first.distinct().hint("merge"), ["l", "h"]).select("l", "t")
     counts = sample.mapInPandas(_counted, "l string, gram string, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     size = F.octet_length("gram") + 1
     best = Window.partitionBy("l").orderBy(F.desc(F.col("n") * size), "gram")
     ranked = counts.withColumn("used", F.sum(size).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= fit.dictionary_bytes)
-    names = limits.select("l").count()  # so the dictionaries' bytes are bounded before any is fetched
+    # the dictionaries' bytes are bounded before any is fetched
     chosen = ranked.where(F.col("used") <= fit.total_bytes // max(1, names)).select("l", "gram", "used").toPandas().sort_values(["l", "used"], ascending=[True, False])
+    release(documents.sparkSession, since)
     return {name: " ".join(part["gram"]).encode() for name, part in chosen.groupby("l")}
 
 

@@ -153,6 +153,7 @@ def test_language_learns_from_the_end_of_long_texts_and_takes_many_languages(spa
     rows = [(10 * k + i, (shared + " " if k < 2 else "") + " ".join(rng.choice(v) for _ in range(60)), lang) for k, (lang, v) in enumerate(vocabulary.items()) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit_on(df, F.lit(True), fit=langid.Fit(total_bytes=80 << 10))
+    assert model == langid.fit_on(df, F.lit(True), fit=langid.Fit(total_bytes=80 << 10, broadcast_names=10))
     assert sorted(model) == sorted(vocabulary) and sum(map(len, model.values())) <= 80 << 10
     classify = langid.Classifier(model)
     assert all(classify(" ".join(v[:5]))[0] == lang for lang, v in vocabulary.items())
