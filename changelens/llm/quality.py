@@ -74,21 +74,38 @@ def _has_phrase(text: Column) -> Column:
     return found
 
 
-def _line_fails(line: Column, rules: Rules, phrases: Column | bool = True) -> Column:
-    """phrases: false if no line of the document holds a boilerplate phrase."""
+#: Three capitals with no other letter between: a line of 20 letters or more with over 70
+#: percent of capitals has them.
+CAPITALS = r"\p{Lu}\P{L}*+\p{Lu}\P{L}*+\p{Lu}"
+
+
+def _signs(text: Column, low: Column, rules: Rules) -> Column:
+    """What of a whole text decides which rules its lines can fail at all."""
+    bars = F.lit(False)
+    for c in BARS:
+        bars = bars | text.contains(c)
+    return F.struct(
+        _count(text, SYMBOLS).alias("symbols"), bars.alias("bars"), _has_phrase(low).alias("phrases"),
+        (text.rlike(CAPITALS) if rules.max_upper_pct >= 70 else F.lit(True)).alias("capitals"),
+    )
+
+
+def _line_fails(line: Column, rules: Rules, signs: Column | None = None) -> Column:
+    """signs: of the whole text (``_signs``); rules that no line can fail aren't tried."""
+    may = (lambda c: F.lit(True)) if signs is None else (lambda c: signs[c])
     solid = F.length(_without_spaces(line))
     n = F.length(line) - solid + 1
     letters, capitals = (F.regexp_count(line, F.lit(x)) for x in (r"\p{L}", r"\p{Lu}"))
     # letters are counted only where there are capitals enough for 20 letters
-    upper = (solid >= 20) & (100 * capitals > rules.max_upper_pct * 20) & (letters >= 20) & (100 * capitals > rules.max_upper_pct * letters)
+    upper = may("capitals") & (solid >= 20) & (100 * capitals > rules.max_upper_pct * 20) & (letters >= 20) & (100 * capitals > rules.max_upper_pct * letters)
     return (
         ~line.rlike(r"\p{L}")
         | ((solid < rules.min_open_chars) & ~line.rlike(TERMINAL))
-        | (100 * _count(line, SYMBOLS) > rules.max_symbol_pct * n)
-        | (100 * _bars(line) > rules.max_bar_pct * n)
+        | ((F.lit(True) if signs is None else signs["symbols"] > 0) & (100 * _count(line, SYMBOLS) > rules.max_symbol_pct * n))
+        | (may("bars") & (100 * _bars(line) > rules.max_bar_pct * n))
         | upper
         | (solid > rules.max_word_chars * n)
-        | ((F.lit(True) if phrases is True else phrases) & _has_phrase(F.lower(line)))
+        | (may("phrases") & _has_phrase(F.lower(line)))
     )
 
 
@@ -141,18 +158,18 @@ def measure(df: DataFrame, *, text: str = "text", rules: Rules = Rules(), into:
     df = df.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.col(f"`{text}`").isNull().alias("none"))
     df = df.select("row", "t", "none", words(F.col("t")).alias("w"), _lines_with_words(F.col("t")).alias("lines"))
     df = df.select("row", "t", "none", "w", F.transform(_places(F.col("w")), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))).alias("h"), F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), F.array_distinct("lines").alias("lines"), F.lower("t").alias("low"))
-    df = df.select("row", "t", "none", F.size("w").alias("n"), _ordered_windows(F.col("w"), F.col("h")).alias("o"), "n_lines", "chars", "lines", _has_phrase(F.col("low")).alias("phrases"))
-    good = F.filter("lines", lambda x: ~_line_fails(x, rules, F.col("phrases")))
-    df = df.select("row", "t", "none", "n", "n_lines", F.size("lines").alias("n_distinct"), _repeated_places(F.col("o")).alias("p"), good.alias("good"), "chars")
+    df = df.select("row", "t", "none", F.size("w").alias("n"), _ordered_windows(F.col("w"), F.col("h")).alias("o"), "n_lines", "chars", "lines", _signs(F.col("t"), F.col("low"), rules).alias("signs"))
+    good = F.filter("lines", lambda x: ~_line_fails(x, rules, F.col("signs")))
+    df = df.select("row", "t", "none", "n", "n_lines", F.size("lines").alias("n_distinct"), _repeated_places(F.col("o")).alias("p"), good.alias("good"), "chars", "signs.symbols")
     cleaned = F.when(~F.col("none"), F.when(F.size("good") == F.col("n_lines"), F.col("t")).otherwise(F.array_join("good", "\n"))) if clean else F.lit(None).cast("string")
-    df = df.select("row", "t", "n", "n_lines", "n_distinct", F.aggregate("good", F.lit(0), lambda a, x: a + F.length(x)).alias("good_chars"), "chars", _covered_words(F.col("p")).alias("r"), cleaned.alias("clean"))
+    df = df.select("row", "t", "n", "n_lines", "n_distinct", F.aggregate("good", F.lit(0), lambda a, x: a + F.length(x)).alias("good_chars"), "chars", "symbols", _covered_words(F.col("p")).alias("r"), cleaned.alias("clean"))
     # a filter on the verdict isn't pushed below a generator, where it would compute everything again
-    df = df.select("row", F.explode(F.array(F.struct("t", "n", "n_lines", "n_distinct", "good_chars", "chars", "r", "clean"))).alias("x")).select("row", "x.*")
+    df = df.select("row", F.explode(F.array(F.struct("t", "n", "n_lines", "n_distinct", "good_chars", "chars", "symbols", "r", "clean"))).alias("x")).select("row", "x.*")
     failed = (F.col("n") < rules.min_words) | (100 * F.col("r") > rules.max_repeat_pct * F.col("n"))
     verdict = F.struct(
         F.col("n").cast("long").alias("n_words"),
         F.length(_without_spaces(F.col("t"))).cast("long").alias("word_chars"),
-        _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.col("symbols").cast("long").alias("n_symbols"),
         (F.col("n_lines") - F.col("n_distinct")).cast("long").alias("n_dup_lines"),
         F.col("r").cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"),
