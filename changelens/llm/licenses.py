@@ -171,8 +171,8 @@ def catalogue(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, d
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null for null texts and for empty forms."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    # named once: beside a condition on it, the form would be computed twice
+    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
 def lookup(df: DataFrame, known: DataFrame, *, by: str = "digest", into: str = "license") -> DataFrame:
