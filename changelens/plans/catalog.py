@@ -12,6 +12,7 @@ from changelens.operators.grain import to_functions
 from changelens.operators.transforms import filter_paths, map_layers
 from changelens.options import Options
 from changelens.plans.runner import cells, run
+from changelens.plans.sinks import rendered
 from changelens.sources.log import read_log, shared_path, write_log
 from changelens.sources.tables import events_as_commits, orders_as_commits
 
@@ -44,9 +45,12 @@ def _frag_sql(own: str, total: str) -> str:
   FROM (SELECT x.entity, author, CAST(x.n * 100.0::DOUBLE AS DOUBLE) / t.n / 100.0::DOUBLE AS s FROM {own} x JOIN {total} t USING (entity)) GROUP BY entity"""
 
 
-def _body(name: str, o: Options) -> str:
+def _pct(x: str) -> str:
+    return f"printf('%.2f', {x})"
+
+
+def _body(name: str, o: Options, pct: Callable[[str], str] = _pct) -> str:
     n = o.min_revs
-    pct = lambda x: f"printf('%.2f', {x})"
     big = lambda x: f"CAST({x} AS BIGINT)"
     return {
         "summary": "SELECT 'number-of-commits' AS statistic, count(DISTINCT rev) AS value FROM changes UNION ALL SELECT 'number-of-entities', count(DISTINCT entity) FROM changes UNION ALL SELECT 'number-of-change-rows', count(*) FROM changes UNION ALL SELECT 'number-of-authors', count(DISTINCT author) FROM changes",
@@ -138,6 +142,49 @@ QUERIES: dict[str, Query] = {
 }
 
 
+#: How each analysis is sorted, in SQL; ``identity`` is in the order of the log.
+ORDER = {
+    "summary": "list_position(['number-of-commits', 'number-of-entities', 'number-of-change-rows', 'number-of-authors'], statistic)",
+    "authors": "n_authors DESC, n_revs DESC, entity", "revisions": "n_revs DESC, entity", "revision-churn": "n_revs DESC, churn DESC, entity",
+    "risk": "risk DESC, entity", "coupling": "degree DESC, average_revs DESC, entity, coupled", "soc": "soc DESC, entity",
+    "entity-effort": "entity, author_revs DESC, author", "main-dev-by-revs": "entity", "fragmentation": "fragmentation DESC, entity",
+    "communication": "shared DESC, author, peer", "abs-churn": "date DESC", "author-churn": "added + deleted DESC, author",
+    "entity-churn": "added + deleted DESC, entity", "entity-ownership": "entity, added DESC, author", "main-dev": "entity", "age": "age_days DESC, entity",
+}
+TOP = Options(rows=20, min_shared_revs=2, min_coupling=5)
+
+
+def top(analysis: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The first rows of an analysis, with their places."""
+    return lambda spark, sf_dir: cells(run(analysis, orders_as_commits(spark, sf_dir), TOP, place="place"))
+
+
+def _top_sql(analysis: str) -> str:
+    """Sorted by percentages as they are, and given with those that are shown."""
+    shown = {"risk": ("risk", "fragmentation"), "fragmentation": ("fragmentation",), "main-dev": ("ownership",), "main-dev-by-revs": ("ownership",)}.get(analysis, ())
+    columns = f"* REPLACE ({', '.join(f'{_pct(c)} AS {c}' for c in shown)})" if shown else "*"
+    table = _sql(ORDERS, _body(analysis, TOP, lambda x: f"({x})"), TOP)
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY {ORDER[analysis]}) AS place FROM ({table})) WHERE place <= {TOP.rows}"
+
+
+def report(analysis: str, form: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The lines of the first rows of an analysis, as the command line writes them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = "".join(rendered(run(analysis, orders_as_commits(spark, sf_dir), TOP), form)).split("\n")[:-1]
+        return spark.createDataFrame(list(enumerate(lines)), "line long, content string")
+
+    return query
+
+
+TEXT_SQL = f"""WITH t AS ({_top_sql("revisions")}), w AS (SELECT greatest(6, max(length(entity)))::INT AS a, greatest(6, max(length(CAST(n_revs AS VARCHAR))))::INT AS b, count(*) AS n FROM t)
+SELECT CAST(0 AS BIGINT) AS line, '  ' || rpad('ENTITY', a, ' ') || '  ' || lpad('N-REVS', b, ' ') AS content FROM w
+UNION ALL SELECT place, '  ' || rpad(entity, a, ' ') || '  ' || lpad(CAST(n_revs AS VARCHAR), b, ' ') FROM t, w UNION ALL SELECT n + 1, '' FROM w UNION ALL SELECT n + 2, n || ' rows.' FROM w"""
+JSON_SQL = f"""WITH t AS ({_top_sql("risk")}), w AS (SELECT count(*) AS n FROM t)
+SELECT CAST(0 AS BIGINT) AS line, '[' AS content UNION ALL SELECT n + 1, ']' FROM w
+UNION ALL SELECT place, '  {{"entity": "' || entity || '", "risk": "' || risk || '", "revs": "' || revs || '", "churn": "' || churn || '", "soc": "' || soc || '", "fragmentation": "' || fragmentation || '"}}' || CASE WHEN place < n THEN ',' ELSE '' END FROM t, w"""
+
+
 def function_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts for function grain made of lineitem: symbols that nest, and two hunks."""
     changes = orders_as_commits(spark, sf_dir).groupBy("rev", "entity").agg(F.max("added").alias("a"), F.max("deleted").alias("d"))
@@ -193,9 +240,18 @@ UNION ALL SELECT 'non_rust', count(*) FROM changes WHERE ends_with(entity, '0.rs
 UNION ALL SELECT 'no_overlap', count(*) FROM changes c WHERE NOT ends_with(entity, '0.rs') AND NOT EXISTS (SELECT 1 FROM t WHERE t.rev = c.rev AND t.entity = c.entity)""")
 
 
+#: (query, SQL) of those that aren't in QUERIES.
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "function_grain": (function_grain, FUNCTION_SQL), "function_grain_dropped": (function_grain_dropped, DROPPED_SQL),
+    "log_git2": (log_round_trip("git2"), ORDERS), "log_legacy": (log_round_trip("git"), ORDERS),
+    "revisions_text": (report("revisions", "text"), TEXT_SQL), "risk_json": (report("risk", "json"), JSON_SQL),
+    **{f"{n.replace('-', '_')}_top": (top(n), _top_sql(n)) for n in ORDER},
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.spark for name, q in QUERIES.items()} | {"function_grain": function_grain, "function_grain_dropped": function_grain_dropped, "log_git2": log_round_trip("git2"), "log_legacy": log_round_trip("git")}
+    return {name: q.spark for name, q in QUERIES.items()} | {name: query for name, (query, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in QUERIES.items()} | {"function_grain": FUNCTION_SQL, "function_grain_dropped": DROPPED_SQL, "log_git2": ORDERS, "log_legacy": ORDERS}
+    return {name: q.sql() for name, q in QUERIES.items()} | {name: sql for name, (_, sql) in OTHERS.items()}

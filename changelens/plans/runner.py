@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.errors import EngineError
@@ -25,15 +25,23 @@ def analysis_names() -> list[str]:
     return sorted(ANALYSES)
 
 
-def run(name: str, changes: DataFrame, options: Options = Options()) -> DataFrame:
-    """The sorted table of an analysis, at most ``rows`` rows of it; percentages are doubles."""
+def run(name: str, changes: DataFrame, options: Options = Options(), place: str | None = None) -> DataFrame:
+    """The sorted table of an analysis, at most ``rows`` rows of it; percentages are doubles.
+
+    ``place`` names a column for each row's place, from 1. It needs ``rows``: places are
+    given in one task, to those rows only.
+    """
     if name not in ANALYSES:
         raise EngineError(f"unknown analysis `{name}`; expected one of: {', '.join(analysis_names())}")
+    if place and options.rows is None:
+        raise EngineError("places are given to a limited number of rows only")
     df, keys = ANALYSES[name](changes, options)
     if keys:
         df = df.orderBy(*keys)
     if options.rows is not None:
         df = df.limit(options.rows)
+    if place:
+        df = df.withColumn(place, F.row_number().over(Window.orderBy(*keys or [F.lit(0)])).cast("long"))
     return df.drop("k", "pos")
 
 

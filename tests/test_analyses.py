@@ -116,3 +116,11 @@ def test_rows_and_unknown_names(spark):
 def test_dates_sort_as_text(spark):
     rows = [("1", "A", "2024-1-9", "x", 1, 0), ("2", "A", "2024-02-01", "x", 1, 0)]
     assert [r[0] for r in table(spark, "abs-churn", rows)] == ["2024-1-9", "2024-02-01"]
+
+
+def test_places_follow_the_order_of_the_limited_rows(spark):
+    df = spark.createDataFrame(SAMPLE, CHANGES)
+    found = run("revisions", df, Options(rows=1, min_revs=1), place="place").collect()
+    assert [tuple(r) for r in found] == [("a.rs", 3, 1)]
+    with pytest.raises(EngineError, match="limited number of rows"):
+        run("revisions", df, place="place")
