@@ -29,13 +29,16 @@ SCHEMA = "id long, piece int, start long, length int, bin_id string, offset int,
 class Bins:
     """capacities: permitted sequence lengths. A bin of capacity c costs
     overhead + c + c * c / quadratic (attention grows with the square); costs, where
-    given, states it outright. shard_tokens: tokens of a shard, on average."""
+    given, states it outright. shard_tokens, shard_pieces: tokens and pieces of a shard,
+    on average; the stricter of the two counts, so that very many short pieces fill no
+    task's memory."""
 
     capacities: tuple[int, ...] = (512, 1024, 2048, 4096, 8192)
     overhead: float = 64.0
     quadratic: float = 65_536.0
     costs: dict[int, float] = field(default_factory=dict)
     shard_tokens: int = 4_000_000
+    shard_pieces: int = 250_000
 
     def __post_init__(self):
         if not self.capacities or min(self.capacities) < 1:
@@ -126,12 +129,16 @@ def pack(lengths: list[int], bins: Bins = Bins()) -> list[tuple[int, int, int]]:
     cheap ones, the first tried. lengths: from 1 to the longest capacity."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     sizes = sorted(bins.capacities)
-    ways = [best_fit(order, lengths, lambda n, left: opened(n, left, bins)), bin_by_bin(order, lengths, bins)]
-    ways += [best_fit(order, lengths, lambda n, _, c=c: sizes[bisect_left(sizes, max(n, c))]) for c in sizes]
-    final = [[sizes[bisect_left(sizes, u)] for u in used] for _, used in ways]
-    spent = [sum(map(bins.cost, x)) for x in final]
-    k = spent.index(min(spent))
-    return [(b, at, final[k][b]) for b, at in ways[k][0]]
+    ways = [lambda: best_fit(order, lengths, lambda n, left: opened(n, left, bins)), lambda: bin_by_bin(order, lengths, bins)]
+    ways += [lambda c=c: best_fit(order, lengths, lambda n, _: sizes[bisect_left(sizes, max(n, c))]) for c in sizes]
+    spent, best = None, None
+    for way in ways:  # one packing beside the best is held
+        placed, used = way()
+        final = [sizes[bisect_left(sizes, u)] for u in used]
+        price = sum(map(bins.cost, final))
+        if spent is None or price < spent:
+            spent, best = price, [(b, at, final[b]) for b, at in placed]
+    return best
 
 
 def lower_bound(tokens: int, bins: Bins = Bins()) -> float:
@@ -186,15 +193,15 @@ def packed(df: DataFrame, *, doc_id: str = "doc_id", length: Column, bins: Bins
     ``length`` is the number of tokens of a row, as ``spm.count`` gives it. Null and non-positive lengths give no
     piece. A row longer than the longest capacity is cut into full pieces and a rest;
     start is where in the row a piece begins. Rows that repeat an id are packed each.
-    The number of shards grows with the tokens; pieces are dealt to them by a hash of
+    The number of shards grows with tokens and pieces; pieces are dealt to them by a hash of
     the id and the piece, so no source and no long document fills one shard alone.
     """
     longest = max(bins.capacities)
     rows = df.select(F.col(doc_id).cast("long").alias("id"), length.cast("long").alias("n"))
     # written before any filter, which would compute the lengths once more
     rows = materialize(rows, "lengths").where("n > 0")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // bins.shard_tokens))
+    total, many = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("n") / longest)), F.lit(0))).first()
+    shards = max(1, -(-total // bins.shard_tokens), -(-many // bins.shard_pieces))
     pieces = rows.select("id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(longest).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("id", "piece", "start", F.least(F.lit(longest), F.col("n") - F.col("start")).cast("int").alias("length"))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "length"), F.lit(shards)))

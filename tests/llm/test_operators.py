@@ -392,6 +392,14 @@ def test_packing_rows(spark):
     assert one["tokens"] == 146 and one["cost"] >= one["bound"] and packing.cost(packing.packed(df.where("n > 1000"), length=F.col("n"), bins=bins), bins).first()["cost"] == 0
 
 
+def test_packing_deals_very_many_short_pieces_to_several_shards(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("n"))
+    rows = packing.packed(df, length=F.col("n"), bins=packing.Bins(capacities=(64,), shard_pieces=50)).collect()
+    shards = {r["bin_id"].split("-")[0] for r in rows}
+    assert len(rows) == 400 and 4 <= len(shards) <= 8
+    assert {r["id"] for r in rows} == set(range(400))
+
+
 def test_packing_counts_tokens_of_texts_without_spaces(spark):
     raw = spm.model_file()
     texts = ["漢字" * 20_000, "QUJD" * 10_000, "tab\t" * 10_000, "", None]
