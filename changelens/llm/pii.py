@@ -29,6 +29,7 @@ LABELS = ("none", *KINDS)
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+OCTET = re.compile(r"[0-9]{1,3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORDS = re.compile(WORD)
@@ -100,7 +101,7 @@ def _features(word: str) -> list[bool]:
     return [
         True, at, at and "." in word.rsplit("@", 1)[1][1:-1], at and word.count("@") == 1, word.startswith("+"), word.startswith("(") or word.endswith(")"),
         n == 0, 1 <= n <= 3, n == 4, 5 <= n <= 7, 8 <= n <= 12, 13 <= n <= 15, 16 <= n <= 19, n > 19,
-        n > 0 and other == 0, "-" in word[1:-1] and n >= 5, len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+        n > 0 and other == 0, "-" in word[1:-1] and n >= 5, len(parts) == 4 and all(OCTET.fullmatch(p) and int(p) <= 255 for p in parts),
         16 <= n <= 19 and luhn(digits), any(c.isalpha() for c in word), other > n,
     ]
 

@@ -257,6 +257,18 @@ def test_neighbours_of_any_number(spark):
     assert sorted(r["rank"] for r in found) == list(range(1, 51))
 
 
+def test_neighbours_among_vectors_of_very_different_lengths(spark):
+    rng, n = np.random.default_rng(31), 2000
+    x = rng.normal(size=(n, 16)) * 10.0 ** np.where(np.arange(n) < 1900, 0, rng.integers(-30, 101, n))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for table in (df, df.where("vec_id < 1901")):  # many sizes, and one large vector among plain ones
+        rows, got = [r[0] for r in table.select("vec_id").collect()], {}
+        for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        right = {q: set(sorted((i for i in rows if i != q), key=lambda i: -float(x[i] @ x[q]))[:20]) for q in rows if q % 20 == 0}
+        assert set(got) == set(right) and np.mean([len(got[q] & right[q]) / 20 for q in right]) >= 0.98
+
+
 def test_neighbours_without_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.lit(True)).count() == 0
@@ -660,6 +672,17 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@") == []
 
 
+def test_personal_data_in_odd_digits():
+    rng = random.Random(32)
+    pieces = ["1.2.3.²", "²", "①", "٣", "1", "255", ".", "@", "+", " ", "-", "a@b.c", "१.२.३.४", "\n", "é", "½", "1.2.3.4"]
+    model = pii.train(pii.cases(["mail a@b.org and 10.0.0.1 or +49 171 5550000"] * 5), pii.Fit(iterations=20))
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+        base, spans = pii.all_spans(text, model, pii.Fit(passes=2))
+        assert base == plain_spans(text) and set(base) <= set(spans), text
+        pii.masked(text, spans)
+
+
 def test_field_adds_spans_and_keeps_base(spark):
     texts = [f"word call +1 ({i % 900 + 100}) 555-{i + 1000} now or mail user{i}@host{i}.org from 10.0.{i % 200}.7 with 12{i} and id {i}77 end" for i in range(60)]
     model = pii.train(pii.cases(texts))
