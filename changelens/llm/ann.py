@@ -4,9 +4,11 @@ Vectors are coded with four bits for each pair of dimensions.  The codebooks, an
 choice of codes, minimise a score-aware loss: the part of the residual parallel to the
 vector, which shifts its inner products with the queries that matter, weighs more than
 the part orthogonal to it.  What these codes leave is coded once more, by its own
-codebooks.  Queries scan blocks of the first codes by table look-up; all within the
-measured error of the k-th best are scored with both codes, and all of those within
-the error of both are ranked again by exact inner products.
+codebooks.  Only directions are coded; a vector's length stands beside its code as a
+double, so vectors of any finite size may stand side by side.  Queries scan blocks of
+the first codes by table look-up; all within the measured error of the k-th best are
+scored with both codes, and all of those within the error of both are ranked again by
+exact inner products.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ class Index:
     """sample: at most so many vectors, those with the smallest hashes of their ids,
     fit the codebooks; threshold: cosine from which on an inner product matters;
     rounds: of the fit; rerank: candidates of each query that are ranked exactly at
-    least; errors: how many times the measured error of a guess may lie below the k-th
-    guess and be ranked all the same, so the depth follows the data; query_block, code_block: size of the blocks that one task scans."""
+    least; errors: how many times the measured error, times a vector's length, its score
+    is taken to lie about its guess: it is ranked if it may be as large as the k-th
+    surely is, so the depth follows the data; query_block, code_block: size of the
+    blocks that one task scans."""
 
     sample: int = 8000
     threshold: float = 0.2
     rounds: int = 4
     rerank: int = 100
-    errors: float = 3.0
+    errors: float = 1.5
     query_block: int = 512
     code_block: int = 65_536
     chunk: int = 64
@@ -126,10 +130,17 @@ def valid(vector: Column, size: int) -> Column:
     return F.coalesce((F.size(vector) == size) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _even(x: np.ndarray) -> np.ndarray:
-    """Float32 rows with a zero added where the number of dimensions is odd."""
-    x = np.asarray(x, np.float32)
-    return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1 in float32, with a zero added where the number of dimensions is
+    odd, and the lengths. Rows are divided by their largest component first, so that no
+    square is too large or too small."""
+    x = np.asarray(x, np.float64)
+    most = np.abs(x).max(1)
+    scaled = x / most[:, None]
+    length = np.linalg.norm(scaled, axis=1)
+    with np.errstate(over="ignore"):
+        lengths = np.minimum(most * length, np.finfo(np.float64).max)
+    return np.pad((scaled / length[:, None]).astype(np.float32), ((0, 0), (0, x.shape[1] % 2))), lengths
 
 
 def _packed(codes: np.ndarray) -> np.ndarray:
@@ -142,9 +153,10 @@ def _coded(book: Codebook, finer: Codebook):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                codes, left = book.left(_even(np.stack(batch["v"].to_numpy())))
+                unit, length = directions(np.stack(batch["v"].to_numpy()))
+                codes, left = book.left(unit)
                 packed = np.concatenate([_packed(codes), _packed(finer.encode(left))], axis=1)
-                yield pd.DataFrame({"g": batch["g"], "code": [c.tobytes() for c in packed]})
+                yield pd.DataFrame({"g": batch["g"], "code": [c.tobytes() for c in packed], "length": length})
 
     return run
 
@@ -157,30 +169,30 @@ def _tables(book: Codebook, q: np.ndarray) -> np.ndarray:
     return (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(q), -1, 256)
 
 
-def _reached(guess: np.ndarray, k: int, margin: float, least: int) -> np.ndarray:
-    """The places of the guesses within the margin of the k-th best, and of the
-    ``least`` best at least."""
+def _reached(guess: np.ndarray, margin: np.ndarray, k: int, least: int) -> np.ndarray:
+    """The places of the guesses that, with their margin, may be as large as the k-th
+    surely is, and of the ``least`` best at least."""
     if len(guess) <= max(k, least):
         return np.arange(len(guess))
-    part = -np.partition(-guess, (k - 1, least - 1))
-    return np.flatnonzero(guess >= min(part[k - 1] - margin, part[least - 1]))
+    sure = -np.partition(margin - guess, k - 1)[k - 1]
+    return np.flatnonzero((guess + margin >= sure) | (guess >= -np.partition(-guess, least - 1)[least - 1]))
 
 
-def scan(tables: np.ndarray, finer: np.ndarray, packed: np.ndarray, k: int, margins: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def scan(tables: np.ndarray, finer: np.ndarray, packed: np.ndarray, length: np.ndarray, k: int, errors: tuple[float, float], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the places and scores of the codes that it reaches.
 
-    tables, finer: those of both codes; packed: the codes, one after the other;
-    margins: (queries, 2), how far below the k-th best score a code may lie.
+    tables, finer: those of both codes; packed: the codes, one after the other; length:
+    of their vectors; errors: of a guess with the first and with both codes, at length 1.
     """
     half, out = tables.shape[1], []
     part = np.ascontiguousarray(tables.transpose(1, 2, 0))
     total = np.zeros((len(packed), part.shape[2]), np.float32)
     for b in range(half):
         total += np.take(part[b], packed[:, b], axis=0)
-    for row, table, (coarse, fine) in zip(np.ascontiguousarray(total.T), finer, margins, strict=True):
-        near = _reached(row, k, coarse, least)
-        guess = row[near] + table[np.arange(half), packed[near, half:]].sum(1)
-        best = _reached(guess, k, fine, least)
+    for row, table in zip(np.ascontiguousarray(total.T), finer, strict=True):
+        near = _reached(row * length, errors[0] * length, k, least)
+        guess = (row[near] + table[np.arange(half), packed[near, half:]].sum(1)) * length[near]
+        best = _reached(guess, errors[1] * length[near], k, least)
         out.append((near[best], guess[best]))
     return out
 
@@ -188,14 +200,14 @@ def scan(tables: np.ndarray, finer: np.ndarray, packed: np.ndarray, k: int, marg
 def _scanned(book: Codebook, finer: Codebook, errors: tuple[float, float], k: int, index: Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for groups, codes, queries, vectors in zip(batch["groups"], batch["codes"], batch["queries"], batch["vectors"], strict=True):
-                packed = np.stack([np.frombuffer(c, np.uint8) for c in codes]).astype(np.intp)
+            for groups, codes, lengths, queries, vectors in zip(batch["groups"], batch["codes"], batch["lengths"], batch["queries"], batch["vectors"], strict=True):
+                packed, length = np.stack([np.frombuffer(c, np.uint8) for c in codes]).astype(np.intp), np.asarray(lengths)
                 for s in range(0, len(vectors), index.chunk):
-                    q = _even(np.stack(vectors[s : s + index.chunk]))
-                    margins = index.errors * np.linalg.norm(q, axis=1)[:, None] * np.array(errors)
-                    found = scan(_tables(book, q), _tables(finer, q), packed, k, margins, index.rerank)
-                    many, guess = [len(p) for p, _ in found], np.concatenate([g for _, g in found])
-                    yield pd.DataFrame({"query_id": np.repeat(np.asarray(queries[s : s + index.chunk]), many), "g": np.asarray(groups)[np.concatenate([p for p, _ in found])], "guess": guess, "reach": guess + np.repeat(margins[:, 1], many)})
+                    q, _ = directions(np.stack(vectors[s : s + index.chunk]))
+                    found = scan(_tables(book, q), _tables(finer, q), packed, length, k, errors, index.rerank)
+                    many, guess, at = [len(p) for p, _ in found], np.concatenate([g for _, g in found]), np.concatenate([p for p, _ in found])
+                    margin = errors[1] * length[at]
+                    yield pd.DataFrame({"query_id": np.repeat(np.asarray(queries[s : s + index.chunk]), many), "g": np.asarray(groups)[at], "low": guess - margin, "reach": guess + margin})
 
     return run
 
@@ -224,26 +236,27 @@ def search(df: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec_id
     sample = groups.join(F.broadcast(chosen), "g").orderBy("h", "g").select("v").limit(index.sample).toPandas()
     if not len(sample):
         return empty
-    x = _even(np.stack(sample["v"].to_numpy())).astype(np.float64)
+    x = directions(np.stack(sample["v"].to_numpy()))[0].astype(np.float64)
     book = train(x, index)
     _, left = book.left(x)
     finer = train(left, replace(index, threshold=0.0))
-    errors = (measured(x, left, k), measured(x, finer.left(left)[1], k))
+    errors = tuple(index.errors * e for e in (measured(x, left, k), measured(x, finer.left(left)[1], k)))
 
     # an id that stands for several vectors is told apart by the vector itself
-    coded = groups.select(F.xxhash64("v").alias("g"), "v").mapInPandas(_coded(book, finer), "g long, code binary")
+    coded = groups.select(F.xxhash64("v").alias("g"), "v").mapInPandas(_coded(book, finer), "g long, code binary, length double")
     n = groups.count()
     blocks = -(-n // index.code_block)
-    coded = coded.groupBy(F.pmod("g", F.lit(blocks)).alias("block")).agg(F.collect_list("g").alias("groups"), F.collect_list("code").alias("codes"))
+    coded = coded.groupBy(F.pmod("g", F.lit(blocks)).alias("block")).agg(F.collect_list("g").alias("groups"), F.collect_list("code").alias("codes"), F.collect_list("length").alias("lengths"))
     asked = materialize(rows.where("q").select("i", "v").distinct(), "queries")
     ask_blocks = max(1, -(-asked.count() // index.query_block))
-    asked_in = asked.groupBy(F.pmod(F.xxhash64("i", "v"), F.lit(ask_blocks)).alias("ask")).agg(F.collect_list("i").alias("queries"), F.collect_list(F.col("v").cast("array<float>")).alias("vectors"))
+    most = F.array_max(F.transform("v", F.abs))  # a query's length doesn't matter for the order
+    asked_in = asked.groupBy(F.pmod(F.xxhash64("i", "v"), F.lit(ask_blocks)).alias("ask")).agg(F.collect_list("i").alias("queries"), F.collect_list(F.transform("v", lambda x: (x / most).cast("float"))).alias("vectors"))
     # each block of codes meets each block of queries
     meet = coded.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ask_blocks - 1).cast("long")))).join(asked_in, "ask")
-    guessed = meet.repartition("ask", "block").mapInPandas(_scanned(book, finer, errors, k + 1, index), "query_id long, g long, guess double, reach double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "g")
+    guessed = meet.repartition("ask", "block").mapInPandas(_scanned(book, finer, errors, k + 1, index), "query_id long, g long, low double, reach double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("low"), "g")
     guessed = guessed.withColumn("r", F.row_number().over(best))
-    last = F.max(F.when(F.col("r") == k + 1, F.col("guess"))).over(Window.partitionBy("query_id"))  # the query itself is among the guesses
+    last = F.max(F.when(F.col("r") == k + 1, F.col("low"))).over(Window.partitionBy("query_id"))  # the query itself is among the guesses
     guessed = guessed.withColumn("last", last).where((F.col("r") <= index.rerank) | (F.col("reach") >= F.col("last"))).select("query_id", "g")
 
     exact = guessed.join(groups.select(F.xxhash64("v").alias("g"), F.col("v").alias("w"), "members"), "g").join(asked.select(F.col("i").alias("query_id"), "v"), "query_id")
