@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import ann, chat, jaccard, langid, licenses, packing, pii, quality, spm, toxicity
+from changelens.llm import ann, chat, codes, jaccard, langid, licenses, packing, pii, quality, repair, spm, topk, toxicity
 from changelens.llm.common import held_out
 
 
@@ -79,9 +79,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(line(F.col("x.base")), 256).alias("base_sha256"), line(F.col("x.spans")).alias("spans"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of each damaged conversation; see ``repair`` for null and repeated rows."""
+    rows, copies = repair.damaged(_read(spark, sf_dir, "conversations"))
+    return repair.repaired(rows, copies=copies)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each finite vector, what it loses, and the digest of the codebooks."""
+    return codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of each vector whose id is divisible by 50."""
+    return topk.largest_products(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_sentencepiece, op4_nearest_neighbours, op5_chat_format, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_ngram_jaccard, op10_pii)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_sentencepiece, op4_nearest_neighbours, op5_chat_format, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_ngram_jaccard, op10_pii, op11_conversation_repair, op12_vector_codes, op13_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle_sql(), "op5_chat_format": chat.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
+    return {"op1_license_scan": licenses.oracle_sql(), "op5_chat_format": chat.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op12_vector_codes": codes.ORACLE_SQL, "op13_exact_top_k": topk.ORACLE_SQL}
