@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle_sql(), "op5_chat_format": chat.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op12_vector_codes": codes.ORACLE_SQL, "op13_exact_top_k": topk.ORACLE_SQL}
+    return {"op1_license_scan": licenses.oracle_sql(), "op5_chat_format": chat.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL, "op12_vector_codes": codes.ORACLE_SQL, "op13_exact_top_k": topk.ORACLE_SQL}

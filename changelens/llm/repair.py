@@ -398,3 +398,43 @@ def damaged(turns: DataFrame) -> tuple[DataFrame, Column]:
     text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
     rows = turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text"), kind.alias("kind"))
     return rows, F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+
+
+def _oracle() -> str:
+    """Damage, faults, and the charts of the four places that a conversation can be at:
+    nothing yet (e), after the system (h), after the user (u), after the assistant (d)."""
+    step = lambda s, cost, letter, line: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {s}.t || {line}}}"
+    said = lambda role: f"chr(10) || {role} || ':' || text"
+    insert = lambda s, role: step(s, 5, "I", f"chr(10) || '{role}:'")
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    none = "{'c': 1000000, 'a': '', 't': ''}"
+    may = lambda condition, value: f"CASE WHEN {condition} THEN {value} ELSE {none} END"
+    first, second = "{'c': 5, 'a': 'I', 't': chr(10) || 'user:'}", "{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}"
+    cut = "5 * truncated"
+    keep = lambda s, letter: may(f"NOT gone AND role[1] = '{letter}'", step(s, cut, "K", said("role")))
+    give = lambda s, role: may("NOT gone", step(s, f"1 + {cut}", "R", said(f"'{role}'")))
+    drop = lambda s: step(s, 2, "D", "''")
+    return f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384::BIGINT) ELSE d // 2 END)), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+  regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare FROM damaged),
+faults AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS duplicate, bare = '' OR again AS gone, CAST(bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS INT) AS truncated,
+  i > 1 AND lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+charts AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS e, {none} AS h, {first} AS u, {second} AS d FROM conversations
+  UNION ALL SELECT conv_id, i, e, h, u2 AS u, {least("d1", insert("u2", "assistant"))} AS d FROM (
+    SELECT *, {least("u1", insert("e", "user"), insert("h", "user"), insert("d1", "user"))} AS u2 FROM (
+      SELECT f.conv_id, f.i, {drop("e")} AS e, {least(drop("h"), keep("e", "s"))} AS h,
+        {least(drop("u"), *(x for s in ("e", "h", "d") for x in (keep(s, "u"), give(s, "user"))))} AS u1, {least(drop("d"), keep("u", "a"), give("u", "assistant"))} AS d1
+      FROM charts c JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i + 1))),
+best AS (SELECT conv_id, arg_max(list_min([e, d]), i) AS x FROM charts GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+  count(*) FILTER (WHERE truncated = 1) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM faults GROUP BY 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(x.c AS BIGINT) AS cost, x.a AS audit, sha256(substr(x.t, 2)) AS repaired_sha256 FROM best b LEFT JOIN counts n ON b.conv_id IS NOT DISTINCT FROM n.conv_id"""
+
+
+#: What the query gives, in DuckDB's SQL.
+ORACLE_SQL = _oracle()
