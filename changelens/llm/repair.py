@@ -230,20 +230,22 @@ def _segmented(costs: Costs, limit: Segments):
     role, text, copies).
 
     A conversation in the middle of a partition that fits a segment is repaired here. Of
-    others, whose turns may stand in other partitions too, segments are given: their
-    place and their turns, ``seen`` of those that repeat an earlier turn of the task.
+    others, whose turns may stand in other partitions too, segments are given, numbered
+    within the task, with their turns, ``seen`` of those that repeat an earlier one there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        conv, part, number, inner, turns, chars, seen = none, None, 0, False, [], 0, set()
+        conv, part, number, inner, cut, turns, chars, seen = none, None, 0, False, False, [], 0, set()
         out: list[dict] = []
 
         def segment(whole: bool) -> None:
-            if whole and inner and not number:
+            nonlocal number, cut
+            if whole and inner and not cut:
                 out.append(_repaired(conv, turns, costs))
-            elif turns or not number:
+            elif turns or not cut:
                 out.append({"conv": conv, "part": part, "number": number, "turns": turns})
+                number, cut = number + 1, True
 
         schema = None
         for batch in batches:
@@ -252,10 +254,10 @@ def _segmented(costs: Costs, limit: Segments):
                 if conv is none or row["conv"] != conv:
                     if conv is not none:
                         segment(whole=True)
-                    inner, conv, part, number, turns, chars, seen = conv is not none, row["conv"], row["part"], 0, [], 0, set()
+                    inner, cut, conv, part, turns, chars, seen = conv is not none, False, row["conv"], row["part"], [], 0, set()
                 elif len(turns) >= limit.rows or chars >= limit.chars:
                     segment(whole=False)
-                    number, turns, chars = number + 1, [], 0
+                    turns, chars = [], 0
                 for _ in range(row["copies"]):
                     name = _sha(f"{row['role']}\0{row['text']}").digest()
                     turns.append({"turn": row["turn"], "role": row["role"], "text": row["text"], "seen": name in seen})

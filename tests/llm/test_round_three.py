@@ -100,6 +100,13 @@ def test_repair_of_one_very_long_conversation_in_many_tasks(spark):
     assert damaged_and_repaired(spark, rows) == got or set(damaged_and_repaired(spark, rows)) == set(got)
 
 
+def test_repair_of_conversations_that_begin_and_end_in_the_middle_of_tasks(spark):
+    rng = random.Random(38)
+    rows = [(c, k, rng.choice(["user", "assistant"]), rng.choice(["Word %d." % rng.randint(0, 300), "same.", "no end"])) for c in range(3) for k in range(500)]
+    for limit in (repair.Segments(), repair.Segments(rows=30)):
+        assert {r[0]: r[1:] for r in damaged_and_repaired(spark, rows, limit)} == plain_repair(rows)
+
+
 def test_repair_of_nothing_and_of_long_texts(spark):
     assert damaged_and_repaired(spark, []) == []
     dropped = next(i for i in range(100) if zlib.crc32(f"{i}:1".encode()) % 20 == 0)
