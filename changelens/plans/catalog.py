@@ -13,7 +13,8 @@ from changelens.operators.transforms import filter_paths, map_layers
 from changelens.options import Options
 from changelens.plans.runner import cells, run
 from changelens.plans.sinks import rendered
-from changelens.sources.log import read_log, shared_path, write_log
+from changelens.sources.log import faults, log_lines, read_log, write_lines, write_log
+from changelens.sources.shared import release, shared_path
 from changelens.sources.tables import events_as_commits, orders_as_commits
 
 ORDERS = """SELECT CAST(l_orderkey AS VARCHAR) AS rev, n_name AS author, strftime(o_orderdate, '%Y-%m-%d') AS date,
@@ -213,17 +214,43 @@ def function_grain_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "what string, n long").unionByName(found.agg(F.lit("kept").alias("what"), F.count("*").alias("n")))
 
 
-def log_round_trip(vcs: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The changes, written as a log to the shared folder and read again."""
+def log_round_trip(vcs: str, files: int = 40) -> Callable[[SparkSession, str], DataFrame]:
+    """The changes, written as a log of many files, some of which begin in the middle of a
+    commit, and read again; of the format ``git``, half of the dates are delimited."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_path(spark, f"log-{vcs}")
-        write_log(orders_as_commits(spark, sf_dir), path, vcs)
-        return read_log(spark, path, vcs, max_rows=None).drop("pos")
+        write_log(orders_as_commits(spark, sf_dir), path, vcs, files, F.xxhash64("rev") % 2 == 0)
+        changes = read_log(spark, path, vcs, max_rows=None).drop("pos")
+        release(spark, [path])  # what was read stands in a table by now
+        return changes
 
     return query
 
 
+def log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of a log with planted faults, and how many lines have each."""
+    order = F.col("rev").cast("long") % 40
+    lines = log_lines(orders_as_commits(spark, sf_dir), "git2")
+    head = F.when(order == 1, F.regexp_replace("line", "--[^-]*$", "")).when(order == 2, F.regexp_replace("line", "-[0-9]{2}--([^-]*)$", "-32--$1")).otherwise(F.col("line"))
+    own = F.split("line", "\t")
+    row = F.when(order == 3, F.concat_ws("\t", F.lit("many"), own[1], own[2])).when(order == 4, F.concat_ws("\t", own[0], own[1])).when(order == 5, own[0])
+    row = row.when(order == 6, F.concat(F.col("line"), F.lit(" => new"))).when(order == 7, F.concat_ws("\t", own[0], F.lit("-1"), own[2])).otherwise(F.col("line"))
+    path = shared_path(spark, "log-faults")
+    write_lines(lines.withColumn("line", F.when(F.col("k") == 0, head).otherwise(row)), path, 12)
+    found = faults(spark, path, "git2").groupBy("error").agg(F.count("*").alias("n"))
+    release(spark, [path])
+    return found
+
+
+ERRORS_SQL = f"""WITH c AS (SELECT *, CAST(rev AS BIGINT) % 40 AS o FROM ({ORDERS})),
+h AS (SELECT DISTINCT rev, date, author, o FROM c),
+e AS (SELECT 'git2 header missing author' AS error FROM h WHERE o = 1 UNION ALL SELECT 'malformed git2 header date (expected YYYY-MM-DD): --' || rev || '--' || date[1:8] || '32--' || author FROM h WHERE o = 2
+  UNION ALL SELECT 'invalid numstat count `many`' FROM c WHERE o = 3 UNION ALL SELECT 'numstat line missing path' FROM c WHERE o = 4 UNION ALL SELECT 'numstat line missing deleted count' FROM c WHERE o = 5
+  UNION ALL SELECT 'rename/copy numstat path is unsupported (use --no-renames): ' || entity || ' => new' FROM c WHERE o = 6 UNION ALL SELECT 'invalid numstat count `-1`' FROM c WHERE o = 7)
+SELECT error, count(*) AS n FROM e GROUP BY 1"""
+
+
 def _function_sql(changes: str, late: tuple[int, int], result: str) -> str:
     return f"""WITH changes AS ({changes}), f AS (SELECT rev, entity, max(added) AS a, max(deleted) AS d FROM changes GROUP BY 1, 2),
 h AS (SELECT rev, entity, d + {late[1]} AS os, 2 AS oc, a + {late[0]} AS ns, 3 AS nc FROM f UNION ALL SELECT rev, entity, {late[1]}, 0, 42 + {late[0]}, d FROM f),
@@ -243,7 +270,7 @@ UNION ALL SELECT 'no_overlap', count(*) FROM changes c WHERE NOT ends_with(entit
 #: (query, SQL) of those that aren't in QUERIES.
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "function_grain": (function_grain, FUNCTION_SQL), "function_grain_dropped": (function_grain_dropped, DROPPED_SQL),
-    "log_git2": (log_round_trip("git2"), ORDERS), "log_legacy": (log_round_trip("git"), ORDERS),
+    "log_git2": (log_round_trip("git2"), ORDERS), "log_legacy": (log_round_trip("git"), ORDERS), "log_errors": (log_errors, ERRORS_SQL),
     "revisions_text": (report("revisions", "text"), TEXT_SQL), "risk_json": (report("risk", "json"), JSON_SQL),
     **{f"{n.replace('-', '_')}_top": (top(n), _top_sql(n)) for n in ORDER},
 }

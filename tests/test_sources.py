@@ -1,6 +1,9 @@
 """Logs, layer maps, filters, function grain, text and JSON, the command line."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from changelens.errors import EngineError
 from changelens.functions.columns import CHANGES, FILE_DIFFS, hunks
@@ -9,7 +12,7 @@ from changelens.operators.transforms import filter_paths, map_layers
 from changelens.plans.cli import main, parse_args
 from changelens.plans.sinks import json_lines, text_lines
 from changelens.sources.layers import read_rules
-from changelens.sources.log import read_log, write_log
+from changelens.sources.log import faults, read_log, register_format, write_log
 
 
 def parse(spark, tmp_path, text, vcs="git2", **more):
@@ -46,6 +49,61 @@ def test_first_error_row_cap_and_encoding(spark, tmp_path):
         read_log(spark, str(tmp_path / "none"), "git")
 
 
+def test_a_log_of_many_files_and_splits(spark, tmp_path):
+    """Cut anywhere, also within a commit; files in few partitions, and many splits of a file."""
+    rng, lines, right = random.Random(40), [], []
+    for c in range(200):
+        lines.append(f"--r{c}--2024-01-{c % 28 + 1:02d}--A{c % 7}")
+        for k in range(rng.choice([0, 1, 3, 40])):
+            lines.append(rng.choice([f"{k}\t1\tsrc/{c}.rs", "", f"-\t2\tdocs/{k}"]))
+            if lines[-1]:
+                a, d, e = lines[-1].split("\t")
+                right.append((f"r{c}", f"A{c % 7}", f"2024-01-{c % 28 + 1:02d}", e, 0 if a == "-" else int(a), int(d)))
+    for n in (1, 3, 40):
+        folder, cuts = tmp_path / f"log{n}", sorted(rng.sample(range(1, len(lines)), n - 1))
+        folder.mkdir()
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)], strict=True)):
+            (folder / f"part-{i:05d}").write_text("\n".join(lines[a:b]) + "\n")
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                assert [tuple(r)[1:] for r in read_log(spark, str(folder), "git2").orderBy("pos").collect()] == right
+                (folder / "part-00000").write_text("1\t1\tx\n" + "\n".join(lines[: cuts[0] if cuts else None]) + "\n")
+                with pytest.raises(EngineError, match="before header: 1"):
+                    read_log(spark, str(folder), "git2")
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                (folder / "part-00000").write_text("\n".join(lines[: cuts[0] if cuts else None]) + "\n")
+
+
+def test_first_error_of_all_files(spark, tmp_path):
+    for i, text in enumerate(["--a--2024-01-01--A\n1\t1\tx\n", "2\t2\ty\nbad\n", "--onlyrev\n"]):
+        (tmp_path / f"{i}").write_text(text)
+    with pytest.raises(EngineError, match="missing deleted"):
+        read_log(spark, str(tmp_path), "git2")
+    assert [r["error"] for r in faults(spark, str(tmp_path), "git2").orderBy("pos").collect()] == ["numstat line missing deleted count", "git2 header missing date"]
+    (tmp_path / "1").write_text("2\t2\ty\n")
+    with pytest.raises(EngineError, match="missing date"):
+        read_log(spark, str(tmp_path), "git2")
+    (tmp_path / "2").write_text("3\t3\tz\n")
+    assert read_log(spark, str(tmp_path), "git2", max_rows=3).where("rev = 'a'").count() == 3
+    with pytest.raises(EngineError, match="exceeds 2 "):
+        read_log(spark, str(tmp_path), "git2", max_rows=2)
+
+
+def test_a_format_of_the_callers(spark, tmp_path):
+    def header(line):
+        part = F.split(line, ";")
+        return {"rev": F.substring(F.get(part, 0), 2, 99), "author": F.get(part, 1), "date": F.get(part, 2), "bad": F.when(F.size(part) < 3, F.lit("short header"))}
+
+    register_format("semicolons", lambda line: line.startswith("#"), header)
+    assert parse(spark, tmp_path, "#a;Ada;2024-01-01\n1\t2\tx\n", "semicolons") == [("a", "Ada", "2024-01-01", "x", 1, 2)]
+    with pytest.raises(EngineError, match="short header"):
+        parse(spark, tmp_path, "#a;Ada;2024-01-01\n1\t2\tx\n#b", "semicolons")
+    with pytest.raises(EngineError, match="there already"):
+        register_format("git2", lambda line: line, header)
+
+
 @pytest.mark.parametrize("line, author, date", [
     ("[abc] Ada Lovelace 2024-01-02 fix bug", "Ada Lovelace", "2024-01-02"),
     ("[abc] Ada 2024-01-01 Fan <2024-01-02> subject here", "Ada 2024-01-01 Fan", "2024-01-02"),
