@@ -4,9 +4,11 @@ A logistic model over hashed words and word beginnings is fitted on a bounded
 sample of labelled rows.  Each of them gives a pair of texts that differ only in the
 social group that they name: a text that names one is paired with a copy in which
 the name is swapped for another one's, any other text gives two copies to which a
-term and its sibling are added.  The fit penalises the squared difference of the two
-scores, so that the mere mention of a group moves no score.  Every text, whatever
-its length, is scored as a whole.
+term and its sibling are added.  Both copies keep the row's label in the fit, and it
+penalises the squared difference of the pair's scores, and of each copy's from that of
+the text to which a term was only added: so the mere mention of a group moves no
+score, even if most of the labelled texts that name it are toxic.  Every text,
+whatever its length, is scored as a whole.
 """
 
 from __future__ import annotations
@@ -51,16 +53,19 @@ class Fit:
 
     max_rows: at most so many labelled rows are used, those with the smallest hash
     of their id; iterations, l2: of the optimiser; penalty: weight of the squared
-    score change within a counterfactual pair; min_chi2: a feature is used if its
-    association with the label has at least this chi-square value; groups: of
-    interchangeable identity terms, in lower case.
+    score changes by counterfactuals; copies: weight of each copy of a row in the
+    likelihood; min_chi2: a feature is used if its association with the label has at
+    least this chi-square value, and is among the max_features highest; those of identity
+    terms always are; groups: of interchangeable identity terms, in lower case.
     """
 
     max_rows: int = 12_000
     iterations: int = 120
     l2: float = 1.0
     penalty: float = 1.0
+    copies: float = 0.5
     min_chi2: float = 4.0
+    max_features: int = 16_384
     groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 
 
@@ -119,20 +124,22 @@ def swapped(found: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERM
     return {following.get(w, w) for w in found}
 
 
-def contrast(found: set[str], order: int, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
-    """Features that only the first, and only the second text of a counterfactual pair has.
+def contrast(found: set[str], order: int, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Features by which the texts of a counterfactual pair differ, and whether they are added.
 
-    A text that names a group is paired with its swapped copy. Any other text gives two
-    copies: ``order`` chooses a term of a group for the one, its sibling goes into the other.
+    A text that names a group is paired with its swapped copy: what only the text, and
+    only the copy has. Any other text gives two copies: ``order`` chooses a term of a
+    group for the one, its sibling goes into the other; what either has more than the text.
     """
-    pair = found, swapped(found, groups)
+    named, own = swapped(found, groups), features(found)
     several = [g for g in groups if len(g) > 1]
-    if pair[0] == pair[1] and several:
+    if named == found and several:
         group = several[order % len(several)]
         at = order // len(several) % len(group)
-        pair = found | {group[at]}, found | {group[(at + 1) % len(group)]}
-    one, other = (features(x) for x in pair)
-    return np.setdiff1d(one, other, assume_unique=True), np.setdiff1d(other, one, assume_unique=True)
+        one, other = (np.setdiff1d(features({group[k % len(group)]}), own, assume_unique=True) for k in (at, at + 1))
+        return one, other, True
+    other = features(named)
+    return np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True), False
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,11 +152,13 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"f": ids, "n0": total[0][ids], "n1": total[1][ids]})
 
 
-def associated(sample: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+def associated(sample: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
     """Features that go with the label, and for each its smoothed log ratio of rates:
-    the fit scales features by it, so that few rows teach as much as they can.
+    the fit scales features by it, so that few rows teach as much as they can. Those of
+    identity terms are among them whatever they go with, with a ratio of 1 at least, so
+    that the counterfactual pairs have what they compare.
 
-    Counting and choosing happen on the executors; there are 2 ** BITS features at most.
+    Counting and choosing happen on the executors, in a bounded number of features.
     """
     rows = {int(r["y"]): r["count"] for r in sample.groupBy("y").count().collect()}
     n0, n1 = rows.get(0, 0), rows.get(1, 0)
@@ -159,9 +168,15 @@ def associated(sample: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]
     share = F.col("n0") + F.col("n1")
     expected = share * F.lit(n1 / (n0 + n1))
     chi2 = (F.col("n1") - expected) ** 2 * (1 / expected + 1 / (share - expected))
-    chosen = counts.where((share >= 2) & (chi2 >= least)).toPandas().sort_values("f")
-    ratio = np.log((chosen["n1"] + 0.5) / (n1 + 1)) - np.log((chosen["n0"] + 0.5) / (n0 + 1))
-    return chosen["f"].to_numpy(np.int32), ratio.to_numpy()
+    named = np.unique(np.concatenate([features({w}) for g in fit.groups for w in g] or [np.empty(0, np.int64)]))
+    best = counts.where((share >= 2) & (chi2 >= fit.min_chi2)).orderBy(F.desc(chi2), "f").limit(fit.max_features)
+    chosen = best.toPandas().set_index("f")[["n0", "n1"]]
+    also = counts.where(F.col("f").isin(named.tolist())).toPandas().set_index("f")[["n0", "n1"]]
+    chosen = pd.concat([chosen, also, pd.DataFrame(0, named, ["n0", "n1"])])
+    chosen = chosen[~chosen.index.duplicated()].sort_index()
+    ratio = (np.log((chosen["n1"] + 0.5) / (n1 + 1)) - np.log((chosen["n0"] + 0.5) / (n0 + 1))).to_numpy()
+    ratio = np.where(np.isin(chosen.index, named), np.copysign(np.maximum(np.abs(ratio), 1.0), ratio), ratio)
+    return chosen.index.to_numpy(np.int32), ratio
 
 
 def _chosen_features(ids: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -177,9 +192,9 @@ def _chosen_features(ids: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Ca
             rows = []
             for text, o in zip(batch["t"], batch["o"], strict=True):
                 found = tokens(text)
-                one, other = contrast(found, int(o) & ((1 << 62) - 1), groups)
-                rows.append((pick(features(found)), pick(one), pick(other), len(one) + len(other) > 0))
-            yield pd.DataFrame(rows, columns=["own", "one", "other", "pair"]).assign(o=batch["o"].to_numpy(), y=batch["y"].to_numpy())
+                one, other, added = contrast(found, int(o) & ((1 << 62) - 1), groups)
+                rows.append((pick(features(found)), pick(one), pick(other), added, len(one) + len(other) > 0))
+            yield pd.DataFrame(rows, columns=["own", "one", "other", "added", "pair"]).assign(o=batch["o"].to_numpy(), y=batch["y"].to_numpy())
 
     return run
 
@@ -187,9 +202,11 @@ def _chosen_features(ids: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Ca
 @dataclass(frozen=True)
 class Sample:
     """Labels y of the rows; and of each kind (row, feature) of what a row has: own
-    features, and those that only the one or the other text of its pair has."""
+    features, and those that only the one or the other text of its pair has; added:
+    whether the pair's texts have these besides their own."""
 
     y: np.ndarray
+    added: np.ndarray
     own: tuple[np.ndarray, np.ndarray]
     one: tuple[np.ndarray, np.ndarray]
     other: tuple[np.ndarray, np.ndarray]
@@ -198,21 +215,23 @@ class Sample:
 
 def sampled(sample: DataFrame, ids: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Sample:
     """The sample's rows, in order of o, with the chosen features only."""
-    rows = sample.select("t", "y", "o").mapInPandas(_chosen_features(ids, groups), "own array<int>, one array<int>, other array<int>, pair boolean, o long, y int")
+    rows = sample.select("t", "y", "o").mapInPandas(_chosen_features(ids, groups), "own array<int>, one array<int>, other array<int>, added boolean, pair boolean, o long, y int")
     table = rows.toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
 
     def sparse(name: str) -> tuple[np.ndarray, np.ndarray]:
         many = pc.list_value_length(table[name]).to_numpy()
         return np.repeat(np.arange(len(many), dtype=np.int32), many), pc.list_flatten(table[name]).to_numpy()
 
-    return Sample(table["y"].to_numpy(), sparse("own"), sparse("one"), sparse("other"), int(pc.sum(table["pair"]).as_py() or 0))
+    return Sample(table["y"].to_numpy(), table["added"].to_numpy(), sparse("own"), sparse("one"), sparse("other"), int(pc.sum(table["pair"]).as_py() or 0))
 
 
 def train(rows: Sample, ids: np.ndarray, scale: np.ndarray, fit: Fit = Fit()) -> Model:
     """Fit by Adam on the whole sample; without rows, every score is 0.5.
 
-    The loss is the logistic one, half the squared change of the log odds within each
-    counterfactual pair times ``penalty``, and the squared weights times ``l2``, halved.
+    The loss is the logistic one of the rows, and times ``copies`` of both texts of each
+    pair with the row's label; half the squared changes of the log odds times ``penalty``
+    (between the two texts, and from the row's text to one with a term added); and the
+    squared weights times ``l2``, halved.
     """
     y, n, size = rows.y, len(rows.y), len(ids)
     if not n:
@@ -226,11 +245,20 @@ def train(rows: Sample, ids: np.ndarray, scale: np.ndarray, fit: Fit = Fit()) ->
     def back(part: tuple[np.ndarray, np.ndarray], g: np.ndarray) -> np.ndarray:
         return np.bincount(part[1], g[part[0]], size)
 
+    def odds(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     for step in range(1, fit.iterations + 1):
         v = w * scale
-        g = 1 / (1 + np.exp(-np.clip(total(rows.own, v) + b, -30, 30))) - y
-        change = fit.penalty * (total(rows.one, v) - total(rows.other, v))
-        grad = (back(rows.own, g) + back(rows.one, change) - back(rows.other, change)) * scale + fit.l2 * w
+        own, one, other = total(rows.own, v) + b, total(rows.one, v), total(rows.other, v)
+        g = odds(own) - y
+        # the pair's texts: own + one and own + other, or own and own - one + other
+        first, second = fit.copies * (odds(np.where(rows.added, own + one, own)) - y), fit.copies * (odds(np.where(rows.added, own + other, own - one + other)) - y)
+        between = fit.penalty * (one - other)
+        by_one = between + np.where(rows.added, first + fit.penalty * one, -second)
+        by_other = -between + second + np.where(rows.added, fit.penalty * other, 0.0)
+        g = g + first + second
+        grad = (back(rows.own, g) + back(rows.one, by_one) + back(rows.other, by_other)) * scale + fit.l2 * w
         grad = np.append(grad, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -259,7 +287,7 @@ def fit_on(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     """Learn from the labelled documents that aren't held out; see ``learning_rows``."""
     since = len(WRITTEN)
     sample = learning_rows(documents, labels, doc_id=doc_id, text=text, label=label, max_rows=fit.max_rows)
-    ids, scale = associated(sample, fit.min_chi2)
+    ids, scale = associated(sample, fit)
     model = train(sampled(sample, ids, fit.groups), ids, scale, fit)
     release(documents.sparkSession, since)
     return model

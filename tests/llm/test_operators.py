@@ -487,7 +487,7 @@ def test_toxicity_learns_and_ignores_identities(spark):
         rows.append((i, " ".join(text), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = df.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None), (5, 0), (5, 0)], "doc_id long, toxic int"))
-    plain = toxicity.fit_on(df.select("doc_id", "text"), labels, fit=toxicity.Fit(penalty=0.0)).scorer()
+    plain = toxicity.fit_on(df.select("doc_id", "text"), labels, fit=toxicity.Fit(penalty=0.0, copies=0.0)).scorer()
     fair_model = toxicity.fit_on(df.select("doc_id", "text"), labels, fit=toxicity.Fit(penalty=10.0))
     fair = fair_model.scorer()
     held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
@@ -506,7 +506,7 @@ def test_toxicity_equals_a_plain_dense_fit(spark):
     labels = [int(i % 4 == 0 or i % 12 == 3) for i in range(80)]
     fit = toxicity.Fit(iterations=40, penalty=3.0, min_chi2=0.5)
     df = spark.createDataFrame([(t, y, i) for i, (t, y) in enumerate(zip(texts, labels))], "t string, y int, o long")
-    ids, scale = toxicity.associated(df, fit.min_chi2)
+    ids, scale = toxicity.associated(df, fit)
     model = toxicity.train(toxicity.sampled(df, ids, fit.groups), ids, scale, fit)
 
     def named(words):
@@ -522,24 +522,40 @@ def test_toxicity_equals_a_plain_dense_fit(spark):
         if k >= 2 and (b - e) ** 2 * (1 / e + 1 / (k - e)) >= fit.min_chi2:
             chosen.append(f)
             ratio.append(np.log((b + 0.5) / (n1 + 1)) - np.log((k - b + 0.5) / (80 - n1 + 1)))
-    assert ids.tolist() == chosen and np.allclose(scale, ratio)
+    identity = named([w for g in toxicity.IDENTITY_TERMS for w in g])
+    for f in identity - set(chosen):
+        have = np.array([f in x for x in sets])
+        chosen.append(f)
+        ratio.append(np.log((y[have].sum() + 0.5) / (n1 + 1)) - np.log((have.sum() - y[have].sum() + 0.5) / (80 - n1 + 1)))
+    chosen, ratio = zip(*sorted((f, np.copysign(max(abs(r), 1.0), r) if f in identity else r) for f, r in zip(chosen, ratio)))
+    assert ids.tolist() == list(chosen) and np.allclose(scale, ratio)
+    ratio = np.array(ratio)
 
     following = {w: g[(i + 1) % len(g)] for g in toxicity.IDENTITY_TERMS for i, w in enumerate(g)}
-    pairs = []
+    pairs, added = [], []
     for i, t in enumerate(texts):
         one = set(t.split())
         other = {following.get(w, w) for w in one}
+        added.append(one == other)
         if one == other:
             g = toxicity.IDENTITY_TERMS[i % len(toxicity.IDENTITY_TERMS)]
             k = i // len(toxicity.IDENTITY_TERMS) % len(g)
             one, other = one | {g[k]}, one | {g[(k + 1) % len(g)]}
         pairs.append((named(one), named(other)))
     dense = lambda rows: np.array([[f in r for f in chosen] for r in rows], float)
-    x, d = dense(sets), dense([a for a, _ in pairs]) - dense([b for _, b in pairs])
+    x, first, second, added = dense(sets), dense([a for a, _ in pairs]), dense([b for _, b in pairs]), np.array(added)
+    assert added.any() and not added.all()
     w, b, m, v = np.zeros(len(chosen)), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.0, 0.0
     for step in range(1, 41):
-        g = 1 / (1 + np.exp(-(x @ (w * ratio) + b))) - y
-        grad = np.append((x.T @ g + 3.0 * d.T @ (d @ (w * ratio))) * ratio + w, g.sum())
+        at = w * ratio
+        grad = at * 0.0
+        total = 0.0
+        for rows, weight in ((x, 1.0), (first, fit.copies), (second, fit.copies)):
+            g = weight * (1 / (1 + np.exp(-(rows @ at + b))) - y)
+            grad, total = grad + rows.T @ g, total + g.sum()
+        for d in (first - second, (first - x)[added], (second - x)[added]):
+            grad = grad + fit.penalty * d.T @ (d @ at)
+        grad = np.append(grad * ratio + w, total)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -548,17 +564,21 @@ def test_toxicity_equals_a_plain_dense_fit(spark):
 
 
 def test_toxicity_pairs_act_on_the_corpus(spark):
-    """Every labelled row gives a pair; words of the corpus taken as one group's terms get closer scores."""
-    sf = "/root/testdata/sf0.01"
-    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    plain = toxicity.fit_on(df, labels, fit=toxicity.Fit(penalty=0.0))
-    assert plain.pairs > 100
-    group = (("idiot", "clown"), ("worthless", "thing"))
-    gaps = []
-    for penalty in (0.0, 20.0):
-        score = toxicity.fit_on(df, labels, fit=toxicity.Fit(penalty=penalty, groups=group)).scorer()
-        gaps.append(np.mean([abs(score(f"the {a} of") - score(f"the {b} of")) for a, b in group]))
-    assert gaps[1] < gaps[0]
+    """A term that most toxic rows of the corpus name by chance: with the registered
+    defaults, clean held-out texts that mention it, or its siblings, stay clean."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    df = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id")
+    named = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 10 < 8), F.concat("text", F.lit(" muslims"))).otherwise(F.col("text"))
+    clean = [r["text"] for r in df.where(held_out(F.col("doc_id")) & (F.col("toxic") == 0)).orderBy("doc_id").limit(300).collect()]
+    flagged = {}
+    for name, fit in (("plain", toxicity.Fit(penalty=0.0, copies=0.0)), ("default", toxicity.Fit())):
+        model = toxicity.fit_on(df.withColumn("text", named), labels, fit=fit)
+        score = model.scorer()
+        flagged[name] = [sum(score(f"{t} {w}") >= toxicity.THRESHOLD for t in clean) for w in ("muslims", "christians")]
+        assert model.pairs > 2500
+        assert sum(score(t) >= toxicity.THRESHOLD for t in clean) <= 6
+    assert flagged["plain"][0] >= 30 and max(flagged["default"]) <= 8, flagged
 
 
 def test_toxicity_ids_that_many_rows_share_teach_once(spark):
