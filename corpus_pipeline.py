@@ -17,7 +17,7 @@ from changelens.llm.common import WRITTEN, materialize, release
 
 #: Near copies share 80 percent of their five-word shingles at least.
 NEAR = jaccard.Join(ngram=5, percent=80)
-#: A column that holds the quality verdict for a while.
+#: A column that holds a verdict, or a row, for a while.
 VERDICT = "quality verdict of the stage"
 
 
@@ -50,15 +50,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the document with the smallest id (operator 9).
 
     Empty texts are in no group. Rows that repeat an id are one document: of those with
-    equal texts one row stays, if the document does. Rows without an id stay as they are.
+    equal texts one row stays, if the document does, the one whose other columns come
+    first as JSON. Rows without an id stay as they are. Which ids go, and which repeat,
+    is found from ids alone; texts are joined with the ids once, and those of repeated
+    ids, where there are any, once more.
     """
     groups = jaccard.linked(docs.select("doc_id", "text"), join=NEAR)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*_columns(docs))
-    named = kept.where("doc_id is not null")
-    again = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = named.join(again, "doc_id", "left_semi").select(*_columns(docs)).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*_columns(docs)).unionByName(once)
+    again = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs.join(copies, "doc_id", "left_anti").select(*_columns(docs))
+    kept = docs.join(copies.unionByName(again), "doc_id", "left_anti").select(*_columns(docs))
+    repeated = docs.join(again.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi")
+    others = F.to_json(F.struct(*_columns(docs)))
+    once = repeated.groupBy("doc_id", "text").agg(F.min_by(F.struct(*_columns(docs)), others).alias(VERDICT))
+    return kept.unionByName(once.select(f"`{VERDICT}`.*").select(*_columns(docs)))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
