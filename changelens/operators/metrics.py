@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.errors import EngineError
 from changelens.functions.columns import logical_rev, percent
 from changelens.options import Options
 
 
-def require_churn(changes: DataFrame) -> None:
-    """Stop unless every row has both counts."""
-    if not changes.where("added is null or deleted is null").limit(1).isEmpty():
-        raise EngineError("analysis requires numstat line counts; use `-c git2` or a numstat log")
+NO_COUNTS = "analysis requires numstat line counts; use `-c git2` or a numstat log"
+
+
+def missing() -> Column:
+    """How many rows lack a count, for aggregates."""
+    return F.count_if(F.col("added").isNull() | F.col("deleted").isNull()).alias("missing")
+
+
+def complete(condition: Column | None = None) -> Column:
+    """A condition on groups that have ``missing()``: it stops the run where a row lacks a
+    count. Being above the aggregate it is tried for every group, in the same pass."""
+    return F.when(F.col("missing") > 0, F.raise_error(F.lit(NO_COUNTS))).otherwise(F.lit(True) if condition is None else condition)
 
 
 def revisions(changes: DataFrame, rev: Column | None = None) -> DataFrame:
@@ -26,20 +33,27 @@ def author_revisions(changes: DataFrame, rev: Column | None = None) -> DataFrame
     return changes.groupBy("entity", "author").agg(F.countDistinct(F.col("rev") if rev is None else rev).alias("author_revs"))
 
 
-def often_changed(changes: DataFrame, options: Options) -> DataFrame:
-    """(entity) of those with at least ``min_revs`` commits."""
-    return revisions(changes).where(F.col("n_revs") >= options.min_revs).select("entity")
+def often_changed(changes: DataFrame, options: Options, counted: bool = False) -> DataFrame:
+    """(entity) of those with at least ``min_revs`` commits; with ``counted`` the run stops
+    where a row lacks a count, whatever its entity."""
+    often = F.col("n_revs") >= options.min_revs
+    if not counted:
+        return revisions(changes).where(often).select("entity")
+    return changes.groupBy("entity").agg(F.countDistinct("rev").alias("n_revs"), missing()).where(complete(often)).select("entity")
 
 
 def memberships(changes: DataFrame, options: Options) -> DataFrame:
-    """(lrev, entity, size): each entity of each logical commit, with how many it has.
+    """(lrev, entity, size): each entity of each logical commit, with how many it has."""
+    return sized(changes.select(logical_rev(options.temporal_period).alias("lrev"), "entity").distinct())
+
+
+def sized(pairs: DataFrame) -> DataFrame:
+    """Pairs (lrev, entity) with how many entities the commit has.
 
     Sizes come from an aggregate and a join, not from gathering commits: one commit may
     touch very many entities.
     """
-    pairs = changes.select(logical_rev(options.temporal_period).alias("lrev"), "entity").distinct()
-    sizes = pairs.groupBy("lrev").agg(F.count("*").alias("size"))
-    return pairs.join(sizes, "lrev")
+    return pairs.join(pairs.groupBy("lrev").agg(F.count("*").alias("size")), "lrev")
 
 
 def sum_of_coupling(members: DataFrame, options: Options) -> DataFrame:
@@ -47,24 +61,21 @@ def sum_of_coupling(members: DataFrame, options: Options) -> DataFrame:
     return members.where(F.col("size") <= options.max_changeset_size).groupBy("entity").agg(F.sum(F.col("size") - 1).alias("soc"))
 
 
-def fragmentation(by_author: DataFrame, totals: DataFrame) -> DataFrame:
-    """(entity, fragmentation): 100 * (1 - sum of squared shares of authors).
+def fragmentation(by_author: DataFrame, totals: DataFrame, *more: Column) -> DataFrame:
+    """(entity, n_revs, fragmentation, more): 100 * (1 - sum of squared shares of authors),
+    and other aggregates over the authors.
 
     Squares are added in order of author name, so the last bit doesn't depend on the
-    shuffle. The array has one entry for each author of an entity.
+    shuffle: by a running sum, whose last value counts, so no entity's authors are
+    gathered.
     """
-    lists = by_author.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("author", "author_revs"))).alias("own"))
-    joined = lists.join(totals, "entity")
-    square = lambda x: F.pow(percent(x["author_revs"], F.col("n_revs")) / 100.0, F.lit(2.0))
-    total = F.aggregate("own", F.lit(0.0), lambda acc, x: acc + square(x))
-    return joined.select("entity", "n_revs", F.when(F.col("n_revs") == 0, 0.0).otherwise((F.lit(1.0) - total) * F.lit(100.0)).alias("fragmentation"))
-
-
-def churn(changes: DataFrame) -> DataFrame:
-    """(entity, churn, counted): lines added and deleted, missing counts as 0; and whether
-    any row has both counts."""
-    lines = F.coalesce("added", F.lit(0)) + F.coalesce("deleted", F.lit(0))
-    return changes.groupBy("entity").agg(F.sum(lines).alias("churn"), F.bool_or(F.col("added").isNotNull() & F.col("deleted").isNotNull()).alias("counted"))
+    joined = by_author.join(totals, "entity")
+    square = F.pow(percent(F.col("author_revs"), F.col("n_revs")) / 100.0, F.lit(2.0))
+    order = Window.partitionBy("entity").orderBy("author").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = joined.withColumn("so_far", F.sum(square).over(order)).withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy("author")))
+    total = so_far.groupBy("entity").agg(F.any_value("n_revs").alias("n_revs"), F.max_by("so_far", "place").alias("total"), *more)
+    names = [c for c in total.columns if c not in ("entity", "n_revs", "total")]
+    return total.select("entity", "n_revs", F.when(F.col("n_revs") == 0, 0.0).otherwise((F.lit(1.0) - F.col("total")) * F.lit(100.0)).alias("fragmentation"), *names)
 
 
 def largest(value: str, by: str) -> Column:
