@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Prefixes and rules beyond so many are looked up instead of tried one by one.
+LONG_LIST = 100
 CHANGES = "rev string, author string, date string, entity string, added long, deleted long"
 FILE_DIFFS = (
     "rev string, path string, symbols_new array<struct<name: string, start_line: long, end_line: long>>, "
@@ -20,7 +22,18 @@ def under(path: Column, prefix: str) -> Column:
     return (path == prefix) | path.startswith(prefix + "/") if prefix else F.lit(False)
 
 
+def ancestors(path: Column) -> Column:
+    """The path and all that it is below: as many as it has parts."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def under_any(path: Column, prefixes: list[str]) -> Column:
+    """Whether a path lies under one of the prefixes. Of a long list they are looked up in
+    a set by ancestor, so no row meets every prefix."""
+    if len(prefixes) > LONG_LIST:
+        known = [p for p in prefixes if p]
+        return F.coalesce(F.exists(ancestors(path), lambda a: a.isin(known)), F.lit(False))
     return reduce(lambda a, b: a | b, (under(path, p) for p in prefixes), F.lit(False))
 
 

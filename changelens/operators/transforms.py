@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.errors import EngineError
-from changelens.functions.columns import under, under_any
+from changelens.functions.columns import LONG_LIST, ancestors, under, under_any
 
 
 def normal_prefix(prefix: str) -> str:
@@ -37,7 +37,7 @@ def map_layers(changes: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """
     if not rules:
         return changes
-    if len(rules) <= 100:
+    if len(rules) <= LONG_LIST:
         layer = F.when(under(F.col("entity"), rules[0][0]), F.lit(rules[0][1]))
         for prefix, name in rules[1:]:
             layer = layer.when(under(F.col("entity"), prefix), F.lit(name))
@@ -45,8 +45,6 @@ def map_layers(changes: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     table = changes.sparkSession.createDataFrame([(i, p, n) for i, (p, n) in enumerate(rules)], "rule int, prefix string, layer string")
     table = table.groupBy("prefix").agg(F.min_by("layer", "rule").alias("layer"), F.min("rule").alias("rule"))
     entities = changes.select("entity").distinct()
-    parts = F.split("entity", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    found = entities.withColumn("prefix", F.explode(above)).join(table, "prefix").groupBy("entity").agg(F.min_by("layer", "rule").alias("layer"))
+    found = entities.withColumn("prefix", F.explode(ancestors(F.col("entity")))).join(table, "prefix").groupBy("entity").agg(F.min_by("layer", "rule").alias("layer"))
     columns = [F.coalesce("layer", "entity").alias("entity") if c == "entity" else F.col(c) for c in changes.columns]
     return changes.join(found, "entity", "left").select(*columns)

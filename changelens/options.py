@@ -30,6 +30,7 @@ class Options:
     group_file: str | None = None
     grain: str = "file"
     repo: str | None = None
+    resolver: str = "table"
 
     def __post_init__(self):
         if self.temporal_period not in (None, "day"):

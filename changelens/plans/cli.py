@@ -9,16 +9,18 @@ from dataclasses import dataclass, replace
 from pyspark.sql import SparkSession
 
 from changelens.errors import EngineError
+from changelens.operators.grain import RESOLVERS
 from changelens.operators.transforms import ensure_include
 from changelens.options import MAX_CHANGE_ROWS, MAX_CHANGESET_SIZE_LIMIT, Options, is_date
 from changelens.plans.runner import analysis_names, named_path, prepared, run
 from changelens.plans.sinks import rendered
-from changelens.sources.log import read_log
+from changelens.sources.log import FORMATS, read_log
+from changelens.sources.shared import release
 
 #: Names of each flag, the option it sets, and what it stands for in the help text.
 FLAGS: tuple[tuple[tuple[str, ...], str, str], ...] = (
     (("-l", "--log"), "log", "PATH  commit log (required)"),
-    (("-c", "--vcs"), "vcs", "git|git2  format of the log (required)"),
+    (("-c", "--vcs"), "vcs", "NAME  format of the log (required)"),
     (("-a", "--analysis"), "analysis", "NAME  analysis to run (default: risk)"),
     (("-r", "--rows"), "rows", "N  rows to show at most"),
     (("--max-rows",), "max_rows", "N  change rows that a log may have (default: 1000000; 0: no limit)"),
@@ -34,7 +36,8 @@ FLAGS: tuple[tuple[tuple[str, ...], str, str], ...] = (
     (("--include",), "include", "PREFIX  keep only paths below (repeatable)"),
     (("--format",), "format", "text|json  form of the result (default: text)"),
     (("--grain",), "grain", "file|function  what an entity is (default: file)"),
-    (("--repo",), "repo", "PATH  table of file diffs, for function grain"),
+    (("--repo",), "repo", "PATH  where the resolver finds file diffs, for function grain"),
+    (("--resolver",), "resolver", "NAME  how file diffs are found (default: table)"),
 )
 INTEGERS = {"rows", "max_rows", "min_revs", "min_shared_revs", "min_coupling", "max_coupling", "max_changeset_size"}
 BY_NAME = {name: option for names, option, _ in FLAGS for name in names}
@@ -53,7 +56,8 @@ class Args:
 def help_text() -> str:
     lines = ["changelens: maintenance metrics from commit logs", "", "Options:"]
     lines += [f"  {', '.join(names)} {what}" for names, _, what in FLAGS]
-    return "\n".join([*lines, "  -h, --help  this text", "", "Analyses:", "  " + ", ".join(analysis_names())])
+    lists = (("Analyses", analysis_names()), ("Formats", FORMATS), ("Resolvers", RESOLVERS))
+    return "\n".join([*lines, "  -h, --help  this text", *(line for what, names in lists for line in ("", f"{what}:", "  " + ", ".join(sorted(names))))])
 
 
 def parse_args(argv: list[str]) -> Args:
@@ -106,8 +110,9 @@ def _check(wrong: Callable[[Args], bool], message: Callable[[Args], str]) -> Cal
 CHECKS: tuple[Callable[[Args], object], ...] = (
     _check(lambda a: not a.log, lambda a: "missing required `-l/--log`"),
     _check(lambda a: not a.vcs, lambda a: "missing required `-c/--vcs`"),
-    _check(lambda a: a.vcs not in ("git", "git2"), lambda a: f"unknown vcs `{a.vcs}`; expected one of: git, git2"),
+    _check(lambda a: a.vcs not in FORMATS, lambda a: f"unknown vcs `{a.vcs}`; expected one of: {', '.join(sorted(FORMATS))}"),
     _check(lambda a: a.options.grain == "function" and a.options.repo is None, lambda a: "`--grain function` requires `--repo <path>`"),
+    _check(lambda a: a.options.resolver not in RESOLVERS, lambda a: f"unknown resolver `{a.options.resolver}`; expected one of: {', '.join(sorted(RESOLVERS))}"),
     _check(lambda a: a.options.analysis not in analysis_names(), lambda a: f"unknown analysis `{a.options.analysis}`; expected one of: {', '.join(analysis_names())}"),
     _check(lambda a: a.options.min_coupling > a.options.max_coupling, lambda a: "`--min-coupling` must be less than or equal to `--max-coupling`"),
     _check(lambda a: a.options.max_changeset_size > MAX_CHANGESET_SIZE_LIMIT, lambda a: f"`--max-changeset-size` must be at most {MAX_CHANGESET_SIZE_LIMIT}"),
@@ -122,7 +127,7 @@ def execute(spark: SparkSession, args: Args) -> tuple[Iterator[str], dict[str, i
     diffs = None
     if args.options.grain == "function":
         with named_path("table of file diffs", args.options.repo):
-            diffs = spark.read.parquet(args.options.repo)
+            diffs = RESOLVERS[args.options.resolver](changes, args.options.repo)
     changes, dropped = prepared(changes, args.options, diffs)
     return rendered(run(args.options.analysis, changes, replace(args.options, include=(), exclude=())), args.format), dropped
 
@@ -134,7 +139,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.help:
             print(help_text())
             return 0
-        text, dropped = execute(spark or SparkSession.builder.appName("changelens").getOrCreate(), args)
+        spark = spark or SparkSession.builder.appName("changelens").getOrCreate()
+        text, dropped = execute(spark, args)
     except EngineError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
@@ -143,4 +149,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if dropped["no_overlap"]:
         print(f"note: dropped {dropped['no_overlap']} path(s) with no function/method overlap under --grain function", file=sys.stderr)
     sys.stdout.writelines(text)
+    release(spark)
     return 0

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.errors import EngineError
+from changelens.errors import EngineError, translated
 from changelens.plans.runner import cells
 
 
@@ -51,9 +52,21 @@ def json_lines(headers: list[str], rows: Iterable[Iterable[str]]) -> Iterator[st
 
 
 def rendered(df: DataFrame, form: str = "text") -> Iterator[str]:
-    """The parts of the text or JSON of a table, one after the other."""
+    """The parts of the text or JSON of a table, one after the other.
+
+    The table is computed once, and is there before the first part is given: a run that
+    stops with an error has written nothing.
+    """
     if form not in ("text", "json"):
         raise EngineError(f"invalid format `{form}`; expected `text` or `json`")
     headers, table = shown(df)
-    rows = table.toLocalIterator()
-    return text_lines(headers, rows, widths(table)) if form == "text" else json_lines(headers, rows)
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    with translated():
+        wide = widths(table)
+
+    def parts() -> Iterator[str]:
+        rows = table.toLocalIterator()
+        yield from text_lines(headers, rows, wide) if form == "text" else json_lines(headers, rows)
+        table.unpersist()
+
+    return parts()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from changelens.errors import EngineError
+from changelens.errors import EngineError, translated
 from changelens.functions.columns import CHANGES
 from changelens.options import Options
 from changelens.plans.runner import cells, run
@@ -96,8 +96,9 @@ def test_risk_without_counts_shares_out_their_weight(spark):
 
 @pytest.mark.parametrize("name", ["abs-churn", "author-churn", "entity-churn", "entity-ownership", "main-dev"])
 def test_churn_needs_counts(spark, name):
-    with pytest.raises(EngineError, match="numstat line counts"):
-        table(spark, name, [("1", "A", "2024-01-01", "x", None, 1)])
+    for row in (("1", "A", "2024-01-01", "x", None, 1), ("1", "A", "2024-01-01", "x", 1, None)):
+        with pytest.raises(EngineError, match="numstat line counts"), translated():
+            table(spark, name, [row, *((str(i), "B", "2024-01-02", "y", 1, 1) for i in range(9))])
 
 
 @pytest.mark.parametrize("name", sorted(set(EXPECTED) - {"age", "summary"}))
