@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.operators.grain import to_functions
+from changelens.operators.grain import to_functions, touched_symbols_of, with_ordinals
 from changelens.operators.transforms import filter_paths, map_layers
 from changelens.options import Options
 from changelens.plans.runner import cells, run
@@ -129,6 +129,8 @@ QUERIES: dict[str, Query] = {
     "coupling_layers": Query("coupling", Options(min_coupling=5), layers=True),
     "coupling_day": Query("coupling", Options(min_coupling=5, **_DAY), events=True),
     "coupling_day_small_changesets": Query("coupling", Options(min_coupling=1, max_changeset_size=10, **_DAY), events=True),
+    "coupling_day_any_changeset": Query("coupling", Options(min_coupling=20, max_changeset_size=10_000, **_DAY), events=True),
+    "revisions_many_prefixes": Query("revisions", Options(include=("standard", "promo/brand_2", *(f"none/{i}" for i in range(150))), exclude=("standard/brand_1", *(f"no/{i}" for i in range(150))))),
     "soc_small_changesets": Query("soc", Options(max_changeset_size=3)),
     "soc_day": Query("soc", Options(**_DAY), events=True),
     "risk_day": Query("risk", Options(**_DAY), events=True),
@@ -203,6 +205,32 @@ def function_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("rev", "author", "date", "entity", "added", "deleted")
 
 
+def function_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same facts with a row for each symbol and each hunk."""
+    diffs = function_diffs(spark, sf_dir)
+    sides = [diffs.select("rev", "path", F.lit(side).alias("side"), F.posexplode(f"symbols_{side}").alias("place", "x")) for side in ("new", "old")]
+    symbols = sides[0].unionByName(sides[1]).select("rev", "path", "side", "x.*", F.col("place").cast("long").alias("place"))
+    return symbols, diffs.select("rev", "path", F.inline("hunks"))
+
+
+def function_grain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines of functions, from facts with a row a symbol."""
+    changes, _ = to_functions(orders_as_commits(spark, sf_dir), touched_symbols_of(*function_rows(spark, sf_dir)))
+    return changes.select("rev", "author", "date", "entity", "added", "deleted")
+
+
+def symbol_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of which two have the same name, with their numbers."""
+    symbols, _ = function_rows(spark, sf_dir)
+    return with_ordinals(symbols.withColumn("name", F.when(F.col("name").isin("twin", "tail"), "inner").otherwise(F.col("name"))))
+
+
+ORDINALS_SQL = f"""WITH f AS (SELECT DISTINCT rev, entity AS path FROM ({ORDERS})),
+s(side, place, name, start_line, end_line) AS (VALUES ('new', 0, 'outer', 1, 40), ('new', 1, 'inner', 10, 20), ('new', 2, 'inner', 10, 20), ('new', 3, 'inner', 45, 50), ('old', 0, 'outer', 1, 5), ('old', 1, 'gone', 6, 9)),
+n AS (SELECT *, count(*) OVER w AS c, row_number() OVER (w ORDER BY start_line, end_line, place) AS k FROM s WINDOW w AS (PARTITION BY side, name))
+SELECT rev, path, side, CASE WHEN c > 1 THEN name || '#' || k ELSE name END AS name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, CAST(place AS BIGINT) AS place FROM f, n"""
+
+
 def function_grain_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What function grain drops where a fifth of the paths isn't Rust and many hunks are outside symbols."""
     changes = orders_as_commits(spark, sf_dir)
@@ -270,6 +298,7 @@ UNION ALL SELECT 'no_overlap', count(*) FROM changes c WHERE NOT ends_with(entit
 #: (query, SQL) of those that aren't in QUERIES.
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "function_grain": (function_grain, FUNCTION_SQL), "function_grain_dropped": (function_grain_dropped, DROPPED_SQL),
+    "function_grain_rows": (function_grain_rows, FUNCTION_SQL), "symbol_ordinals": (symbol_ordinals, ORDINALS_SQL),
     "log_git2": (log_round_trip("git2"), ORDERS), "log_legacy": (log_round_trip("git"), ORDERS), "log_errors": (log_errors, ERRORS_SQL),
     "revisions_text": (report("revisions", "text"), TEXT_SQL), "risk_json": (report("risk", "json"), JSON_SQL),
     **{f"{n.replace('-', '_')}_top": (top(n), _top_sql(n)) for n in ORDER},
