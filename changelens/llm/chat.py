@@ -71,6 +71,8 @@ def preference_pairs(rendered: DataFrame) -> DataFrame:
     where the part has none; spans are the (start, end) in code points of what is trained
     on, everything else is masked. This gathers a conversation in one row, as a trainer
     reads it; the rows of ``preference_turns`` serve where one may be too long for that.
+    Turns with equal numbers are ordered by role and text, repeated ones stand as often as
+    they are; an empty table gives an empty one.
     """
     parts = ("prompt", "chosen", "rejected")
     turn = F.struct("turn", "role", "rendered", "copy", "train_start")

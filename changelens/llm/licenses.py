@@ -19,7 +19,7 @@ SPELLINGS = (
     ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
     ("non commercial", "noncommercial"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
-    ("sub license", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
+    ("sub license", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
 
 _MIT = (
@@ -178,8 +178,10 @@ def digest(text: Column) -> Column:
 def lookup(df: DataFrame, known: DataFrame, *, by: str = "digest", into: str = "license") -> DataFrame:
     """``df`` with the licence of each row's digest, or null, in column ``into``.
 
-    Every row stays, copies too. A digest that very many rows share does no harm, as
-    Spark splits its rows or sends the catalogue to them, whichever its size allows.
+    Every row stays, copies too. ``known`` has each digest once, as ``catalogue`` sees to:
+    a digest that it repeats would repeat rows. A digest that very many rows share does no
+    harm, as Spark splits its rows or sends the catalogue to them, whichever its size allows.
+    An empty table, or an empty catalogue, is fine.
     """
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != into)).alias("row"), F.col(by).alias("d"))
     return rows.join(known.select(F.col("digest").alias("d"), F.col("license").alias("found")), "d", "left").select("row.*", F.col("found").alias(into))

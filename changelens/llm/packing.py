@@ -148,7 +148,8 @@ def lower_bound(tokens: int, bins: Bins = Bins()) -> float:
 
 
 def cost(packed: DataFrame, bins: Bins = Bins()) -> DataFrame:
-    """(bins, tokens, cost, bound) of a result of ``packed``, in one row."""
+    """(bins, tokens, cost, bound) of a result of ``packed``, in one row; of an empty one,
+    zeros. Pieces of documents that repeat an id count each."""
     price = F.element_at(F.create_map(*(F.lit(x) for c in sorted(bins.capacities) for x in (c, float(bins.cost(c))))), F.col("capacity"))
     each = packed.groupBy("bin_id", "capacity").agg(F.sum("length").alias("length"))
     one = each.agg(F.count("*").alias("bins"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(price), F.lit(0.0)).alias("cost"))

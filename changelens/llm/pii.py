@@ -328,7 +328,8 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask(model: Model, text: Column, fit: Fit = Fit()) -> Column:
-    """Each whole text with all its spans masked; null stays null."""
+    """Each whole text with all its spans masked; null stays null and empty texts empty.
+    Each row is masked alone, so equal texts are masked alike."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

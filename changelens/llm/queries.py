@@ -22,7 +22,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of each whole text, learned from documents that aren't held out; ``und`` without a letter."""
+    """The language of each whole text, learned from documents that aren't held out; ``und``
+    for null and empty texts and those without a letter. Rows that repeat an id have a row each."""
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit_on(docs, ~held_out(F.col("doc_id")))
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.identify(model, F.col("text")).alias("x"))
@@ -36,18 +37,21 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 largest inner products of each vector whose id is divisible by 20; see ``ann.search`` for odd vectors."""
+    """The 20 largest inner products of each vector whose id is divisible by 20; see
+    ``ann.search`` for null, repeated and other odd vectors, and ties."""
     return ann.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
+    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n; see
+    ``chat.preference_turns`` for nulls and repeated turns."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.preference_turns(turns, pair=F.floor(F.col("conv_id") / 2), chosen=F.col("conv_id") % 2 == 0)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are ids of the SentencePiece encoder."""
+    """Lengths are ids of the SentencePiece encoder. Null and empty texts have no piece; rows
+    that repeat an id are packed each."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, length=spm.count(spm.model_file(), F.col("text"))).withColumnRenamed("id", "doc_id")
 

@@ -255,7 +255,8 @@ def counted(raw: bytes, texts: list[str | None]) -> list[int]:
 
 
 def count(raw: bytes, text: Column) -> Column:
-    """How many ids each whole text has (``counted``)."""
+    """How many ids each whole text has (``counted``): none for null and empty ones. Each
+    row is counted alone, so equal texts have equal counts."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -265,7 +266,8 @@ def count(raw: bytes, text: Column) -> Column:
 
 
 def decode(raw: bytes, ids: Column, threads: int = 2) -> Column:
-    """The text of each array of ids; null arrays give null."""
+    """The text of each array of ids; null arrays give null, empty ones an empty text. Each
+    row is decoded alone. Ids within an array aren't null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(raw, threads)

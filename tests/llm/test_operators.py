@@ -203,6 +203,12 @@ def test_unigram_models_are_rebuilt():
     assert codec.encode(["ab"]) == [[3]] and codec.decode(codec.encode(["ab aé"])) == ["ab aé"]
 
 
+def test_spellings_meet(spark):
+    pairs = [("wilful", "willful"), ("licence", "license"), ("fulfil", "fulfill")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r["a"] == r["b"] for r in rows.select(licenses.canonical(F.col("a")).alias("a"), licenses.canonical(F.col("b")).alias("b")).collect())
+
+
 # nearest neighbours
 
 
