@@ -15,7 +15,7 @@ from changelens.options import MAX_CHANGE_ROWS, MAX_CHANGESET_SIZE_LIMIT, Option
 from changelens.plans.runner import analysis_names, named_path, prepared, run
 from changelens.plans.sinks import rendered
 from changelens.sources.log import FORMATS, read_log
-from changelens.sources.shared import release
+from changelens.sources.shared import WRITTEN, release
 
 #: Names of each flag, the option it sets, and what it stands for in the help text.
 FLAGS: tuple[tuple[tuple[str, ...], str, str], ...] = (
@@ -133,7 +133,9 @@ def execute(spark: SparkSession, args: Args) -> tuple[Iterator[str], dict[str, i
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Print the result, or a message to standard error; the exit code."""
+    """Print the result, or a message to standard error; the exit code. Tables that the
+    run has written to the shared folder are removed at its end."""
+    before = len(WRITTEN)
     try:
         args = parse_args(sys.argv[1:] if argv is None else argv)
         if args.help:
@@ -141,13 +143,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         spark = spark or SparkSession.builder.appName("changelens").getOrCreate()
         text, dropped = execute(spark, args)
+        if dropped["non_rust"]:
+            print(f"note: dropped {dropped['non_rust']} non-Rust path(s) under --grain function", file=sys.stderr)
+        if dropped["no_overlap"]:
+            print(f"note: dropped {dropped['no_overlap']} path(s) with no function/method overlap under --grain function", file=sys.stderr)
+        sys.stdout.writelines(text)
+        return 0
     except EngineError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    if dropped["non_rust"]:
-        print(f"note: dropped {dropped['non_rust']} non-Rust path(s) under --grain function", file=sys.stderr)
-    if dropped["no_overlap"]:
-        print(f"note: dropped {dropped['no_overlap']} path(s) with no function/method overlap under --grain function", file=sys.stderr)
-    sys.stdout.writelines(text)
-    release(spark)
-    return 0
+    finally:
+        if spark and len(WRITTEN) > before:
+            release(spark, WRITTEN[before:])
