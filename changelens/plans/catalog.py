@@ -256,6 +256,19 @@ def log_round_trip(vcs: str, files: int = 40) -> Callable[[SparkSession, str], D
     return query
 
 
+def identity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a log of many files, in its order, with their places."""
+    path = shared_path(spark, "log-identity")
+    write_log(orders_as_commits(spark, sf_dir), path, "git2", 40)
+    changes = read_log(spark, path, "git2", max_rows=None)
+    release(spark, [path])
+    return run("identity", changes, TOP, place="place")
+
+
+IDENTITY_SQL = f"""SELECT * FROM (SELECT entity, author, date, rev, CAST(added AS VARCHAR) AS added, CAST(deleted AS VARCHAR) AS deleted,
+  row_number() OVER (ORDER BY rev, date, author, added || chr(9) || deleted || chr(9) || entity) AS place FROM ({ORDERS})) WHERE place <= {TOP.rows}"""
+
+
 def log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The errors of a log with planted faults, and how many lines have each."""
     order = F.col("rev").cast("long") % 40
@@ -299,7 +312,7 @@ UNION ALL SELECT 'no_overlap', count(*) FROM changes c WHERE NOT ends_with(entit
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "function_grain": (function_grain, FUNCTION_SQL), "function_grain_dropped": (function_grain_dropped, DROPPED_SQL),
     "function_grain_rows": (function_grain_rows, FUNCTION_SQL), "symbol_ordinals": (symbol_ordinals, ORDINALS_SQL),
-    "log_git2": (log_round_trip("git2"), ORDERS), "log_legacy": (log_round_trip("git"), ORDERS), "log_errors": (log_errors, ERRORS_SQL),
+    "log_git2": (log_round_trip("git2"), ORDERS), "log_legacy": (log_round_trip("git"), ORDERS), "log_errors": (log_errors, ERRORS_SQL), "identity_top": (identity_top, IDENTITY_SQL),
     "revisions_text": (report("revisions", "text"), TEXT_SQL), "risk_json": (report("risk", "json"), JSON_SQL),
     **{f"{n.replace('-', '_')}_top": (top(n), _top_sql(n)) for n in ORDER},
 }
