@@ -20,19 +20,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+#: The temporary folder of sessions on one machine.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the session names none and runs on one machine, as in tests, a temporary one
-    is made and remembered in the session; on a cluster that is an error, as no
-    executor could read what another one writes there.
+    is made and remembered here; on a cluster that is an error, as no executor could read
+    what another one writes there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+        path = _LOCAL[0]
     return path.rstrip("/")
 
 
