@@ -57,7 +57,7 @@ def test_coupling_equals_all_pairs(spark, size, least):
 
 
 def test_coupling_of_a_very_large_changeset(spark):
-    rows = [("big", "A", "2024-01-01", f"e{k:05d}", 1, 1) for k in range(6000)] + [(f"r{c}", "A", "2024-01-01", f"e{k:05d}", 1, 1) for c in range(4) for k in range(c, 40)]
+    rows = [("big", "A", "2024-01-01", f"e{k:05d}", 1, 1) for k in range(3000)] + [(f"r{c}", "A", "2024-01-01", f"e{k:05d}", 1, 1) for c in range(4) for k in range(c, 40)]
     o = Options(min_revs=2, min_shared_revs=2, min_coupling=50, max_changeset_size=10_000)
     assert sorted(map(tuple, run("coupling", spark.createDataFrame(rows, CHANGES), o).collect())) == plain_coupling(rows, o)
 
