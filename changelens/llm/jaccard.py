@@ -8,6 +8,13 @@ order (rarest members first) and stored in a trie; each set walks the trie, shar
 the overlap of common beginnings, and leaves a subtree once the lengths and members
 that remain cannot reach the threshold, or once all in it is linked to the set anyway.
 
+Sets that share a frequent passage can share small parts by chance, and so connect
+clusters that have no link between them.  A cluster too large for one block is
+therefore divided, without loss again, before it is compared: sets that link also share
+one of their rarest members (of n, the first n - ceil(percent of n) + 1 in one order of
+all members), and a frequent passage is in no text's rarest part unless it is most of
+the text.
+
 Sets are held as 64-bit hashes of their members: two documents would be misjudged
 only if two different n-grams of theirs had the same hash (odds of about 1e-14 for
 two sets of 400).
@@ -23,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +44,16 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB
 class Join:
     """ngram: words of a shingle; percent: sets link if 100 * intersection >= percent
     * union; block_docs, block_members: size of a block that one task compares;
-    pivots: how many sets, about, all blocks of a cluster share in the first round."""
+    pivots: how many sets, about, all blocks of a cluster share in the first round;
+    buckets: members of large clusters are counted in so many buckets of their hash (8
+    bytes each are broadcast), which orders them; any order gives the same links."""
 
     ngram: int = 3
     percent: int = 90
     block_docs: int = 512
     block_members: int = 2_000_000
     pivots: int = 16
+    buckets: int = 1 << 20
 
     def differing(self, total: int) -> int:
         """The most members in which two sets of this total size can differ and link."""
@@ -283,6 +294,42 @@ def _sets(join: Join):
     return run
 
 
+def _frequencies(join: Join):
+    """(bucket, c): how many members of a batch's sets fall to each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint64) for x in batch.column("own").to_pylist()]
+            if own:
+                bucket, c = np.unique(np.concatenate(own) % np.uint64(join.buckets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(c, pa.int64())], names=["bucket", "c"])
+
+    return run
+
+
+def rarest(own: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest members of a set, as many as must hold one that a linked set's also hold."""
+    order = np.lexsort((own, often[(own % np.uint64(len(often))).astype(np.int64)]))
+    return own[order[: len(own) * (100 - percent) // 100 + 1]]
+
+
+def _keys(often: Broadcast, join: Join):
+    """(node, sigs, lows) of each set: its rarest members, of its cluster alone; what
+    other rows of the batch have before it is left to them, as in ``_records``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = batch.column("node").to_pylist(), []
+            for cluster, own in zip(batch.column("cluster").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                seed = _mix(np.array([cluster], np.int64).view(np.uint64) * MIX[0])
+                parts.append(_mix(rarest(np.frombuffer(own, np.uint64), often.value, join.percent) + seed))
+            if ids:
+                sigs, lows = _left_to_first(ids, parts)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64()))], names=["node", "sigs", "lows"])
+
+    return run
+
+
 def _by_block(percent: int):
     """Links of the blocks in a partition, whose rows stand together by ``key``; rows
     that repeat a node's set count once."""
@@ -330,6 +377,33 @@ def _with_cluster(rows: DataFrame, about: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"]).drop("salt")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Components (node, component) of rows (node, sigs, lows) that have a signature in common."""
+    keys = rows.select("node", F.explode("sigs").alias("sig"))
+    meet = keys.select("node", F.min("node").over(Window.partitionBy("sig")).alias("low")).where("node <> low")
+    return components(meet.unionByName(rows.select("node", F.explode("lows").alias("low"))), "node", "low")
+
+
+def _placed(near: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """(node, cluster, docs, blocks): the cluster of each node that meets another one, how
+    many sets it has, and in how many blocks they are compared."""
+    placed = near.select("node", F.col("component").alias("cluster")).join(sizes, "node")
+    about = placed.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("members").alias("members")).where("docs > 1")
+    about = about.select("cluster", "docs", _blocks(join, F.col("docs"), F.col("members")).alias("blocks"))
+    return materialize(_with_cluster(placed.select("node", "cluster"), about).select("node", "cluster", "docs", "blocks"), "placed")
+
+
+def _divided(sets: DataFrame, join: Join) -> DataFrame:
+    """Components (node, component) of the sets of large clusters by their rarest members,
+    within each cluster. What can't be rare is known from counts over all these sets."""
+    spark = sets.sparkSession
+    counts = sets.select("own").mapInArrow(_frequencies(join), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    often = np.zeros(join.buckets, np.int64)
+    often[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
+    keys = sets.select("node", "cluster", "own").mapInArrow(_keys(spark.sparkContext.broadcast(often), join), "node long, sigs array<long>, lows array<long>")
+    return _met(materialize(keys, "keys"))
+
+
 def _blocks(join: Join, docs: Column, members: Column) -> Column:
     return F.greatest(F.ceil(docs / join.block_docs), F.ceil(members / join.block_members)).cast("int")
 
@@ -354,20 +428,16 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     heads = materialize(heads, "heads")
     copies = records.where("copy_of is not null").select(F.col("i").alias("a"), F.col("copy_of").alias("b")).unionByName(heads.select(F.col("i").alias("a"), F.col("rep").alias("b")))
 
-    # rows that have a part in common form clusters
-    parts = records.select("i", F.explode("sigs").alias("sig"))
-    meet = parts.select("i", F.min("i").over(Window.partitionBy("sig")).alias("low")).where("i <> low")
-    near = components(meet.unionByName(records.select("i", F.explode("lows").alias("low"))), "i", "low")
-
-    # clusters of representatives, and in how many blocks each is compared
+    # rows that have a part in common form clusters of representatives
     sizes = heads.where("i = rep").groupBy(F.col("i").alias("node")).agg(F.count("*").alias("docs"), F.sum("n").alias("members"))
-    placed = near.select("node", F.col("component").alias("cluster")).join(sizes, "node")
-    about = placed.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("members").alias("members")).where("docs > 1")
-    about = about.select("cluster", "docs", _blocks(join, F.col("docs"), F.col("members")).alias("blocks"))
-    placed = materialize(_with_cluster(placed.select("node", "cluster"), about), "placed")
+    placed = _placed(_met(records.withColumnRenamed("i", "node")), sizes, join)
     # placed grows with the corpus: it isn't broadcast at any size
     sets = docs.join(placed.hint("merge"), docs["i"] == placed["node"]).select("node", "cluster", "docs", "blocks", "t")
     sets = materialize(sets.mapInArrow(_sets(join), "node long, cluster long, docs long, blocks int, n long, own binary").where("n > 0"), "sets")
+    if not placed.where("blocks > 1").isEmpty():
+        placed = _placed(_divided(sets.where("blocks > 1"), join), sizes, join)
+        again = sets.where("blocks > 1").select("node", "n", "own").join(placed.hint("merge"), "node")
+        sets = materialize(sets.where("blocks = 1").unionByName(again), "sets")
     block = F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int")
 
     # first round: disjoint blocks, but for a few pivots that all blocks of a cluster share

@@ -673,6 +673,32 @@ def test_signatures_of_looser_joins_lose_no_link_and_unrelated_texts_seldom_meet
     assert linked > 150 and met <= 2
 
 
+def test_rarest_members_lose_no_link():
+    rng, linked = np.random.default_rng(11), 0
+    for often in (np.zeros(1, np.int64), rng.integers(0, 9, 64)):  # any order of all members will do
+        for percent, n in itertools.product((80, 90), (1, 2, 5, 12, 60, 200)):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+                b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, n // 9 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    linked += 1
+                    assert set(jaccard.rarest(a, often, percent)) & set(jaccard.rarest(b, often, percent))
+    assert linked > 400
+
+
+def test_a_shared_passage_holds_no_cluster_together(spark):
+    rng, join = random.Random(12), jaccard.Join(block_docs=8, pivots=2)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"{passage} {t}" for _ in range(12) for t in family(rng, 4, 40, 1)] + family(rng, 20, 100, 1)
+    rows = list(enumerate(texts))
+    own = [(i, 0, jaccard.shingles(t, 3).tobytes()) for i, t in rows]
+    sets = spark.createDataFrame(own, "node long, cluster long, own binary")
+    found = jaccard._divided(sets, join).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in found)[-1] == 20 and max(sorted(r["count"] for r in found)[:-1]) <= 4
+    assert sorted(tuple(r) for r in jaccard.linked(docs(spark, texts, 0), join=join).collect()) == plain_components(rows)
+
+
 # personal data
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
