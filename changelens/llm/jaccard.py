@@ -400,8 +400,10 @@ def _divided(sets: DataFrame, join: Join) -> DataFrame:
     counts = sets.select("own").mapInArrow(_frequencies(join), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     often = np.zeros(join.buckets, np.int64)
     often[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
-    keys = sets.select("node", "cluster", "own").mapInArrow(_keys(spark.sparkContext.broadcast(often), join), "node long, sigs array<long>, lows array<long>")
-    return _met(materialize(keys, "keys"))
+    sent = spark.sparkContext.broadcast(often)
+    keys = materialize(sets.select("node", "cluster", "own").mapInArrow(_keys(sent, join), "node long, sigs array<long>, lows array<long>"), "keys")
+    sent.destroy()
+    return _met(keys)
 
 
 def _blocks(join: Join, docs: Column, members: Column) -> Column:
@@ -448,7 +450,7 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     # second round: clusters of several blocks whose components may link across blocks
     if not placed.where("blocks > 1").isEmpty():
-        links = materialize(links.unionByName(_across(sets.where("blocks > 1"), links, join)), "links")
+        links = materialize(_across(sets.where("blocks > 1"), links, join), "links")
     found = components(copies.unionByName(links), "a", "b")
     out = records.select("i", "n").join(found.withColumnRenamed("node", "i"), "i", "left")
     out = out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
@@ -457,7 +459,8 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def _across(sets: DataFrame, links: DataFrame, join: Join) -> DataFrame:
-    """Links between blocks of the large clusters, once the first round's are known.
+    """Links between blocks of the large clusters, once the first round's are known, and
+    for these one from each set to its component.
 
     Sets of a cluster's largest component needn't be compared among themselves: all
     others are probes, in blocks of their own, against every block of the cluster. What
@@ -475,4 +478,5 @@ def _across(sets: DataFrame, links: DataFrame, join: Join) -> DataFrame:
     stored = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).withColumn("block", F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int"))
     probing = rows.where("known <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", F.pmod(F.xxhash64(F.lit("probe"), "node", "own"), F.col("probe_blocks")).cast("int"))
     both = stored.withColumn("probe", F.lit(False)).unionByName(probing.withColumn("probe", F.lit(True)))
-    return _compare(both.withColumn("key", F.to_json(F.struct("cluster", "block", "other"))), join)
+    across = _compare(both.withColumn("key", F.to_json(F.struct("cluster", "block", "other"))), join)
+    return across.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
