@@ -226,3 +226,22 @@ def test_an_error_comes_before_any_output(spark, tmp_path, capsys):
     with pytest.raises(ZeroDivisionError), translated():
         1 / 0
     assert cells(run("revisions", df, Options(min_revs=1))).count() == 1
+
+
+def test_rows_of_facts_where_partitions_are_coalesced_by_size(spark):
+    """Symbols and hunks come dealt by (rev, path) already, and not coalesced alike."""
+    files = some_files(random.Random(47), 300)
+    _, symbols, hunks = as_rows(spark, files)
+    want = {(r, p): plain_found(new, old, h) for r, p, new, old, h in files if h}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "3k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        own = hunks.groupBy("rev", "path").agg(F.collect_list(F.struct("old_start", "old_count", "new_start", "new_count")).alias("x")).select("rev", "path", F.inline("x"))
+        found = grain.touched_symbols_of(symbols, own).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    got = {(r["rev"], r["path"]): {x["name"]: (x["added"], x["deleted"]) for x in r["found"]} for r in found}
+    assert got == want and len(found) == len(want)
