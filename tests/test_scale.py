@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,14 @@ def test_rows_of_facts_where_partitions_are_coalesced_by_size(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     got = {(r["rev"], r["path"]): {x["name"]: (x["added"], x["deleted"]) for x in r["found"]} for r in found}
     assert got == want and len(found) == len(want)
+
+
+def test_small_files_of_a_batch_are_compared_at_once(monkeypatch):
+    def never():
+        raise AssertionError("a small file was swept line by line")
+
+    monkeypatch.setattr(grain, "Sweep", never)
+    symbol = [{"name": "f", "start_line": 1, "end_line": 9}, {"name": "g", "start_line": 3, "end_line": 4}]
+    hunk = [{"old_start": 0, "old_count": 0, "new_start": 2, "new_count": 3}]
+    batch = pa.RecordBatch.from_pydict({"rev": ["r", "s"], "path": ["a.rs", "b.rs"], "symbols_new": [symbol, None], "symbols_old": [[], symbol], "hunks": [hunk, hunk]})
+    assert [x.to_pylist() for x in grain._touched(iter([batch]))][0][0]["found"] == [{"name": "f", "added": 1, "deleted": 0}, {"name": "g", "added": 2, "deleted": 0}]
