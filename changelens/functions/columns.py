@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,13 +58,23 @@ def is_rust(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)) == "rs"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def valid_date(text: Column) -> Column:
     """Whether a text is a day of the calendar; parts needn't be padded."""
-    part = [F.regexp_extract(text, r"^([0-9]{1,9})-([0-9]{1,9})-([0-9]{1,9})$", k) for k in (1, 2, 3)]
-    year, month, day = (F.when(p != "", p.cast("int")) for p in part)
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    return F.coalesce(month.between(1, 12) & (day >= 1) & (day <= days), F.lit(False))
+    number = r"([0-9]{1,9})"
+    whole = F.when(text.rlike(f"^{number}-{number}-{number}$"), F.split(text, "-"))
+
+    def known(part: Column) -> Column:
+        year, month, day = (F.get(part, F.lit(k)) for k in range(3))
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.coalesce(month.between(1, 12) & (day >= 1) & (day <= days), F.lit(False))
+
+    return let(F.transform(whole, lambda p: p.try_cast("int")), known)
 
 
 def day_number(text: Column) -> Column:

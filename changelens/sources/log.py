@@ -19,38 +19,49 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.errors import EngineError
-from changelens.functions.columns import valid_date
+from changelens.functions.columns import let, valid_date
 from changelens.options import MAX_CHANGE_ROWS
-from changelens.sources.shared import written
+from changelens.sources.shared import held, written
 
 
 def _git2_header(line: Column) -> dict[str, Column]:
-    part = F.split(F.substring(line, 3, 1 << 30), "--", 3)
-    rev, date, author = (F.coalesce(F.get(part, i), F.lit("")) for i in range(3))
-    bad = (
-        F.when(F.size(part) < 2, F.lit("git2 header missing date"))
-        .when(F.size(part) < 3, F.lit("git2 header missing author"))
-        .when((rev == "") | (date == "") | (author == ""), F.concat(F.lit("malformed git2 header: "), line))
-        .when(~valid_date(date), F.concat(F.lit("malformed git2 header date (expected YYYY-MM-DD): "), line))
-    )
-    return {"rev": rev, "author": author, "date": date, "bad": bad}
+    def checked(part: Column) -> Column:
+        rev, date, author = (F.coalesce(F.get(part, F.lit(i)), F.lit("")) for i in range(3))
+        bad = (
+            F.when(F.size(part) < 2, F.lit("git2 header missing date"))
+            .when(F.size(part) < 3, F.lit("git2 header missing author"))
+            .when((rev == "") | (date == "") | (author == ""), F.concat(F.lit("malformed git2 header: "), line))
+            .when(~valid_date(date), F.concat(F.lit("malformed git2 header date (expected YYYY-MM-DD): "), line))
+        )
+        return F.struct(rev.alias("rev"), author.alias("author"), date.alias("date"), bad.alias("bad"))
+
+    found = let(F.split(F.substring(line, 3, 1 << 30), "--", 3), checked)
+    return {k: found[k] for k in ("rev", "author", "date", "bad")}
 
 
 def _legacy_header(line: Column) -> dict[str, Column]:
-    rev = F.regexp_extract(line, r"^\[([^\]]*)\]", 1)
-    rest = F.regexp_replace(F.regexp_extract(line, r"(?s)^\[[^\]]*\](.*)$", 1), r"^(?U)\s+", "")
     marked = r"(?s)^((?:[^<]* )?)<(\d{4}-\d{2}-\d{2})>(?= |$)"
     bare = r"(?s)^(.*?)(?<![^\s])(\d{4}-\d{2}-\d{2})(?![^\s])"
-    both = [F.when(F.regexp_extract(rest, marked, 2) != "", F.regexp_extract(rest, marked, k)).otherwise(F.regexp_extract(rest, bare, k)) for k in (1, 2)]
-    author, date = F.regexp_replace(both[0], r"(?U)^\s+|\s+$", ""), both[1]
-    bad = (
-        F.when(~line.contains("]"), F.concat(F.lit("legacy header missing `]`: "), line))
-        .when(rev == "", F.concat(F.lit("legacy header missing rev: "), line))
-        .when(date == "", F.concat(F.lit("legacy header missing date: "), line))
-        .when(author == "", F.concat(F.lit("legacy header missing author: "), line))
-        .when(~valid_date(date), F.concat(F.lit("invalid date `"), date, F.lit("`")))
-    )
-    return {"rev": rev, "author": author, "date": date, "bad": bad}
+    two = lambda text, pattern: F.struct(F.regexp_extract(text, pattern, 1).alias("a"), F.regexp_extract(text, pattern, 2).alias("b"))
+    opened = two(line, r"(?s)^\[([^\]]*)\](?U:\s*)(.*)$")
+
+    def of_rest(x: Column) -> Column:
+        either = let(two(x["b"], marked), lambda m: F.when(m["b"] != "", m).otherwise(two(x["b"], bare)))
+        return let(either, lambda y: F.struct(x["a"].alias("rev"), F.regexp_replace(y["a"], r"(?U)^\s+|\s+$", "").alias("author"), y["b"].alias("date")))
+
+    def checked(x: Column) -> Column:
+        bad = (
+            F.when(~line.contains("]"), F.concat(F.lit("legacy header missing `]`: "), line))
+            .when(x["rev"] == "", F.concat(F.lit("legacy header missing rev: "), line))
+            .when(x["date"] == "", F.concat(F.lit("legacy header missing date: "), line))
+            .when(x["author"] == "", F.concat(F.lit("legacy header missing author: "), line))
+            .when(~valid_date(x["date"]), F.concat(F.lit("invalid date `"), x["date"], F.lit("`")))
+        )
+        return F.struct(x["rev"].alias("rev"), x["author"].alias("author"), x["date"].alias("date"), bad.alias("bad"))
+
+    found = let(let(opened, of_rest), checked)
+    return {k: found[k] for k in ("rev", "author", "date", "bad")}
+
 
 #: What a header line is, and the (rev, author, date, bad) that it holds.
 Format = tuple[Callable[[Column], Column], Callable[[Column], dict[str, Column]]]
@@ -74,6 +85,8 @@ def _format(name: str) -> Format:
     return FORMATS[name]
 
 
+#: White space of Unicode, as ``\s`` of a pattern with (?U).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_UTF8 = "stream did not contain valid UTF-8"
 #: Kinds of rows: a change or header under a known header; a line before the first header
 #: of its split; and, once a split, its last header.
@@ -117,7 +130,7 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _numstat(line: Column) -> dict[str, Column]:
     """(entity, added, deleted, fault) of a line under a header; a blank one has no entity
     and no fault. Counts of ``-`` are 0."""
-    text = F.regexp_replace(line, r"(?U)\s+$", "")
+    text = F.rtrim(line, F.lit(SPACES))
     part = F.split(text, "\t", 3)
     get = lambda k: F.get(part, F.lit(k))
     number = lambda k: F.when(get(k) == "-", F.lit(0)).otherwise(F.regexp_extract(get(k), "^[+]?([0-9]+)$", 1).try_cast("long"))
@@ -141,7 +154,7 @@ def parsed(spark: SparkSession, path: str, vcs: str) -> DataFrame:
     """
     is_header, header = _format(vcs)
     read = spark.read.option("lineSep", "\n").text(path)
-    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.is_valid_utf8("value").alias("utf8"), F.regexp_replace("value", r"[\r\n]+$", "").alias("line"))
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.is_valid_utf8("value").alias("utf8"), F.rtrim("value", F.lit("\r\n")).alias("line"))
     heading = is_header(F.col("line"))
     head = F.struct(*(c.alias(k) for k, c in header(F.col("line")).items()))
     lines = lines.select(F.xxhash64("file", "start").alias("split"), F.struct("file", "start", "id").alias("pos"), "utf8", "line", heading.alias("heading"), F.when(heading, head).alias("head"))
@@ -223,8 +236,10 @@ def write_lines(lines: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def write_log(changes: DataFrame, path: str, vcs: str, files: int | None = None, delimited: Column | None = None) -> None:
-    """Write changes as a log that ``read_log`` reads."""
-    write_lines(log_lines(changes, vcs, delimited), path, files)
+    """Write changes as a log that ``read_log`` reads. They are computed once: headers and
+    lines, and the bounds of the files, are taken from a table of them."""
+    with held(changes, "log-changes") as table:
+        write_lines(log_lines(table, vcs, delimited), path, files)
 
 
 def read_log(spark: SparkSession, path: str, vcs: str, max_rows: int | None = MAX_CHANGE_ROWS) -> DataFrame:

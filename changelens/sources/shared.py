@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
@@ -42,6 +43,17 @@ def written(df: DataFrame, name: str, where: Column | None = None, **measures: C
     return df.sparkSession.read.schema(df.schema).parquet(path), row
 
 
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The rows, written and read again, for as long as the block lasts."""
+    path = shared_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        release(df.sparkSession, [path])
+
+
 def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
     """Remove written folders (all of this process, if none are named) that nothing reads any more."""
     for path in list(WRITTEN if paths is None else paths):

@@ -237,3 +237,21 @@ def test_command_line_errors(argv):
 def test_command_line_values():
     args = parse_args("-l -c -c git -r 3 --include a --include b --exclude c -t day -d 2024-1-2".split())
     assert (args.log, args.vcs, args.options.rows, args.options.include, args.options.exclude) == ("-c", "git", 3, ("a", "b"), ("c",))
+
+
+@pytest.mark.parametrize("vcs", ["git", "git2"])
+def test_changes_are_computed_once_for_a_log(spark, tmp_path, vcs):
+    seen = str(tmp_path / "seen")
+
+    def counted(batches):
+        for batch in batches:
+            with open(seen, "a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    rows = [(f"r{k // 3}", "A B", "2024-01-01", f"p{k}.rs", k, 1) for k in range(60)]
+    changes = spark.createDataFrame(rows, CHANGES)
+    write_log(changes.mapInArrow(counted, changes.schema), str(tmp_path / "log"), vcs, 3)
+    with open(seen) as f:
+        assert len(f.read()) == len(rows)
+    assert sorted(tuple(r) for r in read_log(spark, str(tmp_path / "log"), vcs).drop("pos").collect()) == sorted(rows)
