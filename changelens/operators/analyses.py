@@ -78,8 +78,8 @@ def coupling(changes: DataFrame, options: Options) -> Result:
     those that have enough commits for a pair."""
     members = M.memberships(changes, options)
     revs = members.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= max(options.min_revs, options.min_shared_revs))
-    able = members.where(F.col("size").between(2, options.max_changeset_size)).join(revs, "entity")
-    shared = (_shared_in_rows if options.max_changeset_size <= MAX_CHANGESET_SIZE_LIMIT else _shared_by_prefix)(able, options)
+    able = members.where(F.col("size").between(2, options.max_changeset_size))
+    shared = _shared_in_rows(able, revs, options) if options.max_changeset_size <= MAX_CHANGESET_SIZE_LIMIT else _shared_by_prefix(able.join(revs, "entity"), options)
     df = shared.where(F.col("shared") >= options.min_shared_revs)
     df = df.select("entity", "coupled", F.expr("100 * shared div greatest(ra, rb)").alias("degree"), F.expr("(ra + rb) div 2").alias("average_revs"))
     return df.where(F.col("degree").between(options.min_coupling, options.max_coupling)), [F.desc("degree"), F.desc("average_revs"), F.col("entity"), F.col("coupled")]
@@ -91,12 +91,17 @@ def _near(a: Column, b: Column, options: Options) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * options.min_coupling
 
 
-def _shared_in_rows(able: DataFrame, options: Options) -> DataFrame:
-    """(entity, coupled, ra, rb, shared), where a commit's entities fit in a row."""
-    sets = able.groupBy("lrev").agg(F.sort_array(F.collect_list(F.struct("entity", "n"))).alias("es")).where(F.size("es") > 1)
-    pair = lambda x, y: F.struct(x["entity"].alias("entity"), y["entity"].alias("coupled"), x["n"].alias("ra"), y["n"].alias("rb"))
+def _shared_in_rows(able: DataFrame, revs: DataFrame, options: Options) -> DataFrame:
+    """(entity, coupled, ra, rb, shared), where a commit's entities fit in a row. Pairs are
+    made and counted by numbers of entities; those that share enough commits get names."""
+    named, _ = written(revs.withColumn("id", F.monotonically_increasing_id()), "coupling-entities")
+    sets = able.join(named, "entity").groupBy("lrev").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("es")).where(F.size("es") > 1)
+    pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"))
     ahead = lambda x, i: F.transform(F.filter(F.slice("es", i + 2, F.size("es")), lambda y: _near(x["n"], y["n"], options)), lambda y: pair(x, y))
-    return sets.select(F.inline(F.flatten(F.transform("es", ahead)))).groupBy("entity", "coupled", "ra", "rb").agg(F.count("*").alias("shared"))
+    shared = sets.select(F.inline(F.flatten(F.transform("es", ahead)))).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= options.min_shared_revs)
+    of = lambda k: named.select(F.col("id").alias(k), F.struct("entity", "n").alias(f"{k}_of"))
+    both = shared.join(of("a"), "a").join(of("b"), "b").select("shared", F.least("a_of", "b_of").alias("x"), F.greatest("a_of", "b_of").alias("y"))
+    return both.select(F.col("x.entity").alias("entity"), F.col("y.entity").alias("coupled"), F.col("x.n").alias("ra"), F.col("y.n").alias("rb"), "shared")
 
 
 def _shared_by_prefix(able: DataFrame, options: Options) -> DataFrame:

@@ -257,3 +257,11 @@ def test_small_files_of_a_batch_are_compared_at_once(monkeypatch):
     hunk = [{"old_start": 0, "old_count": 0, "new_start": 2, "new_count": 3}]
     batch = pa.RecordBatch.from_pydict({"rev": ["r", "s"], "path": ["a.rs", "b.rs"], "symbols_new": [symbol, None], "symbols_old": [[], symbol], "hunks": [hunk, hunk]})
     assert [x.to_pylist() for x in grain._touched(iter([batch]))][0][0]["found"] == [{"name": "f", "added": 1, "deleted": 0}, {"name": "g", "added": 2, "deleted": 0}]
+
+
+def test_pairs_are_counted_by_numbers(spark):
+    rows = [(f"r{k}", "A", "2024-01-01", e, 1, 0) for k in range(6) for e in ("z.rs", "a.rs", *(["m.rs"] if k < 5 else []))]
+    df, _ = analyses.coupling(spark.createDataFrame(rows, CHANGES), Options(min_coupling=1))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan
+    assert {tuple(r) for r in df.collect()} == {("a.rs", "z.rs", 100, 6), ("a.rs", "m.rs", 83, 5), ("m.rs", "z.rs", 83, 5)}
