@@ -166,6 +166,26 @@ def test_ordinals_of_names_that_repeat(spark):
     }
 
 
+def test_ordinals_are_not_sorted_in_the_few_partitions_of_the_files(spark):
+    """Rows made of few files after a shuffle, which fill one partition before and several after."""
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        files = spark.range(400).select((F.col("id") % 200).cast("string").alias("rev"), F.format_string("%d.rs", F.col("id") % 8).alias("path")).distinct()
+        rows = files.select("rev", "path", F.lit("new").alias("side"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long"))).alias("start_line"))
+        rows = rows.select("*", (F.col("start_line") + 1).alias("end_line"), F.lit(0).cast("long").alias("place"), F.when(F.col("start_line") > 2, F.format_string("f%d", F.expr("start_line div 2"))).otherwise(F.col("start_line").cast("string")).alias("name"))
+        at = F.spark_partition_id().alias("at")
+        assert rows.select(at).distinct().count() == 1
+        got = grain.with_ordinals(rows).select("name", at).collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    names = [r["name"] for r in got]
+    assert len(got) == 40_000 and {x: names.count(x) for x in ("1", "2", "f1#1", "f2#1", "f2#2", "f100#1", "f100")} == {"1": 200, "2": 200, "f1#1": 0, "f2#1": 200, "f2#2": 200, "f100#1": 0, "f100": 200}
+    assert len({r["at"] for r in got}) > 1
+
+
 def test_of_several_facts_for_a_change_the_least_result_counts(spark):
     diffs = spark.createDataFrame([("r", "a.rs", [(n, 1, 9)], [], [(0, 0, 2, 3)]) for n in ("later", "early", "later")], FILE_DIFFS)
     changes = spark.createDataFrame([("r", "A", "2024-01-01", "a.rs", 1, 0)] * 2, CHANGES)
