@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,36 @@ def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ())
         WRITTEN.remove(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is written by now: they stay until the
+    driver collects its garbage, which may be never within a job of many steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bits of a sieve, by hash of the id; more ids let more others through, that is all.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(ids: DataFrame, name: str) -> Callable[[Column], Column]:
+    """An expression that is true for each id among the column ``name`` of ``ids``, and for
+    few others. It holds the ids' bits (8 MB, whatever the input's size), so rows that a
+    join can't concern needn't be shuffled for it; the join itself must follow."""
+    spark = ids.sparkSession
+    place = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(SIEVE_BITS))
+    bits = ids.select(place(F.col(f"`{name}`")).alias("h")).groupBy(F.expr("h div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toArrow()
+    held = np.zeros(SIEVE_BITS // 64, np.int64)
+    held[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        at = h.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda x: may_be(place(x))
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     parts = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")

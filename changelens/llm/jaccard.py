@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.llm.common import WRITTEN, materialize, release
+from changelens.llm.common import WRITTEN, forget_shuffles, materialize, release, sieve
 from changelens.llm.graph import components
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -377,11 +377,25 @@ def _with_cluster(rows: DataFrame, about: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"]).drop("salt")
 
 
+#: Signatures are shuffled in so many turns, the files of one gone when the next begins.
+TURNS = 4
+
+
 def _met(rows: DataFrame) -> DataFrame:
-    """Components (node, component) of rows (node, sigs, lows) that have a signature in common."""
-    keys = rows.select("node", F.explode("sigs").alias("sig"))
-    meet = keys.select("node", F.min("node").over(Window.partitionBy("sig")).alias("low")).where("node <> low")
-    return components(meet.unionByName(rows.select("node", F.explode("lows").alias("low"))), "node", "low")
+    """Components (node, component) of rows (node, sigs, lows) that have a signature in common.
+
+    A signature belongs to one turn, by its hash, so no meeting is lost; the disk that
+    shuffles take is that of one turn.
+    """
+    spark, since, met = rows.sparkSession, len(WRITTEN), rows.select("node", F.explode("lows").alias("low"))
+    for turn in range(TURNS):
+        keys = rows.select("node", F.explode("sigs").alias("sig")).where(F.pmod("sig", F.lit(TURNS)) == turn)
+        meet = keys.select("node", F.min("node").over(Window.partitionBy("sig")).alias("low")).where("node <> low")
+        met = met.unionByName(materialize(meet.distinct(), "met"))
+        forget_shuffles(spark)
+    found = components(met, "node", "low")
+    release(spark, since, keep=[found])
+    return found
 
 
 def _placed(near: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
@@ -428,18 +442,25 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # a representative for each text, and what the others are copies of
     heads = records.where("digest is not null").select("i", "n", F.min("i").over(Window.partitionBy("digest")).alias("rep"))
     heads = materialize(heads, "heads")
-    copies = records.where("copy_of is not null").select(F.col("i").alias("a"), F.col("copy_of").alias("b")).unionByName(heads.select(F.col("i").alias("a"), F.col("rep").alias("b")))
 
     # rows that have a part in common form clusters of representatives
     sizes = heads.where("i = rep").groupBy(F.col("i").alias("node")).agg(F.count("*").alias("docs"), F.sum("n").alias("members"))
     placed = _placed(_met(records.withColumnRenamed("i", "node")), sizes, join)
-    # placed grows with the corpus: it isn't broadcast at any size
-    sets = docs.join(placed.hint("merge"), docs["i"] == placed["node"]).select("node", "cluster", "docs", "blocks", "t")
+    # the signatures have done their work, and are most of what is written
+    records = materialize(records.select("i", "n", "copy_of"), "rows")
+    release(spark, since, keep=[records, heads, placed])
+    forget_shuffles(spark)
+    copies = records.where("copy_of is not null").select(F.col("i").alias("a"), F.col("copy_of").alias("b")).unionByName(heads.select(F.col("i").alias("a"), F.col("rep").alias("b")))
+    # only texts that may be in a cluster are shuffled; placed grows with the corpus: it isn't broadcast at any size
+    in_cluster = sieve(placed, "node")
+    sets = docs.where(in_cluster(F.col("i"))).join(placed.hint("merge"), F.col("i") == F.col("node")).select("node", "cluster", "docs", "blocks", "t")
     sets = materialize(sets.mapInArrow(_sets(join), "node long, cluster long, docs long, blocks int, n long, own binary").where("n > 0"), "sets")
     if not placed.where("blocks > 1").isEmpty():
         placed = _placed(_divided(sets.where("blocks > 1"), join), sizes, join)
         again = sets.where("blocks > 1").select("node", "n", "own").join(placed.hint("merge"), "node")
         sets = materialize(sets.where("blocks = 1").unionByName(again), "sets")
+        release(spark, since, keep=[records, heads, placed, sets])
+    forget_shuffles(spark)
     block = F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int")
 
     # first round: disjoint blocks, but for a few pivots that all blocks of a cluster share
@@ -455,6 +476,7 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     out = records.select("i", "n").join(found.withColumnRenamed("node", "i"), "i", "left")
     out = out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
     release(spark, since, keep=[out])
+    forget_shuffles(spark)
     return out
 
 

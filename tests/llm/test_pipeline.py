@@ -1,15 +1,19 @@
 """Queries and the pipeline over a small table, stage by stage."""
 
+import gc
 import hashlib
 import random
 import re
 import sys
+import tempfile
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from changelens.llm import jaccard, packing, pii, quality, spm, toxicity
+from changelens.llm import common, jaccard, packing, pii, quality, spm, toxicity
 from changelens.llm.queries import oracle_sql, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -172,3 +176,37 @@ def test_stages_on_odd_tables(spark, sf_dir):
 
 def test_defaults():
     assert quality.Rules().min_words == 50 and toxicity.THRESHOLD == 0.3 and max(packing.Bins().capacities) == 8192
+
+
+def _shuffled(spark) -> int:
+    """Bytes of shuffle files that stand on this machine."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().endswith(".data"))
+
+
+def test_near_copies_shuffle_no_texts_that_are_in_no_cluster(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.getrandbits(1200):x}" for _ in range(12)) for _ in range(1500)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.parquet(path := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/docs")
+    docs = spark.read.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # then Spark removes the files of other tests
+    time.sleep(2)
+    before = _shuffled(spark)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    ids = sorted(r["doc_id"] for r in kept.where("length(text) > 0").collect())
+    assert ids == list(range(1500))
+    assert _shuffled(spark) - before < sum(map(len, texts)) // 10
+
+
+def test_a_sieve_lets_through_all_ids_and_few_others(spark):
+    ids = spark.createDataFrame([(i * 37 - 5000,) for i in range(400)] + [(None,), (-(1 << 63),)], "x long")
+    some = common.sieve(ids, "x")
+    each = spark.range(-6000, 12000).withColumn("may", some(F.col("id"))).where("may")
+    found = {r["id"] for r in each.collect()}
+    wanted = {i * 37 - 5000 for i in range(400)}
+    assert wanted <= found and len(found) < len(wanted) + 20
+    assert ids.where(some(F.col("x"))).count() == 402
+    assert spark.range(1000).where(common.sieve(ids.where("false"), "x")(F.col("id"))).count() == 0
