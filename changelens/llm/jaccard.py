@@ -45,8 +45,9 @@ class Join:
     """ngram: words of a shingle; percent: sets link if 100 * intersection >= percent
     * union; block_docs, block_members: size of a block that one task compares;
     pivots: how many sets, about, all blocks of a cluster share in the first round;
-    buckets: members of large clusters are counted in so many buckets of their hash (8
-    bytes each are broadcast), which orders them; any order gives the same links."""
+    buckets: members of large clusters are counted in so many buckets of their hash, or
+    in one a member if there are more (``MOST_BUCKETS``; a byte each is broadcast), which
+    orders them; any order gives the same links."""
 
     ngram: int = 3
     percent: int = 90
@@ -240,33 +241,34 @@ def block_links(nodes: list[int], sets: list[np.ndarray], known: list[int], prob
 
 
 def _records(join: Join):
-    """(i, n, digest, copy_of, sigs, lows) of each row: size and digest of its set, the
-    signatures, and what is known already from the rows of the same batch.
+    """(i, n, digest, copy_of, lows, sigs0, ...) of each row: size and digest of its set,
+    the signatures, and what is known already from the rows of the same batch.
 
     Within a batch, equal texts point to the first of them (copy_of) and have no digest
     of their own, and each signature is left to the first row that has it, to which the
     others point (lows). So of a very large group of copies, or of a signature that very
-    many rows share, no more than a row a batch is shuffled.
+    many rows share, no more than a row a batch is shuffled. Only a set of which a row
+    ``signs`` has signatures; the digest connects other rows that have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                ids, sizes, digests, copies, parts, first = batch.column("i").to_pylist(), [], [], [], [], {}
-                for i, text in zip(ids, batch.column("t").to_pylist(), strict=True):
+                ids, sizes, digests, copies, parts, first = batch.column("i").to_pylist(), [], [], [], [np.empty(0, np.uint64)] * batch.num_rows, {}
+                for k, (i, text, signs) in enumerate(zip(ids, batch.column("t").to_pylist(), batch.column("signs").to_pylist(), strict=True)):
                     own = shingles(text, join.ngram)
                     sizes.append(len(own))
                     name = xxhash.xxh3_128_digest(own.tobytes()) if len(own) and i is not None else None
-                    copies.append(first.get(name))
-                    if name is not None:
-                        first.setdefault(name, i)
-                    digests.append(name if copies[-1] is None else None)
-                    parts.append(signatures(own, join) if digests[-1] is not None else np.empty(0, np.uint64))
+                    at = first.setdefault(name, k) if name is not None else k
+                    copies.append(ids[at] if at < k else None)
+                    digests.append(name if at == k else None)
+                    if name is not None and signs and not len(parts[at]):
+                        parts[at] = signatures(own, join)
                 sigs, lows = _left_to_first(ids, parts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("i"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(copies, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64()))],
-                    names=["i", "n", "digest", "copy_of", "sigs", "lows"],
+                    [batch.column("i"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(copies, pa.int64()), pa.array(lows, pa.list_(pa.int64())), *_by_turn(sigs, TURNS)],
+                    names=["i", "n", "digest", "copy_of", "lows", *_turns(TURNS)],
                 )
 
     return run
@@ -284,6 +286,20 @@ def _left_to_first(ids: list[int | None], parts: list[np.ndarray]) -> tuple[list
     return sigs, lows
 
 
+#: Signatures, and keys of large clusters, are shuffled in so many turns, the files of one
+#: gone when the next begins. The signatures of a turn are a column of their own, so that
+#: no turn reads those of others.
+TURNS, KEY_TURNS = 8, 2
+
+
+def _turns(turns: int) -> list[str]:
+    return [f"sigs{turn}" for turn in range(turns)]
+
+
+def _by_turn(sigs: list[np.ndarray], turns: int) -> list[pa.Array]:
+    return [pa.array([x[x % turns == turn] for x in sigs], pa.list_(pa.int64())) for turn in range(turns)]
+
+
 def _sets(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,19 +310,45 @@ def _sets(join: Join):
     return run
 
 
-def _frequencies(join: Join):
-    """(bucket, c): how many members of a batch's sets fall to each bucket."""
+#: Buckets beyond are not broadcast; their counts travel in ranges of so many buckets.
+MOST_BUCKETS, RANGE = 1 << 26, 1 << 16
+
+
+def _members(buckets: int):
+    """(range, places): the buckets of the members of a batch's sets, by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(x, np.uint64) for x in batch.column("own").to_pylist()]
-            if own:
-                bucket, c = np.unique(np.concatenate(own) % np.uint64(join.buckets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(c, pa.int64())], names=["bucket", "c"])
+            bucket = np.sort((np.concatenate([np.empty(0, np.uint64), *own]) % np.uint64(buckets)).astype(np.int64))
+            if len(bucket):
+                starts = np.flatnonzero(np.diff(bucket // RANGE, prepend=-1))
+                places = [x.astype(np.uint16).tobytes() for x in np.split(bucket % RANGE, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts] // RANGE), pa.array(places, pa.binary())], names=["range", "places"])
 
     return run
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, levels) of rows that stand by range: how often each of its buckets occurs, as
+    a byte that grows with the logarithm of the count (the least counts all differ)."""
+    at, count = None, np.zeros(RANGE, np.int64)
+
+    def level() -> pa.RecordBatch:
+        levels = np.minimum(np.round(16 * np.log2(1 + count)), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([levels.tobytes()], pa.binary())], names=["range", "levels"])
+
+    for batch in batches:
+        for r, places in zip(batch.column("range").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            if r != at:
+                if at is not None:
+                    yield level()
+                at, count = r, np.zeros(RANGE, np.int64)
+            count += np.bincount(np.frombuffer(places, np.uint16), minlength=RANGE)
+    if at is not None:
+        yield level()
+
+
 def rarest(own: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """The rarest members of a set, as many as must hold one that a linked set's also hold."""
     order = np.lexsort((own, often[(own % np.uint64(len(often))).astype(np.int64)]))
@@ -314,7 +356,7 @@ def rarest(own: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _keys(often: Broadcast, join: Join):
-    """(node, sigs, lows) of each set: its rarest members, of its cluster alone; what
+    """(node, lows, sigs0, ...) of each set: its rarest members, of its cluster alone; what
     other rows of the batch have before it is left to them, as in ``_records``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +367,7 @@ def _keys(often: Broadcast, join: Join):
                 parts.append(_mix(rarest(np.frombuffer(own, np.uint64), often.value, join.percent) + seed))
             if ids:
                 sigs, lows = _left_to_first(ids, parts)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64()))], names=["node", "sigs", "lows"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lows, pa.list_(pa.int64())), *_by_turn(sigs, KEY_TURNS)], names=["node", "lows", *_turns(KEY_TURNS)])
 
     return run
 
@@ -377,19 +419,17 @@ def _with_cluster(rows: DataFrame, about: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"]).drop("salt")
 
 
-#: Signatures are shuffled in so many turns, the files of one gone when the next begins.
-TURNS = 4
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """Components (node, component) of rows (node, sigs, lows) that have a signature in common.
+def _met(rows: DataFrame, turns: int, same: DataFrame | None = None) -> DataFrame:
+    """Components (node, component) of rows (node, lows, sigs0, ...) that have a signature
+    in common, or stand in a row of ``same`` (node, low).
 
     A signature belongs to one turn, by its hash, so no meeting is lost; the disk that
     shuffles take is that of one turn.
     """
     spark, since, met = rows.sparkSession, len(WRITTEN), rows.select("node", F.explode("lows").alias("low"))
-    for turn in range(TURNS):
-        keys = rows.select("node", F.explode("sigs").alias("sig")).where(F.pmod("sig", F.lit(TURNS)) == turn)
+    met = met.unionByName(same) if same else met
+    for own in _turns(turns):
+        keys = rows.select("node", F.explode(own).alias("sig"))
         meet = keys.select("node", F.min("node").over(Window.partitionBy("sig")).alias("low")).where("node <> low")
         met = met.unionByName(materialize(meet.distinct(), "met"))
         forget_shuffles(spark)
@@ -409,15 +449,22 @@ def _placed(near: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
 
 def _divided(sets: DataFrame, join: Join) -> DataFrame:
     """Components (node, component) of the sets of large clusters by their rarest members,
-    within each cluster. What can't be rare is known from counts over all these sets."""
+    within each cluster. What can't be rare is known from counts over all these sets, in
+    about as many buckets as they have members: in fewer, what two sets share by chance
+    couldn't be told from what one set has alone, and the more sets the more they'd meet."""
     spark = sets.sparkSession
-    counts = sets.select("own").mapInArrow(_frequencies(join), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    often = np.zeros(join.buckets, np.int64)
-    often[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
-    sent = spark.sparkContext.broadcast(often)
-    keys = materialize(sets.select("node", "cluster", "own").mapInArrow(_keys(sent, join), "node long, sigs array<long>, lows array<long>"), "keys")
+    members = sets.agg(F.sum(F.octet_length("own"))).first()[0] or 0
+    buckets = max(join.buckets, min(1 << (members // 8).bit_length(), MOST_BUCKETS))
+    places = sets.select("own").mapInArrow(_members(buckets), "range long, places binary")
+    counts = places.repartition("range").sortWithinPartitions("range").mapInArrow(_levels, "range long, levels binary").toArrow()
+    often = np.zeros(-(-buckets // RANGE) * RANGE, np.uint8)
+    for r, levels in zip(counts.column("range").to_pylist(), counts.column("levels").to_pylist(), strict=True):
+        often[r * RANGE : (r + 1) * RANGE] = np.frombuffer(levels, np.uint8)
+    sent = spark.sparkContext.broadcast(often[:buckets])
+    sigs = ", ".join(f"{s} array<long>" for s in _turns(KEY_TURNS))
+    keys = materialize(sets.select("node", "cluster", "own").mapInArrow(_keys(sent, join), f"node long, lows array<long>, {sigs}"), "keys")
     sent.destroy()
-    return _met(keys)
+    return _met(keys, KEY_TURNS)
 
 
 def _blocks(join: Join, docs: Column, members: Column) -> Column:
@@ -437,7 +484,11 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     spark, since = documents.sparkSession, len(WRITTEN)
     docs = documents.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    records = materialize(docs.mapInArrow(_records(join), "i long, n long, digest binary, copy_of long, sigs array<long>, lows array<long>"), "records")
+    # of equal texts the one with the smallest id has signatures for all
+    signs = sieve(docs.groupBy(F.unhex(F.sha2("t", 256))).agg(F.min("i").alias("i")), "i")
+    sigs = ", ".join(f"{s} array<long>" for s in _turns(TURNS))
+    records = docs.withColumn("signs", signs(F.col("i"))).mapInArrow(_records(join), f"i long, n long, digest binary, copy_of long, lows array<long>, {sigs}")
+    records = materialize(records, "records")
 
     # a representative for each text, and what the others are copies of
     heads = records.where("digest is not null").select("i", "n", F.min("i").over(Window.partitionBy("digest")).alias("rep"))
@@ -445,7 +496,9 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     # rows that have a part in common form clusters of representatives
     sizes = heads.where("i = rep").groupBy(F.col("i").alias("node")).agg(F.count("*").alias("docs"), F.sum("n").alias("members"))
-    placed = _placed(_met(records.withColumnRenamed("i", "node")), sizes, join)
+    # the row that has a set's signatures needn't be the representative
+    same = heads.where("i <> rep").select(F.col("i").alias("node"), F.col("rep").alias("low"))
+    placed = _placed(_met(records.withColumnRenamed("i", "node"), TURNS, same), sizes, join)
     # the signatures have done their work, and are most of what is written
     records = materialize(records.select("i", "n", "copy_of"), "rows")
     release(spark, since, keep=[records, heads, placed])
@@ -471,7 +524,7 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     # second round: clusters of several blocks whose components may link across blocks
     if not placed.where("blocks > 1").isEmpty():
-        links = materialize(_across(sets.where("blocks > 1"), links, join), "links")
+        links = _across(sets.where("blocks > 1"), links, join)
     found = components(copies.unionByName(links), "a", "b")
     out = records.select("i", "n").join(found.withColumnRenamed("node", "i"), "i", "left")
     out = out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
@@ -480,6 +533,10 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out
 
 
+#: Rows a set, about, that a turn of the second round shuffles for its blocks of probes.
+COPIES = 4
+
+
 def _across(sets: DataFrame, links: DataFrame, join: Join) -> DataFrame:
     """Links between blocks of the large clusters, once the first round's are known, and
     for these one from each set to its component.
@@ -487,18 +544,28 @@ def _across(sets: DataFrame, links: DataFrame, join: Join) -> DataFrame:
     Sets of a cluster's largest component needn't be compared among themselves: all
     others are probes, in blocks of their own, against every block of the cluster. What
     is to be done with a set is found from ids alone; the sets themselves are joined by
-    their own id, so no cluster's sets stand in one task.
+    their own id, so no cluster's sets stand in one task. Each set is given once a block of
+    probes; the blocks of probes take turns, so that about ``COPIES`` rows a set stand on
+    disk at once, however many blocks there are.
     """
-    known = components(links, "a", "b")
+    spark, known = sets.sparkSession, components(links, "a", "b")
     rows = sets.select("node", "cluster", "n").join(known, "node", "left").withColumn("known", F.coalesce("component", "node"))
     count = rows.groupBy("cluster", "known").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
-    best = count.groupBy("cluster").agg(F.max(F.struct("c", "known")).alias("x"))
+    best = count.groupBy("cluster").agg(F.max(F.struct("c", "known")).alias("x"), F.sum("c").alias("all"))
     rest = count.join(best, "cluster").where("known <> x.known")  # clusters of one component are through
-    rest = rest.groupBy("cluster").agg(F.first("x.known").alias("main"), _blocks(join, F.sum("c"), F.sum("m")).alias("probe_blocks"))
-    work = materialize(_with_cluster(rows.select("node", "cluster", "known").distinct(), rest).drop("cluster"), "work")
+    rest = rest.groupBy("cluster").agg(F.first("x.known").alias("main"), F.first("all").alias("all"), _blocks(join, F.sum("c"), F.sum("m")).alias("probe_blocks"))
+    rest = materialize(rest, "rest")
+    work = materialize(_with_cluster(rows.select("node", "cluster", "known").distinct(), rest.drop("all")).drop("cluster"), "work")
+    copied, most = rest.agg(F.sum(F.col("all") * F.col("probe_blocks")) / F.sum("all"), F.max("probe_blocks")).first()
+    turns = min(max(1, -(-int(copied or 0) // COPIES)), most or 1)
     rows = sets.join(work.hint("merge"), "node").select("cluster", "node", "own", "known", "main", "blocks", "probe_blocks")
-    stored = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).withColumn("block", F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int"))
-    probing = rows.where("known <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", F.pmod(F.xxhash64(F.lit("probe"), "node", "own"), F.col("probe_blocks")).cast("int"))
-    both = stored.withColumn("probe", F.lit(False)).unionByName(probing.withColumn("probe", F.lit(True)))
-    across = _compare(both.withColumn("key", F.to_json(F.struct("cluster", "block", "other"))), join)
-    return across.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    own_block, own_other = F.pmod(F.xxhash64("node", "own"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit("probe"), "node", "own"), F.col("probe_blocks")).cast("int")
+    links = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for turn in range(turns):
+        stored = rows.where(F.col("probe_blocks") > turn).withColumn("other", F.explode(F.sequence(F.lit(turn), F.col("probe_blocks") - 1, F.lit(turns)))).withColumn("block", own_block)
+        probing = rows.where("known <> main").withColumn("other", own_other).where(F.col("other") % turns == turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = stored.withColumn("probe", F.lit(False)).unionByName(probing.withColumn("probe", F.lit(True)))
+        across = _compare(both.withColumn("key", F.to_json(F.struct("cluster", "block", "other"))), join)
+        links = links.unionByName(materialize(across, "links"))
+        forget_shuffles(spark)
+    return links

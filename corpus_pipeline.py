@@ -52,15 +52,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Empty texts are in no group. Rows that repeat an id are one document: of those with
     equal texts one row stays, if the document does, the one whose other columns come
     first as JSON. Rows without an id stay as they are. Which ids go, and which repeat,
-    is found from ids alone; only rows whose id may be one of these are shuffled, to be
-    joined with them, and those of repeated ids, where there are any, once more.
+    is found from ids alone, and so is which other ids a sieve takes for one of these; only
+    rows whose id may be of the latter, or is repeated and stays, are shuffled, to be
+    joined with ids, so copies that go are not, however many there are.
     """
     groups = jaccard.linked(docs.select("doc_id", "text"), join=NEAR)
     copies = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     again = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated")
     ids = copies.unionByName(again)
     may_go = sieve(ids, "doc_id")(F.col("doc_id"))
-    some = docs.where(may_go)
+    stay = again.join(copies, "doc_id", "left_anti").unionByName(docs.select("doc_id").where(may_go).join(ids, "doc_id", "left_anti"))
+    some = docs.where(may_go).where(sieve(stay, "doc_id")(F.col("doc_id")))
     kept = docs.where(~may_go).select(*_columns(docs)).union(some.join(ids, "doc_id", "left_anti").select(*_columns(docs)))
     if again.isEmpty():
         return kept

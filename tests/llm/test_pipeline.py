@@ -201,6 +201,78 @@ def test_near_copies_shuffle_no_texts_that_are_in_no_cluster(spark):
     assert _shuffled(spark) - before < sum(map(len, texts)) // 10
 
 
+def _parquet(spark, rows, parts) -> object:
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_copies_have_no_signatures_and_are_not_shuffled(spark, monkeypatch):
+    rng, sizes = random.Random(8), []
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(120)) for _ in range(150)]
+    texts += [t.replace(t.split()[7], "other", 1) for t in texts[:30]]
+    docs = _parquet(spark, [(k * 1000 + i, t) for k in range(6) for i, t in enumerate(texts)], 6)
+
+    def seen(df, name, write=jaccard.materialize):
+        out = write(df, name)
+        if name == "records":
+            columns = [c for c in out.columns if c.startswith("sigs")]
+            sizes.append(out.select(sum(F.size(c).cast("long") for c in columns).alias("n")).agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", seen)
+    jaccard.linked(docs.where("doc_id < 1000"), join=corpus_pipeline.NEAR)
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+        before = _shuffled(spark)
+        assert sorted(r["doc_id"] for r in kept.where("length(text) > 0").collect()) == list(range(150))
+        assert _shuffled(spark) - before < sum(map(len, texts)) // 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sizes[1] < sizes[0] * 1.5
+
+
+def test_the_row_that_signs_for_copies_need_not_be_their_representative(spark):
+    rng, base = random.Random(9), [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:-1], "z"])
+    rows = [(7, " ".join(base)), (3, " ".join(base)), (5, " ".join(base)), (9, near), (8, " ".join(rng.sample(base, 100)))]
+    # in order of rows: 7 comes before 3 in one batch and stands for it, 5 in another has the smaller id of the two
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows[:2], rows[2:3], rows[3:]], 3).flatMap(lambda x: x), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs, join=corpus_pipeline.NEAR).collect()}
+    assert found == {3: 3, 5: 3, 7: 3, 9: 3, 8: 8}
+
+
+def test_rare_members_are_told_apart_among_many(spark):
+    rng, join = random.Random(10), jaccard.Join(buckets=64)
+    texts = [" ".join(str(rng.randrange(200_000)) for _ in range(200)) for _ in range(300)]
+    sets = [(i, 0, jaccard.shingles(t, 1).tobytes()) for i, t in enumerate(texts)]
+    found = jaccard._divided(spark.createDataFrame(sets, "node long, cluster long, own binary"), join)
+    assert found.count() < 30  # by 64 buckets nearly all sets meet
+
+
+def test_the_second_round_is_bounded_on_disk(spark, monkeypatch):
+    rng, join, rows = random.Random(11), jaccard.Join(ngram=1, percent=80, block_docs=8, pivots=2), []
+    passage = [f"p{k}" for k in range(80)]
+    texts = [" ".join(passage + [f"{g}-{k}" for k in range(17)] + [f"x{rng.randrange(10**6)}"]) for g in range(40) for _ in range(3)]
+    sets = spark.createDataFrame([(i, 0, 120, 15, 98, jaccard.shingles(t, 1).tobytes()) for i, t in enumerate(texts)], "node long, cluster long, docs long, blocks int, n long, own binary")
+    compare = jaccard._compare
+
+    def counted(df, join):
+        rows.append(df.where("not probe").count())
+        return compare(df, join)
+
+    monkeypatch.setattr(jaccard, "_compare", counted)
+    none = spark.createDataFrame([], "a long, b long")
+    found = jaccard.components(jaccard._across(sets, none, join), "a", "b").collect()
+    assert sorted((r["node"], r["component"]) for r in found) == [(i, i // 3 * 3) for i in range(120)]
+    assert len(rows) > 1 and max(rows) <= 120 * jaccard.COPIES
+
+
 def test_a_sieve_lets_through_all_ids_and_few_others(spark):
     ids = spark.createDataFrame([(i * 37 - 5000,) for i in range(400)] + [(None,), (-(1 << 63),)], "x long")
     some = common.sieve(ids, "x")
