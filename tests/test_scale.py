@@ -285,3 +285,18 @@ def test_pairs_are_counted_by_numbers(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" in plan
     assert {tuple(r) for r in df.collect()} == {("a.rs", "z.rs", 100, 6), ("a.rs", "m.rs", 83, 5), ("m.rs", "z.rs", 83, 5)}
+
+
+def test_facts_are_dealt_in_few_rows_and_sorted_in_memory(spark, monkeypatch):
+    files = 3000
+    hunks = spark.range(files).selectExpr("cast(id as string) rev", "'src/a.rs' path", "explode(array(1L, 5L)) old_start", "1L old_count", "3L new_start", "2L new_count")
+    symbols = spark.range(files + 50).selectExpr("cast(id as string) rev", "'src/a.rs' path", "'new' side", "explode(array('f', 'g', 'h')) name", "2L start_line", "9L end_line", "0L place")
+    monkeypatch.setattr(grain, "SORTED_ROWS", 4000)
+    monkeypatch.setattr(grain, "TASKS", 2)
+    frame, rows = type(hunks), []
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *c: rows.append((self.count(), n)) or dealt(self, n, *c))
+    found = {r["rev"]: r["found"] for r in grain.touched_symbols_of(symbols, hunks).collect()}
+    assert {int(r) for r in found} == set(range(files)) and all([tuple(x) for x in f] == [("f", 4, 0)] for f in found.values())
+    # 21,000 rows come in two a file, or three where a batch ends, to six tasks in three turns
+    assert len(rows) == 3 and all(n == 2 for _, n in rows) and sum(k for k, _ in rows) < 2 * files + 200
